@@ -74,9 +74,21 @@ def missing_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def as_utc(value: Column) -> Column:
+    """Instant of a local time (or naive text) read as UTC, whatever the session's zone."""
+    return F.from_utc_timestamp(value.try_cast("timestamp"), F.current_timezone())
+
+
 def epoch_seconds(text: Column, default: int = -1) -> Column:
-    """Unix time of a timestamp text (or timestamp), ``default`` when there is none."""
-    return F.coalesce(F.unix_seconds(text.try_cast("timestamp")), F.lit(default).cast("bigint"))
+    """Unix time of a timestamp text, ``default`` when there is none.
+
+    Text without a zone is UTC.
+    """
+    zoned = text.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$")
+    seconds = F.when(zoned, F.unix_seconds(text.try_cast("timestamp"))).otherwise(
+        F.unix_seconds(as_utc(text))
+    )
+    return F.coalesce(seconds, F.lit(default).cast("bigint"))
 
 
 def braces(value: Column, unit: Column) -> Column:

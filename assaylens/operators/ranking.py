@@ -45,22 +45,22 @@ def with_position(
     placed = (
         df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
-        .withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_row", _ROW_BITS))
-        .withColumn("_row", F.col("_row").bitwiseAND(F.lit(2**_ROW_BITS - 1)))
+        .withColumn("_pos_row", F.monotonically_increasing_id())
+        .withColumn("_pos_part", F.shiftright("_pos_row", _ROW_BITS))
+        .withColumn("_pos_row", F.col("_pos_row").bitwiseAND(F.lit(2**_ROW_BITS - 1)))
         .checkpoint()
     )
-    by = [*group, "_part"]
+    by = [*group, "_pos_part"]
     spans = placed.groupBy(*[f"`{g}`" for g in by]).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first")
+        F.count(F.lit(1)).alias("_pos_n"), F.min("_pos_row").alias("_pos_first")
     )
     # at most one row per range partition and group reaches this window
     earlier = (
         Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy("_part")
+        .orderBy("_pos_part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    spans = spans.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    position = F.col("_row") - F.col("_first") + F.col("_before")
+    spans = spans.withColumn("_pos_before", F.coalesce(F.sum("_pos_n").over(earlier), F.lit(0)))
+    position = F.col("_pos_row") - F.col("_pos_first") + F.col("_pos_before")
     kept = [F.col(f"`{c}`") for c in df.columns]
     return join_back(placed, spans, by).select(*kept, position.cast("bigint").alias(name))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylens.errors import raise_if_any
+from assaylens.errors import guarded
 from assaylens.functions.text import dotted
 from assaylens.operators.order import natural_order
 from assaylens.operators.ranking import join_back
@@ -167,10 +167,15 @@ def match_columns(
     their own name, or are left out, as ``keep_unmatched`` says.
     """
     matched = best_match(columns, samples, by)
-    raise_if_any(ambiguous(matched), "column name matches multiple sample names")
     keep = F.lit(keep_unmatched) if isinstance(keep_unmatched, bool) else keep_unmatched
-    return matched.filter((F.col("n_matches") == 1) | keep).select(
-        *by, "name", F.coalesce("candidate", "name").alias("harmonised"), "tier"
+    harmonised = guarded(
+        F.coalesce("candidate", "name"),
+        F.col("n_matches") > 1,
+        "column name matches multiple sample names",
+        F.col("name"),
+    )
+    return matched.filter((F.col("n_matches") > 0) | keep).select(
+        *by, "name", harmonised.alias("harmonised"), "tier"
     )
 
 

@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylens.errors import raise_if_any
-from assaylens.functions.text import LIST_SEPARATOR, braces, harmonised_key, is_empty, with_unit
-from assaylens.operators.names import ambiguous, best_match
+from assaylens.errors import guarded, raise_if_any
+from assaylens.functions.text import LIST_SEPARATOR, harmonised_key, is_empty
+from assaylens.operators.names import best_match
 from assaylens.operators.ranking import join_back
 
 LEGACY = "study.material type"
 MATERIAL = "study.characteristics.material type"
 
 
-def dotted_path(category: str, field: Column, subfield: Column) -> Column:
-    """``category.field[.subfield]`` with harmonised segments."""
-    return F.concat_ws(".", F.lit(category), harmonised_key(field), harmonised_key(subfield))
-
-
 def key_collisions(keys: DataFrame, group: Sequence[str]) -> DataFrame:
     """Different keys of one group that become equal once harmonised."""
     return (
@@ -42,36 +37,6 @@ def drop_empty(attrs: Column) -> Column:
     return F.map_filter(attrs, lambda _, v: ~is_empty(v))
 
 
-def annotation(
-    category: str, fields: Column, formatter: Callable[[Column, Column], Column] = braces
-) -> Column:
-    """Map of dotted paths to values, from the array of fields of one row.
-
-    Values are merged with their units, empty ones are left out, and a repeated
-    top-level field becomes one text with its values separated by ``, ``.
-    """
-    shown = F.transform(
-        fields,
-        lambda f: F.struct(
-            dotted_path(category, f.getField("field"), f.getField("subfield")).alias("path"),
-            with_unit(f.getField("value"), f.getField("unit"), formatter).alias("text"),
-            f.getField("value").alias("value"),
-        ),
-    )
-    filled = F.filter(shown, lambda f: ~is_empty(f.getField("value")))
-    paths = F.array_distinct(F.transform(filled, lambda f: f.getField("path")))
-    values = F.transform(
-        paths,
-        lambda p: F.array_join(
-            F.transform(
-                F.filter(filled, lambda f: f.getField("path") == p), lambda f: f.getField("text")
-            ),
-            ", ",
-        ),
-    )
-    return F.map_from_arrays(paths, values)
-
-
 def leaf_elements(attrs: Column) -> Column:
     """All distinct items of the values, which may be comma-separated lists."""
     items = F.transform(F.map_values(attrs), lambda v: F.split(v, LIST_SEPARATOR))
@@ -103,20 +68,6 @@ def bad_names(df: DataFrame, columns: Sequence[str] = ("accession", "assay_name"
     return df.filter(test)
 
 
-def unique_name(fields: Column, field: str) -> Column:
-    """The one value of a repeated field of a row: NULL unless there is exactly one."""
-    values = sample_values(fields, field)
-    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
-
-
-def sample_values(fields: Column, field: str) -> Column:
-    """Distinct values of a top-level field of a row."""
-    same = F.filter(
-        fields, lambda f: (f.getField("field") == field) & f.getField("subfield").isNull()
-    )
-    return F.array_distinct(F.transform(same, lambda f: f.getField("value")))
-
-
 def assemble(
     assays: DataFrame,
     studies: DataFrame,
@@ -134,9 +85,15 @@ def assemble(
     names = assays.select("accession", F.col("sample_name").alias("name"))
     targets = studies.select("accession", F.col("sample_name").alias("candidate"))
     matched = best_match(names, targets, ["accession"])
-    raise_if_any(ambiguous(matched), "multiple study entries match an assay entry")
-    links = matched.filter(F.col("n_matches") == 1).select(
-        "accession", F.col("name").alias("sample_name"), "candidate"
+    candidate = guarded(
+        F.col("candidate"),
+        F.col("n_matches") > 1,
+        "multiple study entries match an assay entry",
+        F.col("accession"),
+        F.col("name"),
+    )
+    links = matched.filter(F.col("n_matches") > 0).select(
+        "accession", F.col("name").alias("sample_name"), candidate.alias("candidate")
     )
     found = join_back(assays, links, ["accession", "sample_name"], "left")
     found = join_back(

@@ -303,7 +303,7 @@ def j9(spark, sf_dir):
     )
     files = fx.typed(spark, sf_dir).select("accession", "filename", "condition", "internal")
     both = files.unionByName(
-        typed_files(extra, check=False).select("accession", "filename", "condition", "internal")
+        typed_files(extra).select("accession", "filename", "condition", "internal")
     )
     return file_ops.attach_files(annotated.withColumn("elements", leaf_elements(F.col("attrs"))), both)
 

@@ -170,7 +170,7 @@ def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing_source.typed_files(latest(spark, sf_dir), check=False)
+    return listing_source.typed_files(latest(spark, sf_dir))
 
 
 def samples_with_files(spark: SparkSession, sf_dir: str) -> DataFrame:

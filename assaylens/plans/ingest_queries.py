@@ -395,9 +395,9 @@ def h3(spark, sf_dir):
               value || coalesce(' {' || unit || '}', '') AS value FROM fx_fields WHERE value IS NOT NULL""",
 )
 def h4(spark, sf_dir):
-    rows = _fields(spark, sf_dir)
-    attrs = shape.annotation("study", F.col("fields"))
-    return rows.select("row_id", F.explode(attrs).alias("path", "value"))
+    headers, lines = fx.cells(spark, sf_dir)
+    rows = isa.annotate(isa.tab_rows(lines), isa.layouts(headers))
+    return rows.select((F.col("line_no") - 1).alias("row_id"), F.explode("attrs").alias("path", "value"))
 
 
 @query(

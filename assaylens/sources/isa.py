@@ -12,26 +12,33 @@ import io
 import os
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assaylens.errors import raise_if_any
+from assaylens.errors import guarded, raise_if_any
 from assaylens.functions.text import (
+    braces,
     capitalised,
+    harmonised_key,
     header_extra,
     header_field,
     header_subfield,
+    is_empty,
+    with_unit,
 )
 from assaylens.operators.ranking import join_back
+from assaylens.operators.shape import drop_empty
 
 # Names of archive members, and of the entities records describe.
 MEMBER_PATTERN = r"^([isa])_(.+)\.txt$"
 ENTITY_PATTERN = {"Study": r"^s_(.+)\.txt$", "Study Assays": r"^a_(.+)\.txt$"}
 ENTITY_KEY = {"Study": "Study File Name", "Study Assays": "Study Assay File Name"}
 COMMENT_PATTERN = r"^Comment\s*\[\s*(.+[^\s]\s*)\]\s*$"
+# The category of what a tab describes.
+CATEGORY = {"s": "study", "a": "assay"}
 # Sections of an investigation, and the one that has exactly one record.
 SECTIONS = (
     "Ontology Source Reference",
@@ -180,12 +187,18 @@ def extra_on_qualifiers(parsed: DataFrame) -> DataFrame:
     ).select(*TAB, "column", F.lit("Extra info past qualifier").alias("warning"))
 
 
-def layouts(headers: DataFrame, check: bool = True) -> DataFrame:
-    """(tab..., layout): for each main field, the positions of all that belongs to it."""
+def layouts(headers: DataFrame) -> DataFrame:
+    """(tab..., layout, slots): for each main field, the positions of all that belongs to it.
+
+    A qualifier without a main field before it, or a repeated ``field[subfield]``,
+    is an error.
+    """
     parsed = parsed_headers(headers)
-    if check:
-        raise_if_any(early_qualifiers(parsed), "qualifier before main field")
-        raise_if_any(duplicate_fields(parsed), "duplicate field[subfield]")
+    early = (F.col("role") == "qualifier") & (F.col("main_no") == 0)
+    parsed = parsed.withColumn(
+        "main_no",
+        guarded(F.col("main_no"), early, "qualifier before main field", F.col("accession"), F.col("column")),
+    )
     main = F.col("role") == "main"
     takes_reference = F.col("subfield").isNull() | (F.col("field") == PARAMETER)
     qualifier = F.when(
@@ -205,18 +218,46 @@ def layouts(headers: DataFrame, check: bool = True) -> DataFrame:
     )
     # a repeated top-level field is a list: number its occurrences
     same = Window.partitionBy(*TAB, "m.field", "m.subfield").orderBy("m.pos")
-    fields = fields.withColumn("ord", F.row_number().over(same) - 1)
+    fields = fields.withColumn("_ord", F.row_number().over(same) - 1)
+    repeated = (F.col("_ord") > 0) & F.col("m.subfield").isNotNull()
+    message = "duplicate field[subfield]"
+    names = (F.col("accession"), F.col("m.field"), F.col("m.subfield"))
+    fields = fields.withColumn("ord", guarded(F.col("_ord"), repeated, message, *names))
     comments = F.filter("qualifiers", lambda q: q.getField("field") == "Comment")
     references = F.filter("qualifiers", lambda q: q.getField("field").endswith(REFERENCE_SUFFIX))
     entry = F.struct(
         "m.pos", "m.field", "m.subfield", "m.extra", "ord", "ref_pos", "unit_pos", "term_pos",
-        comments.alias("comments"), references.alias("references"),
+        _last_by_name(comments, "subfield").alias("comments"),
+        _last_by_name(references, "field").alias("references"),
     )
-    return fields.groupBy(*TAB).agg(F.sort_array(F.collect_list(entry)).alias("layout"))
+    entries = fields.select(*TAB, _path("m.field", "m.subfield").alias("path"), entry.alias("e"))
+    # one slot per annotation path: where its values and their units are
+    slots = entries.groupBy(*TAB, "path").agg(
+        F.sort_array(F.collect_list("e")).alias("es"),
+        F.min(F.struct("e.field", "e.subfield")).alias("_first"),
+        F.max(F.struct("e.field", "e.subfield")).alias("_last"),
+    )
+    path = guarded(
+        F.col("path"), F.col("_first") != F.col("_last"), "harmonised keys conflict", F.col("path")
+    )
+    places = F.transform("es", lambda e: F.struct(e.getField("pos"), e.getField("unit_pos")))
+    per_tab = slots.groupBy(*TAB).agg(
+        F.sort_array(F.flatten(F.collect_list("es"))).alias("layout"),
+        F.collect_list(F.struct(path.alias("path"), places.alias("places"))).alias("slots"),
+    )
+    return per_tab
+
 
+def _path(field: str, subfield: str) -> Column:
+    category = F.element_at(
+        F.create_map(*[F.lit(x) for pair in CATEGORY.items() for x in pair]), F.col("kind")
+    )
+    keys = [harmonised_key(F.col(c)) for c in (field, subfield)]
+    return F.concat_ws(".", category, *keys)
 
-def _last_by_name(items: Column, name: str) -> tuple[Column, Column]:
-    """Distinct names of positioned items and the last position of each."""
+
+def _last_by_name(items: Column, name: str) -> Column:
+    """Distinct names of positioned items with the last position of each."""
     names = F.array_distinct(F.transform(items, lambda i: i.getField(name)))
     places = F.transform(
         names,
@@ -224,35 +265,59 @@ def _last_by_name(items: Column, name: str) -> tuple[Column, Column]:
             F.transform(F.filter(items, lambda i: i.getField(name) == n), lambda i: i.getField("pos"))
         ),
     )
-    return names, places
+    return F.struct(names.alias("names"), places.alias("places"))
+
+
+def _cell(position: Column) -> Column:
+    return F.get("cells", position)
 
 
 def read_fields(rows: DataFrame, tab_layouts: DataFrame) -> DataFrame:
     """Rows with ``fields``: value, unit, protocol and comments of each main field."""
-    joined = join_back(rows, tab_layouts, TAB)
 
-    def cell(position: Column) -> Column:
-        return F.get("cells", position)
+    def named(items: Column) -> Column:
+        places = items.getField("places")
+        return F.map_from_arrays(items.getField("names"), F.transform(places, _cell))
 
     def field(m: Column) -> Column:
-        comment_names, comment_places = _last_by_name(m.getField("comments"), "subfield")
-        ref_names, ref_places = _last_by_name(m.getField("references"), "field")
         return F.struct(
             m.getField("field").alias("field"),
             m.getField("subfield").alias("subfield"),
             m.getField("extra").alias("extra"),
             m.getField("ord").alias("ord"),
-            cell(m.getField("pos")).alias("value"),
-            cell(m.getField("ref_pos")).alias("protocol_ref"),
-            cell(m.getField("unit_pos")).alias("unit"),
-            cell(m.getField("term_pos")).alias("term"),
-            F.map_from_arrays(comment_names, F.transform(comment_places, cell)).alias("comment"),
-            F.map_from_arrays(ref_names, F.transform(ref_places, cell)).alias("references"),
+            _cell(m.getField("pos")).alias("value"),
+            _cell(m.getField("ref_pos")).alias("protocol_ref"),
+            _cell(m.getField("unit_pos")).alias("unit"),
+            _cell(m.getField("term_pos")).alias("term"),
+            named(m.getField("comments")).alias("comment"),
+            named(m.getField("references")).alias("references"),
         )
 
+    joined = join_back(rows, tab_layouts.drop("slots"), TAB)
     return joined.withColumn("fields", F.transform("layout", field)).drop("layout")
 
 
+def annotate(
+    rows: DataFrame, tab_layouts: DataFrame, formatter: Callable[[Column, Column], Column] = braces
+) -> DataFrame:
+    """Rows with ``attrs``: values by dotted path, straight from the cells.
+
+    Values are merged with their units, empty ones are left out, and a repeated
+    field becomes one text with its values separated by ``, ``.
+    """
+
+    def shown(place: Column) -> Column:
+        value, unit = _cell(place.getField("pos")), _cell(place.getField("unit_pos"))
+        return F.when(~is_empty(value), with_unit(value, unit, formatter))
+
+    joined = join_back(rows, tab_layouts.drop("layout"), TAB)
+    texts = F.transform(
+        "slots", lambda s: F.array_join(F.transform(s.getField("places"), shown), ", ")
+    )
+    attrs = F.map_from_arrays(F.transform("slots", lambda s: s.getField("path")), texts)
+    return joined.withColumn("attrs", drop_empty(attrs)).drop("slots")
+
+
 def _sample_names(fields: Column) -> Column:
     same = F.filter(
         fields, lambda f: (f.getField("field") == "Sample Name") & f.getField("subfield").isNull()
@@ -287,8 +352,17 @@ def duplicate_samples(named: DataFrame) -> DataFrame:
 
 def checked_rows(rows: DataFrame) -> DataFrame:
     """Rows with a sample name, after all checks on names."""
-    raise_if_any(conflicting_names(rows), "entry has multiple 'Sample Name' values")
-    named = named_rows(rows)
+    names = _sample_names(F.col("fields"))
+    named = named_rows(rows).withColumn(
+        "sample_name",
+        guarded(
+            F.col("sample_name"),
+            F.size(names) > 1,
+            "entry has multiple 'Sample Name' values",
+            F.col("accession"),
+            F.col("line_no"),
+        ),
+    )
     raise_if_any(duplicate_samples(named), "duplicate 'Sample Name' in study tab")
     return named
 

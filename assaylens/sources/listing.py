@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylens.errors import raise_if_any
+from assaylens.errors import guarded
 from assaylens.functions.text import epoch_seconds, percent_encode
 
 LISTING_SCHEMA = (
@@ -148,8 +148,8 @@ def latest_files(listing: DataFrame) -> DataFrame:
 
 def _matched(filename: Column) -> Column:
     """Numbers of the rules that match; each pattern is a literal compiled once."""
-    tests = [F.when(filename.rlike(r.pattern), F.lit(i)) for i, r in enumerate(RULES)]
-    return F.filter(F.array(*tests), lambda m: m.isNotNull())
+    tests = [F.when(filename.rlike(r.pattern), i).otherwise(-1) for i, r in enumerate(RULES)]
+    return F.array_remove(F.array(*tests), -1)
 
 
 def conflicting_names(listing: DataFrame) -> DataFrame:
@@ -157,23 +157,33 @@ def conflicting_names(listing: DataFrame) -> DataFrame:
     return listing.filter(F.size(_matched(F.col("filename"))) > 1).select("filename")
 
 
-def typed_files(listing: DataFrame, check: bool = True) -> DataFrame:
-    """Add datatype and flags by file name; names without a rule get NULLs."""
-    if check:
-        raise_if_any(conflicting_names(listing), "file name matches more than one pattern")
-    described = F.array(
-        *[
-            F.struct(
-                *[F.lit(getattr(r, f)).cast("string").alias(f) for f in TEXT_FLAGS],
-                *[F.lit(getattr(r, f)).cast("boolean").alias(f) for f in BOOLEAN_FLAGS],
-            )
-            for r in RULES
-        ]
+def rule_flags(spark: SparkSession) -> DataFrame:
+    """(rule, flags...): the rules as a table of fixed size."""
+    types = [f"{f} string" for f in TEXT_FLAGS] + [f"{f} boolean" for f in BOOLEAN_FLAGS]
+    rows = [(i, *(getattr(r, f) for f in FLAGS)) for i, r in enumerate(RULES)]
+    return spark.createDataFrame(rows, ", ".join(["_rule int", *types]))
+
+
+def typed_files(listing: DataFrame) -> DataFrame:
+    """Add datatype and flags by file name; names without a rule get NULLs.
+
+    A name that matches more than one rule is an error.
+    """
+    matched = F.col("_matched")
+    rule = guarded(
+        F.get(matched, F.lit(0)),
+        F.size(matched) > 1,
+        "file name matches more than one pattern",
+        F.col("filename"),
     )
-    rule = F.get(described, F.get(_matched(F.col("filename")), F.lit(0)))
-    return listing.withColumn("_rule", rule).select(
-        *listing.columns, *[F.col("_rule").getField(f).alias(f) for f in FLAGS]
+    # never NULL: a test for NULL would be pushed below earlier aggregations, and
+    # with it the matching of all the names they are about to reduce
+    numbered = listing.withColumn("_matched", _matched(F.col("filename"))).withColumn(
+        "_rule", F.coalesce(rule, F.lit(-1))
     )
+    # one row per rule, whatever the size of the listing: always small enough to broadcast
+    flags = F.broadcast(rule_flags(listing.sparkSession))
+    return numbered.join(flags, "_rule", "left").select(*listing.columns, *FLAGS)
 
 
 def with_urls(

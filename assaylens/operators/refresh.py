@@ -89,11 +89,11 @@ def replace_datasets(
 ) -> DataFrame:
     """Stored rows after a refresh.
 
-    Rows of dropped datasets go; rows of updated ones give way to the fresh rows,
-    which new ones add. Datasets in ``failed`` (accession) could not be parsed:
+    Rows of dropped datasets go; rows of updated and new ones give way to the fresh
+    rows, so that doing it again changes nothing. Datasets in ``failed`` (accession) could not be parsed:
     nothing of them is kept. Fresh and stale datasets keep what they had.
     """
-    gone = classes.filter(F.col("class").isin("dropped", "updated", "failed")).select("accession")
+    gone = classes.filter(~F.col("class").isin("fresh", "stale")).select("accession")
     wanted = classes.filter(F.col("class").isin("updated", "new")).select("accession")
     if failed is not None:
         wanted = wanted.join(failed.select("accession"), "accession", "left_anti")

@@ -49,10 +49,13 @@ def move_material_type(attrs: Column) -> Column:
     Entirely blank values are dropped at both places; a legacy text that lists
     several values is left where it is.
     """
-    old = F.nullif(F.trim(attrs.getItem(LEGACY)), F.lit(""))
-    new = F.nullif(F.trim(attrs.getItem(MATERIAL)), F.lit(""))
-    single = F.when(F.size(F.split(old, LIST_SEPARATOR)) == 1, attrs.getItem(LEGACY))
-    value = F.coalesce(F.when(new.isNotNull(), attrs.getItem(MATERIAL)), single)
+    def filled(path: str) -> Column:
+        value = attrs.getItem(path)
+        return F.when(value.rlike(r"\S"), value)
+
+    old, new = filled(LEGACY), filled(MATERIAL)
+    single = F.when(F.size(F.split(old, LIST_SEPARATOR)) == 1, old)
+    value = F.coalesce(new, single)
     rest = F.map_filter(
         attrs, lambda k, _: (k != MATERIAL) & ((k != LEGACY) | old.isNotNull())
     )

@@ -21,46 +21,32 @@ from assaylens.operators.ranking import join_back
 EXACT, DOTTED, PREFIX = 1, 2, 3
 
 
-def _prefixes(df: DataFrame, by: Sequence[str], sizes: DataFrame) -> DataFrame:
-    """Add ``_probe``: each proper prefix of ``_dotted`` whose length the other side has."""
+def _prefixes(df: DataFrame, by: list[str], sizes: DataFrame) -> DataFrame:
+    """Add ``probe``: each proper prefix of ``dotted`` whose length the other side has."""
     return (
-        join_back(df, sizes, by)
+        df.join(sizes, by)
         .withColumn("_size", F.explode("_sizes"))
-        .filter(F.col("_size") < F.length("_dotted"))
-        .withColumn("_probe", F.expr("substring(_dotted, 1, _size)"))
+        .filter(F.col("_size") < F.length("dotted"))
+        .withColumn("probe", F.expr("substring(dotted, 1, _size)"))
         .drop("_size", "_sizes")
     )
 
 
-def _sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
+def _sizes(df: DataFrame, by: list[str]) -> DataFrame:
     """Distinct name lengths per group: as many as the longest name has characters."""
-    return df.groupBy(*by).agg(F.collect_set(F.length("_dotted")).alias("_sizes"))
+    return df.groupBy(*by).agg(F.collect_set(F.length("dotted")).alias("_sizes"))
 
 
-def _keyed(df: DataFrame, name: str) -> DataFrame:
-    """The keys of tiers 1 and 2, one row each."""
-    keys = F.array(
-        F.struct(F.lit(EXACT).alias("tier"), F.col(name).alias("key")),
-        F.struct(F.lit(DOTTED).alias("tier"), F.col("_dotted").alias("key")),
-    )
-    return df.withColumn("_k", F.explode(keys)).select("*", "_k.tier", "_k.key").drop("_k")
-
-
-def _inputs(
-    names: DataFrame, candidates: DataFrame, by: Sequence[str]
-) -> tuple[DataFrame, DataFrame]:
-    ours = names.select(*by, "name").filter(F.col("name").isNotNull()).distinct()
-    theirs = candidates.select(*by, "candidate").filter(F.col("candidate").isNotNull()).distinct()
-    return (
-        ours.withColumn("_dotted", dotted(F.col("name"))),
-        theirs.withColumn("_dotted", dotted(F.col("candidate"))),
-    )
+def _distinct_names(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """Distinct names with their dotted form; a name or group that is NULL matches nothing."""
+    named = df.select(*by, column).dropna().distinct()
+    return named.withColumn("dotted", dotted(F.col(column)))
 
 
-def _summary(theirs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _summary(theirs: DataFrame, keys: list[str]) -> DataFrame:
     """Number and least of the candidates behind each key; combined before the shuffle."""
     return theirs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("candidate").alias("_candidate")
+        F.count(F.lit(1)).alias("n"), F.min("candidate").alias("least")
     )
 
 
@@ -69,88 +55,80 @@ def best_match(names: DataFrame, candidates: DataFrame, by: Sequence[str]) -> Da
 
     ``candidate`` is the match when there is exactly one, else NULL; ``tier`` is NULL
     without a match. Candidates are counted per key, so a short name that begins a
-    million others costs one row, not a million.
+    million others costs one row, not a million. The first two tiers are joins on
+    partitionings that the distinct names have already; only names without a match
+    there are cut into prefixes.
     """
     by = list(by)
-    ours, theirs = _inputs(names, candidates, by)
-    near = _summary(_keyed(theirs, "candidate"), [*by, "tier", "key"])
-    hits = (
-        join_back(_keyed(ours, "name"), near, [*by, "tier", "key"], "left")
-        .groupBy(*by, "name", "_dotted")
-        .agg(
-            *[
-                F.max(F.when(F.col("tier") == t, F.struct("_n", "_candidate"))).alias(f"_t{t}")
-                for t in (EXACT, DOTTED)
-            ]
-        )
-    )
-    best = F.coalesce(
-        *[
-            F.when(
-                F.col(f"_t{t}._n").isNotNull(),
-                F.struct(F.lit(t).alias("tier"), f"_t{t}._n", f"_t{t}._candidate"),
-            )
-            for t in (EXACT, DOTTED)
-        ]
-    )
-    decided = hits.withColumn("_best", best).select(*by, "name", "_dotted", "_best.*")
-    far = _prefix_summary(decided.filter(F.col("tier").isNull()), theirs, by)
-    near_rows = decided.filter(F.col("tier").isNotNull()).select(
-        *by, "name", "tier", "_n", "_candidate"
-    )
-    return near_rows.unionByName(far).select(
+    ours = _distinct_names(names, by, "name")
+    theirs = _distinct_names(candidates, by, "candidate")
+    equal = theirs.select(*by, F.col("candidate").alias("name"), F.lit(True).alias("_equal"))
+    alike = _summary(theirs, [*by, "dotted"])
+    near = ours.join(equal, [*by, "name"], "left").join(alike, [*by, "dotted"], "left")
+    decided = near.select(
+        *by,
+        "name",
+        "dotted",
+        F.when(F.col("_equal"), EXACT).when(F.col("n").isNotNull(), DOTTED).alias("tier"),
+        F.when(F.col("_equal"), F.lit(1)).otherwise(F.col("n")).alias("n"),
+        F.when(F.col("_equal"), F.col("name")).otherwise(F.col("least")).alias("least"),
+    )
+    rest = decided.filter(F.col("tier").isNull()).select(*by, "name", "dotted")
+    rows = decided.filter(F.col("tier").isNotNull()).drop("dotted")
+    return rows.unionByName(_prefix_summary(rest, theirs, alike, by)).select(
         *by,
         "name",
         "tier",
-        F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_matches"),
-        F.when(F.col("_n") == 1, F.col("_candidate")).alias("candidate"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n_matches"),
+        F.when(F.col("n") == 1, F.col("least")).alias("candidate"),
     )
 
 
-def _prefix_summary(rest: DataFrame, theirs: DataFrame, by: list[str]) -> DataFrame:
+def _prefix_summary(rest: DataFrame, theirs: DataFrame, alike: DataFrame, by: list[str]) -> DataFrame:
     """Third tier for the names that are left: counts from both directions."""
-    rest = rest.select(*by, "name", "_dotted")
-    whole = _summary(theirs.withColumnRenamed("_dotted", "_probe"), [*by, "_probe"])
-    cut = _summary(_prefixes(theirs, by, _sizes(rest, by)), [*by, "_probe"])
+    cut = _summary(_prefixes(theirs, by, _sizes(rest, by)), [*by, "probe"])
     probes = (
         _prefixes(rest, by, _sizes(theirs, by))
-        .withColumn("_whole", F.lit(True))
-        .unionByName(rest.withColumn("_probe", F.col("_dotted")).withColumn("_whole", F.lit(False)))
+        .withColumn("whole", F.lit(True))
+        .unionByName(rest.withColumn("probe", F.col("dotted")).withColumn("whole", F.lit(False)))
     )
-    keys = whole.withColumn("_whole", F.lit(True)).unionByName(
-        cut.withColumn("_whole", F.lit(False))
+    keys = (
+        alike.withColumnRenamed("dotted", "probe")
+        .withColumn("whole", F.lit(True))
+        .unionByName(cut.withColumn("whole", F.lit(False)))
     )
     return (
-        join_back(probes, keys, [*by, "_probe", "_whole"], "left")
+        probes.join(keys, [*by, "probe", "whole"], "left")
         .groupBy(*by, "name")
-        .agg(F.sum("_n").alias("_n"), F.min("_candidate").alias("_candidate"))
-        .withColumn("tier", F.when(F.col("_n").isNotNull(), F.lit(PREFIX)))
-        .select(*by, "name", "tier", "_n", "_candidate")
+        .agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+        .withColumn("tier", F.when(F.col("n").isNotNull(), F.lit(PREFIX)))
     )
 
 
 def all_matches(names: DataFrame, candidates: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by..., name, tier, candidate): every match in the best tier of each name."""
     by = list(by)
-    ours, theirs = _inputs(names, candidates, by)
-    near = join_back(
-        _keyed(ours, "name").drop("_dotted"),
-        _keyed(theirs, "candidate").drop("_dotted"),
-        [*by, "tier", "key"],
-    ).select(*by, "name", "tier", "candidate")
-    tiers = near.groupBy(*by, "name").agg(F.min("tier").alias("tier"))
-    near = join_back(near, tiers, [*by, "name", "tier"])
-    rest = join_back(ours, tiers.drop("tier"), [*by, "name"], "left_anti")
-    whole = theirs.select(*by, "candidate", F.col("_dotted").alias("_probe"))
-    cut = _prefixes(theirs, by, _sizes(rest, by)).select(*by, "candidate", "_probe")
-    longer = join_back(
-        _prefixes(rest, by, _sizes(theirs, by)).drop("_dotted"), whole, [*by, "_probe"]
-    )
-    shorter = join_back(rest.withColumnRenamed("_dotted", "_probe"), cut, [*by, "_probe"])
-    far = longer.select(*by, "name", "candidate").unionByName(
-        shorter.select(*by, "name", "candidate")
-    )
-    return near.unionByName(far.withColumn("tier", F.lit(PREFIX)).select(near.columns))
+    ours = _distinct_names(names, by, "name")
+    theirs = _distinct_names(candidates, by, "candidate")
+    equal = theirs.select(*by, F.col("candidate").alias("name"), F.lit(True).alias("_equal"))
+    alike = theirs.groupBy(*by, "dotted").agg(F.lit(True).alias("_alike"))
+    near = ours.join(equal, [*by, "name"], "left").join(alike, [*by, "dotted"], "left")
+    exact = near.filter("_equal").select(
+        *by, "name", F.lit(EXACT).alias("tier"), F.col("name").alias("candidate")
+    )
+    similar = (
+        near.filter("_equal IS NULL AND _alike")
+        .select(*by, "name", "dotted")
+        .join(theirs, [*by, "dotted"])
+        .select(*by, "name", F.lit(DOTTED).alias("tier"), "candidate")
+    )
+    rest = near.filter("_equal IS NULL AND _alike IS NULL").select(*by, "name", "dotted")
+    whole = theirs.withColumnRenamed("dotted", "probe")
+    cut = _prefixes(theirs, by, _sizes(rest, by)).drop("dotted")
+    longer = _prefixes(rest, by, _sizes(theirs, by)).drop("dotted").join(whole, [*by, "probe"])
+    shorter = rest.withColumnRenamed("dotted", "probe").join(cut, [*by, "probe"])
+    far = longer.unionByName(shorter).select(*by, "name", F.lit(PREFIX).alias("tier"), "candidate")
+    return exact.unionByName(similar).unionByName(far)
 
 
 def ambiguous(matched: DataFrame) -> DataFrame:

@@ -104,15 +104,12 @@ def profile_outer_join(tables: Sequence[DataFrame], index: str) -> DataFrame:
     """
     check_same_index(tables, index)
     presence = index_presence(tables, index)
-    covered = presence.agg(
-        F.count(F.lit(1)).alias("n_keys"),
-        F.array(
-            *[
-                F.count_if(F.array_contains("present", i)).alias(f"t{i}")
-                for i in range(len(tables))
-            ]
-        ).alias("n_by_table"),
-        F.count_if(F.col(f"`{index}`").isNull()).alias("n_null"),
+    in_table = [F.count_if(F.array_contains("present", i)) for i in range(len(tables))]
+    # one row per table: does it lack index values another one holds?
+    partial = (
+        presence.agg(F.count(F.lit(1)).alias("n_keys"), F.array(*in_table).alias("held"))
+        .select("n_keys", F.posexplode("held").alias("t", "n_held"))
+        .select("t", (F.col("n_held") < F.col("n_keys")).alias("partial"))
     )
     parts = []
     for i, table in enumerate(tables):
@@ -131,11 +128,9 @@ def profile_outer_join(tables: Sequence[DataFrame], index: str) -> DataFrame:
         F.sum("n_present").alias("n_present"),
         F.sum("n_rows").alias("n_rows"),
     )
-    merged = merged.withColumn("_one", F.lit(1)).join(covered.withColumn("_one", F.lit(1)), "_one")
-    partial = F.when(F.col("t") >= 0, F.get("n_by_table", F.col("t")) < F.col("n_keys")).otherwise(
-        F.lit(False)
-    )
-    return _describe(merged, (F.col("n_present") < F.col("n_rows")) | partial)
+    merged = merged.join(partial, "t", "left")
+    lacking = F.coalesce("partial", F.lit(False))
+    return _describe(merged, (F.col("n_present") < F.col("n_rows")) | lacking)
 
 
 def shape(df: DataFrame, index: Sequence[str]) -> DataFrame:

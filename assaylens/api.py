@@ -15,6 +15,7 @@ from assaylens.operators.predicates import Comparison, IdSelection, Predicate, f
 from assaylens.sinks.formats import write_result
 
 SAMPLE = ["accession", "assay_name", "sample_name"]
+SAMPLE_SUBSET = "sample name"  # the flag of files whose columns, or whose index, are samples
 
 
 @dataclass(frozen=True)
@@ -93,22 +94,47 @@ class Repository:
     def long_data(self, *predicates: Predicate | IdSelection) -> DataFrame:
         """Measurements of the selected samples in the selected files, in long form.
 
-        File column names become sample names by best match; the samples that fail
-        the predicates, and columns that stand for no sample, drop out.
+        File column names become sample names by best match. In files whose columns
+        are samples (``column_subset``) the samples that fail the predicates, and
+        columns that stand for no sample, drop out; other files keep all columns. In
+        files whose index is the sample (``index_subset``) the index is matched.
         """
         if self.measurements is None:
             raise QueryError("this repository has no measurements")
         chosen = self._with_files(*predicates)
         key = ["accession", "assay_name", "filename"]
-        covered = file_ops.files_with_samples(self.samples)
-        wanted_files = chosen.select("accession", "assay_name", F.col("file.filename").alias("filename"))
-        wanted_files = wanted_files.distinct()
-        rows = self.measurements.join(wanted_files, key, "left_semi")
-        columns = rows.select(*key, F.col("sample_name").alias("name")).distinct()
-        known = covered.join(wanted_files, key, "left_semi").withColumnRenamed("sample_name", "candidate")
-        matched = names.match_columns(columns, known, key, keep_unmatched=False)
-        renamed = names.rename_samples(rows, matched, key)
-        return file_ops.select_measurements(renamed, chosen, SAMPLE)
+        flags = chosen.schema["file"].dataType.fieldNames()
+        by_column, by_index = (
+            (F.coalesce(F.col(f"file.{f}") == SAMPLE_SUBSET, F.lit(False)) if f in flags else F.lit(False)).alias(n)
+            for f, n in (("column_subset", "_by_column"), ("index_subset", "_by_index"))
+        )
+        files = chosen.select(
+            "accession", "assay_name", F.col("file.filename").alias("filename"), by_column, by_index
+        ).distinct()
+        rows = self.measurements.join(files, key)
+        name = F.when(F.col("_by_index"), F.col("feature")).otherwise(F.col("sample_name"))
+        rows = rows.withColumn("_name", name)
+        known = (
+            file_ops.files_with_samples(self.samples)
+            .join(files, key, "left_semi")
+            .withColumnRenamed("sample_name", "candidate")
+        )
+        matched = names.match_columns(
+            rows.select(*key, F.col("_name").alias("name")), known, key, keep_unmatched=True
+        ).withColumnRenamed("name", "_name")
+        selected = chosen.select(
+            "accession", "assay_name", F.col("sample_name").alias("harmonised"), F.lit(True).alias("_selected")
+        ).distinct()
+        renamed = rows.join(matched, [*key, "_name"]).join(
+            selected, ["accession", "assay_name", "harmonised"], "left"
+        )
+        kept = renamed.filter(~F.col("_by_column") | (F.col("tier").isNotNull() & F.col("_selected")))
+        return kept.select(
+            *key,
+            F.when(F.col("_by_index"), F.col("harmonised")).otherwise(F.col("feature")).alias("feature"),
+            F.when(F.col("_by_index"), F.col("sample_name")).otherwise(F.col("harmonised")).alias("sample_name"),
+            "value",
+        )
 
     def data(
         self,
@@ -130,10 +156,12 @@ class Repository:
                 descriptors = descriptors.withColumn(flag, F.lit(None).cast("string"))
         tables.check_joinable(descriptors)
         kinds = descriptors.select(
-            "datatype", F.col("gct_valid").cast("boolean").alias("gct"), F.col("index_name")
+            "datatype", "type", F.col("gct_valid").cast("boolean").alias("gct"), "index_name"
         ).distinct().collect()  # at most one row per typing rule
         if not kinds:
             raise DataError("no file found matching specified constraints")
+        if any(k["type"] != "table" for k in kinds):
+            raise DataError("the requested file is not a table")
         index = next((k["index_name"] for k in kinds if k["index_name"]), "feature")
         long = self.long_data(*predicates).select(
             F.col("feature").alias(index), F.concat_ws("/", *SAMPLE).alias("column"), "value"

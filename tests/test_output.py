@@ -103,16 +103,21 @@ def test_formats_suit_results(spark, table, tmp_path, kind, fmt):
 
 # --- the user-level queries --------------------------------------------------------------
 
-FILE = "struct<filename:string,datatype:string,type:string,joinable:boolean,gct_valid:boolean>"
+FILE = (
+    "struct<filename:string,datatype:string,type:string,joinable:boolean,gct_valid:boolean,"
+    "column_subset:string,index_subset:string,index_name:string>"
+)
 
 
 @pytest.fixture(scope="module")
 def repository(spark):
-    counts = ("counts.csv", "unnormalized counts", "table", True, True)
-    other = ("pca.csv", "pca", "table", None, None)
+    counts = ("counts.csv", "unnormalized counts", "table", True, True, "sample name", None, None)
+    pca = ("pca.csv", "pca", "table", None, None, None, "sample name", "sample name")
+    statistics = ("de.csv", "differential expression", "table", None, None, None, None, None)
+    reads = ("x.fastq", "raw reads", None, None, None, None, None, None)
     tech = {"investigation.study assays.study assay technology type": "RNA-Seq"}
     rows = [
-        (d, "rna", s, {"study.factor value.flight": v, **tech}, [counts, other])
+        (d, "rna", s, {"study.factor value.flight": v, **tech}, [counts, pca, statistics, reads])
         for d, s, v in (("D-1", "s-1", "space"), ("D-1", "s-2", "ground"), ("D-2", "s-1", "space"), ("D-2", "t", "space"))
     ]
     samples = spark.createDataFrame(
@@ -122,8 +127,11 @@ def repository(spark):
         ("D-1", "g1", "s.1", 1.0), ("D-1", "g1", "s.2", 2.0), ("D-1", "g2", "s.1", 3.0),
         ("D-2", "g1", "s_1_rep", 4.0), ("D-2", "g3", "t", 5.0), ("D-2", "g3", "length", 9.0),
     ]
+    rows = [(d, "rna", "counts.csv", g, s, v) for d, g, s, v in values]
+    rows += [("D-1", "rna", "pca.csv", s, c, v) for s, c, v in (("s_1", "PC1", 1.0), ("x", "PC2", 2.0))]
+    rows += [("D-1", "rna", "de.csv", "g1", c, v) for c, v in (("Amean", 1.0), ("s.1", 2.0), ("s.2", 3.0))]
     measured = spark.createDataFrame(
-        [(d, "rna", "counts.csv", g, s, v) for d, g, s, v in values],
+        rows,
         "accession string, assay_name string, filename string, feature string, sample_name string, value double",
     )
     return Repository(samples, measured)
@@ -157,6 +165,18 @@ def test_data_queries_that_cannot_be_answered(repository):
         repository.data(p.eq("file.datatype", "nothing"))
 
 
+def test_files_whose_columns_are_not_samples(repository):
+    one = (p.by_id("D-1"), p.eq("study.factor value.flight", "space"))
+    result = repository.data(p.eq("file.datatype", "differential expression"), *one)
+    assert result.table.columns == ["feature", "D-1/rna/Amean", "D-1/rna/s-1", "D-1/rna/s-2"]
+    assert [tuple(r) for r in result.table.collect()] == [("g1", 1.0, 2.0, 3.0)]
+    result = repository.data(p.eq("file.datatype", "pca"), *one)
+    assert result.table.columns == ["sample name", "D-1/rna/PC1", "D-1/rna/PC2"]
+    assert sorted(map(tuple, result.table.collect()), key=str) == [("s-1", 1.0, None), ("x", None, 2.0)]
+    with pytest.raises(DataError, match="not a table"):
+        repository.data(p.eq("file.filename", "x.fastq"), *one)
+
+
 def test_views_of_a_repository(repository):
     view = repository.samples_view(p.eq("study.factor value.flight", "ground"))
     assert [tuple(r) for r in view.collect()] == [("D-1", "rna", "s-2", "ground")]

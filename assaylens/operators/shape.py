@@ -43,6 +43,12 @@ def leaf_elements(attrs: Column) -> Column:
     return F.array_distinct(F.flatten(items))
 
 
+def nested_fields(attrs: Column) -> Column:
+    """The entries below a field (``assay.parameter value.x``), without lists such as
+    ``assay.raw data file``, whose items do not name files of the dataset."""
+    return F.map_filter(attrs, lambda k, _: F.size(F.split(k, r"\.")) > 2)
+
+
 def move_material_type(attrs: Column) -> Column:
     """Move the legacy material type to the characteristics unless one is there.
 

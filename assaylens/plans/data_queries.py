@@ -246,7 +246,7 @@ _SELECTED = [(a, b, n) for a, b, n in POOLED if int(n[7:]) % 5 in (2, 3) and int
         _SELECTED,
         where="WHERE " + "sample_name IN (" + ", ".join(f"'{n}'" for n in sorted({c[2] for c in _SELECTED})) + ")",
         having="HAVING max(CASE WHEN accession = 'GLDS-1' AND assay_name = 'o' "
-        "AND sample_name = 'NATION_2' THEN value END) > 30",
+        "AND sample_name = 'NATION_3' THEN value END) > 30",
     ),
 )
 def flagship(spark, sf_dir):
@@ -262,7 +262,7 @@ def flagship(spark, sf_dir):
         chosen.select(F.concat_ws("/", *SAMPLE).alias("column")), "column"
     )
     wide = tables.pivot_long(long, "feature", "column", "value", columns)
-    result = tables.where(wide, "feature", [p.compare("GLDS-1/o/NATION_2", ">", 30)])
+    result = tables.where(wide, "feature", [p.compare("GLDS-1/o/NATION_3", ">", 30)])
     return result.toDF(*map(_flat, result.columns))
 
 

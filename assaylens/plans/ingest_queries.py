@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaylens.functions import text
+from assaylens.ingest import build_samples
 from assaylens.operators import shape
 from assaylens.plans import fixtures as fx
 from assaylens.plans.registry import query
@@ -56,6 +57,17 @@ def s3(spark, sf_dir):
     return spark.read.parquet(target)
 
 
+_INVESTIGATION = """INVESTIGATION
+Investigation Title\tOrders
+STUDY
+Study File Name\ts_first.txt
+Study Title\tPrices
+STUDY ASSAYS
+Study Assay File Name\ta_first.txt
+Study Assay Technology Type\tDNA Microarray
+"""
+
+
 def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One archive of three tabs per batch of orders."""
     for batch in batches:
@@ -69,7 +81,7 @@ def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             assay.append(f"smp{row.o_orderkey}\t{row.o_orderstatus}")
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr(f"{name}/i_all.txt", "INVESTIGATION\nInvestigation Identifier\t" + name)
+            archive.writestr(f"{name}/i_all.txt", _INVESTIGATION)
             archive.writestr(f"{name}/s_first.txt", "# a comment\n" + "\n".join(study))
             archive.writestr(f"{name}/a_first.txt", "\n".join(assay))
             archive.writestr(f"{name}/readme.md", "not a tab")
@@ -227,7 +239,7 @@ def _sample_tab(spark, sf_dir):
             ("Factor Value[Status]", F.col("o_orderstatus")),
         ],
     )
-    return isa.read_fields(isa.tab_rows(lines), isa.layouts(headers))
+    return isa.with_names(isa.tab_rows(lines), isa.layouts(headers))
 
 
 @query(
@@ -236,7 +248,7 @@ def _sample_tab(spark, sf_dir):
        FROM orders WHERE o_orderkey % 10 <> 0""",
 )
 def s10(spark, sf_dir):
-    return isa.checked_rows(_sample_tab(spark, sf_dir)).select("accession", "sample_name")
+    return isa.named_rows(_sample_tab(spark, sf_dir)).select("accession", "sample_name")
 
 
 @query(
@@ -344,6 +356,39 @@ def s16(spark, sf_dir):
     return fx.latest(spark, sf_dir).select("accession", "filename", "version", "ts")
 
 
+@query(
+    "ingest_samples",
+    """SELECT concat('smp', o_orderkey) AS sample_name, 'first' AS assay_name, 'first' AS study_name,
+              CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS price, o_orderstatus AS status,
+              'DNA Microarray' AS technology, 'Prices' AS title, 'Orders' AS project,
+              CASE WHEN o_orderstatus = 'F' THEN 'F,ISA.zip' ELSE 'ISA.zip' END AS files FROM orders""",
+)
+def ingest_samples(spark, sf_dir):
+    """Archives and listings to sample rows; a file named like the status belongs to the sample."""
+    archives = _archives(spark, sf_dir)
+    names = F.explode(F.array(F.lit("F"), F.lit("ISA.zip"), F.lit("other.txt")))
+    files = archives.select("accession", names.alias("filename")).select(
+        "accession",
+        "filename",
+        F.when(F.col("filename") == "ISA.zip", "isa").alias("datatype"),
+        (F.col("filename") == "ISA.zip").alias("internal"),
+        F.lit(None).cast("string").alias("condition"),
+    )
+    attrs = F.col("attrs")
+    listed = F.array_sort(F.transform("files", lambda f: f.getField("filename")))
+    return build_samples(archives, files).select(
+        "sample_name",
+        "assay_name",
+        "study_name",
+        attrs["study.characteristics.price"].alias("price"),
+        attrs["assay.parameter value.status"].alias("status"),
+        attrs[fx.TECHNOLOGY].alias("technology"),
+        attrs["investigation.study.study title"].alias("title"),
+        attrs["investigation.investigation.investigation title"].alias("project"),
+        F.array_join(listed, ",").alias("files"),
+    )
+
+
 # --- shaping ---------------------------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assaylens.errors import guarded, raise_if_any
+from assaylens.errors import guarded
 from assaylens.functions.text import (
     braces,
     capitalised,
@@ -64,6 +64,7 @@ QUALIFIERS = ("Term Accession Number", "Unit", "Comment")
 REFERENCE_SUFFIX = " REF"
 PROTOCOL = "Protocol REF"
 PARAMETER = "Parameter Value"
+SAMPLE_NAME = "Sample Name"
 
 LINE_SCHEMA = "accession string, kind string, tab string, line_no bigint, cells array<string>"
 TAB = ("accession", "kind", "tab")
@@ -188,7 +189,10 @@ def extra_on_qualifiers(parsed: DataFrame) -> DataFrame:
 
 
 def layouts(headers: DataFrame) -> DataFrame:
-    """(tab..., layout, slots): for each main field, the positions of all that belongs to it.
+    """(tab..., name_places, layout, slots): where in a row what is to be found.
+
+    ``name_places`` lists the sample name columns; ``layout`` holds, for each main
+    field, the positions of all that belongs to it; ``slots`` the same by path.
 
     A qualifier without a main field before it, or a repeated ``field[subfield]``,
     is an error.
@@ -241,7 +245,11 @@ def layouts(headers: DataFrame) -> DataFrame:
         F.col("path"), F.col("_first") != F.col("_last"), "harmonised keys conflict", F.col("path")
     )
     places = F.transform("es", lambda e: F.struct(e.getField("pos"), e.getField("unit_pos")))
+    is_name = (F.col("_first.field") == SAMPLE_NAME) & F.col("_first.subfield").isNull()
     per_tab = slots.groupBy(*TAB).agg(
+        F.flatten(F.collect_list(F.when(is_name, F.transform("es", lambda e: e.getField("pos"))))).alias(
+            "name_places"
+        ),
         F.sort_array(F.flatten(F.collect_list("es"))).alias("layout"),
         F.collect_list(F.struct(path.alias("path"), places.alias("places"))).alias("slots"),
     )
@@ -293,7 +301,7 @@ def read_fields(rows: DataFrame, tab_layouts: DataFrame) -> DataFrame:
             named(m.getField("references")).alias("references"),
         )
 
-    joined = join_back(rows, tab_layouts.drop("slots"), TAB)
+    joined = join_back(rows, tab_layouts.drop("slots", "name_places"), TAB)
     return joined.withColumn("fields", F.transform("layout", field)).drop("layout")
 
 
@@ -310,7 +318,7 @@ def annotate(
         value, unit = _cell(place.getField("pos")), _cell(place.getField("unit_pos"))
         return F.when(~is_empty(value), with_unit(value, unit, formatter))
 
-    joined = join_back(rows, tab_layouts.drop("layout"), TAB)
+    joined = join_back(rows, tab_layouts.drop("layout", "name_places"), TAB)
     texts = F.transform(
         "slots", lambda s: F.array_join(F.transform(s.getField("places"), shown), ", ")
     )
@@ -318,30 +326,28 @@ def annotate(
     return joined.withColumn("attrs", drop_empty(attrs)).drop("slots")
 
 
-def _sample_names(fields: Column) -> Column:
-    same = F.filter(
-        fields, lambda f: (f.getField("field") == "Sample Name") & f.getField("subfield").isNull()
-    )
-    return F.array_distinct(F.transform(same, lambda f: f.getField("value")))
+def with_names(rows: DataFrame, tab_layouts: DataFrame) -> DataFrame:
+    """Rows with ``sample_names``: the distinct contents of their sample name columns."""
+    joined = join_back(rows, tab_layouts.drop("layout", "slots"), TAB)
+    names = F.array_distinct(F.transform("name_places", _cell))
+    missing = guarded(names, F.size("name_places") == 0, "entry missing 'Sample Name'", *map(F.col, TAB))
+    return joined.withColumn("sample_names", missing).drop("name_places")
 
 
-def named_rows(rows: DataFrame) -> DataFrame:
-    """Add ``sample_name`` and drop the rows without one."""
-    name = F.get(_sample_names(F.col("fields")), F.lit(0))
-    return rows.withColumn("sample_name", name).filter(F.col("sample_name").isNotNull())
+def _first_name() -> Column:
+    return F.get("sample_names", F.lit(0))
 
 
 def unnamed_rows(rows: DataFrame) -> DataFrame:
     """Warnings: rows whose sample name is missing."""
-    name = F.get(_sample_names(F.col("fields")), F.lit(0))
-    return rows.filter(name.isNull()).select(
+    return rows.filter(_first_name().isNull()).select(
         *TAB, "line_no", F.lit("Null 'Sample Name'").alias("warning")
     )
 
 
 def conflicting_names(rows: DataFrame) -> DataFrame:
     """Rows whose sample name columns disagree."""
-    return rows.filter(F.size(_sample_names(F.col("fields"))) > 1).select(*TAB, "line_no")
+    return rows.filter(F.size("sample_names") > 1).select(*TAB, "line_no")
 
 
 def duplicate_samples(named: DataFrame) -> DataFrame:
@@ -350,21 +356,17 @@ def duplicate_samples(named: DataFrame) -> DataFrame:
     return studies.groupBy("accession", "sample_name").count().filter("count > 1")
 
 
-def checked_rows(rows: DataFrame) -> DataFrame:
-    """Rows with a sample name, after all checks on names."""
-    names = _sample_names(F.col("fields"))
-    named = named_rows(rows).withColumn(
-        "sample_name",
-        guarded(
-            F.col("sample_name"),
-            F.size(names) > 1,
-            "entry has multiple 'Sample Name' values",
-            F.col("accession"),
-            F.col("line_no"),
-        ),
+def named_rows(rows: DataFrame) -> DataFrame:
+    """Rows with their one ``sample_name``; those without one drop out."""
+    name = guarded(
+        _first_name(),
+        F.size("sample_names") > 1,
+        "entry has multiple 'Sample Name' values",
+        F.col("accession"),
+        F.col("line_no"),
     )
-    raise_if_any(duplicate_samples(named), "duplicate 'Sample Name' in study tab")
-    return named
+    named = rows.filter(_first_name().isNotNull() | (F.size("sample_names") > 1))
+    return named.withColumn("sample_name", name).drop("sample_names")
 
 
 # --- investigation ------------------------------------------------------------------
@@ -443,6 +445,14 @@ def investigation_records(cells: DataFrame) -> DataFrame:
     )
 
 
+def record_attrs(content: Column, section: str) -> Column:
+    """Annotation map of a record: ``investigation.<section>.<key>``, without empty values."""
+    prefix = f"investigation.{section.lower()}."
+    return drop_empty(
+        F.transform_keys(content, lambda k, _: F.concat(F.lit(prefix), harmonised_key(k)))
+    )
+
+
 def entity_records(records: DataFrame, section: str) -> DataFrame:
     """Records of studies or assays by the name their file name holds."""
     file_name = F.col("content").getItem(ENTITY_KEY[section])

@@ -99,19 +99,23 @@ def test_rows_repeat_and_blank_cells(spark):
 
 def test_sample_names_of_rows(spark):
     headers, rows = tab(spark, ["Source Name", "Sample Name"], ["a", "s1"], ["b", ""])
-    read = isa.read_fields(rows, isa.layouts(headers))
-    assert [r["sample_name"] for r in isa.checked_rows(read).collect()] == ["s1"]
+    read = isa.with_names(rows, isa.layouts(headers))
+    assert [r["sample_name"] for r in isa.named_rows(read).collect()] == ["s1"]
     assert [r["line_no"] for r in isa.unnamed_rows(read).collect()] == [2]
 
     headers, rows = tab(spark, ["Sample Name", "Sample Name"], ["s1", "s1"], ["s2", "s3"])
-    read = isa.read_fields(rows, isa.layouts(headers))
+    read = isa.with_names(rows, isa.layouts(headers))
     assert [r["line_no"] for r in isa.conflicting_names(read).collect()] == [2]
     with pytest.raises(PySparkException, match="multiple 'Sample Name'"):
-        isa.checked_rows(read).collect()
+        isa.named_rows(read).collect()
 
     headers, rows = tab(spark, ["Sample Name", "Source Name"], ["s1", "a"], ["s1", "b"])
-    with pytest.raises(DataError, match="duplicate 'Sample Name'"):
-        isa.checked_rows(isa.read_fields(rows, isa.layouts(headers)))
+    named = isa.named_rows(isa.with_names(rows, isa.layouts(headers)))
+    assert [r["sample_name"] for r in isa.duplicate_samples(named).collect()] == ["s1"]
+
+    headers, rows = tab(spark, ["Source Name", "X[ab]"], ["a", "s1"])
+    with pytest.raises(PySparkException, match="entry missing 'Sample Name'"):
+        isa.with_names(rows, isa.layouts(headers)).collect()
 
 
 def archive(**members):

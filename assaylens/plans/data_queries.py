@@ -9,6 +9,8 @@ from assaylens.operators import files as file_ops
 from assaylens.operators import predicates as p
 from assaylens.plans import fixtures as fx
 from assaylens.plans.registry import query
+from assaylens.session import scratch_path
+from assaylens.sources import store
 
 SAMPLE = ["accession", "assay_name", "sample_name"]
 
@@ -205,6 +207,22 @@ def j7(spark, sf_dir):
     return file_ops.select_measurements(fx.measurements(spark, sf_dir), chosen)
 
 
+@query(
+    "j7_stored_selection",
+    """SELECT assay_name, sample_name, feature, value, accession FROM fx_meas m
+       WHERE accession IN ('GLDS-1', 'GLDS-3') AND (accession, assay_name, sample_name) IN (
+           SELECT accession, assay_name, sample_name FROM fx_measured WHERE tier = 'high')""",
+)
+def j7_stored(spark, sf_dir):
+    """The same selection on stored measurements: only the datasets selected are read."""
+    path = scratch_path(spark, "measurements")
+    store.write_measurements(fx.measurements(spark, sf_dir), path)
+    chosen = p.filter_samples(
+        fx.measured_samples(spark, sf_dir), [p.eq(fx.TIER, "high"), p.by_id("GLDS-1|GLDS-3")]
+    )
+    return file_ops.select_measurements(store.read_datasets(spark, path), chosen)
+
+
 @query(
     "j8_match_index",
     """SELECT n.accession, coalesce(m.sample_name, n.column_name) AS sample_name,

@@ -9,7 +9,7 @@ from assaylens.plans import fixtures as fx
 from assaylens.plans.registry import query
 from assaylens.session import scratch_path
 from assaylens.sources.tables import stale_tables
-from assaylens.streaming.refresh import read_manifest, read_store, start_refresh
+from assaylens.streaming.refresh import publish_snapshot, read_manifest, read_store, start_refresh
 
 
 def _manifests(spark, sf_dir):
@@ -143,14 +143,10 @@ def u10(spark, sf_dir):
 )
 def u9(spark, sf_dir):
     """Two snapshots through the stream; rows of unchanged datasets stay where they were."""
-    listings, root = scratch_path(spark, "listings"), scratch_path(spark, "store")
-    snapshots = (fx.cached_listing(spark, sf_dir), fx.live_listing(spark, sf_dir))
-    for number, snapshot in enumerate(snapshots):
-        # one file per snapshot, as a poll of the repository would leave it
-        rows = snapshot.withColumn("snapshot", F.lit(number).cast("bigint"))
-        rows.coalesce(1).write.mode("append").parquet(f"{listings}/part")
-    schema = "accession string, filename string, ts bigint, snapshot bigint"
-    stream = start_refresh(spark, f"{listings}/part", schema, root, build=lambda rows: rows)
+    folder, root = scratch_path(spark, "snapshots"), scratch_path(spark, "store")
+    publish_snapshot(fx.cached_listing(spark, sf_dir), folder, 0)
+    publish_snapshot(fx.live_listing(spark, sf_dir), folder, 1)
+    stream = start_refresh(spark, folder, root, build=lambda rows: rows)
     stream.awaitTermination()
     if stream.exception():
         raise stream.exception()

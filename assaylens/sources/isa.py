@@ -12,7 +12,7 @@ import io
 import os
 import re
 import zipfile
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -78,9 +78,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("accession"), "content")
 
 
-def _member_lines(text: str) -> Iterator[list[str]]:
+def _member_lines(text: Iterable[str]) -> Iterator[list[str]]:
     """Cells of the lines of one tab, without comment lines and blank lines."""
-    kept = (line for line in io.StringIO(text, newline="") if not line.startswith("#"))
+    kept = (line for line in text if not line.startswith("#"))
     for cells in csv.reader(kept, delimiter="\t"):
         if cells:
             yield cells
@@ -95,13 +95,15 @@ def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     found = re.search(MEMBER_PATTERN, os.path.basename(member))
                     if not found:
                         continue
-                    text = archive.read(member).decode(errors="replace")
                     rows = []
-                    for number, cells in enumerate(_member_lines(text)):
-                        rows.append((accession, found[1], found[2], number, cells))
-                        if len(rows) == _BATCH_LINES:
-                            yield pd.DataFrame(rows, columns=names)
-                            rows = []
+                    # unpacked as it is read: a tab is never in memory as a whole
+                    with archive.open(member) as raw:
+                        text = io.TextIOWrapper(raw, errors="replace", newline="", encoding="utf-8")
+                        for number, cells in enumerate(_member_lines(text)):
+                            rows.append((accession, found[1], found[2], number, cells))
+                            if len(rows) == _BATCH_LINES:
+                                yield pd.DataFrame(rows, columns=names)
+                                rows = []
                     if rows:
                         yield pd.DataFrame(rows, columns=names)
 

@@ -1,8 +1,10 @@
 """Continuous refresh: a stream of file listings keeps a dataset store current.
 
-Each listing file is a snapshot of what is live. A micro-batch compares the newest
-snapshot it brings with the manifest, rebuilds the datasets that are new or
-changed, and writes
+A poll of the repository publishes a snapshot: the listing of all that is live,
+written by all tasks, and then one marker row that names it. The stream reads
+markers, so it never sees half a snapshot. A micro-batch compares the newest
+snapshot with the manifest, rebuilds the datasets that are new or changed, and
+writes
 
 * ``data/batch_id=N``: the rows of the rebuilt datasets,
 * ``report/batch_id=N``: the class of every dataset, and
@@ -23,7 +25,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from assaylens.operators.refresh import classify, manifest
 
-MANIFEST_SCHEMA = "accession string, fingerprint string, data_batch bigint, batch_id bigint"
+MANIFEST_SCHEMA = "accession string, fingerprint string, data_batch bigint"
+MARKER_SCHEMA = "snapshot bigint, path string"
 Builder = Callable[[DataFrame], DataFrame]
 
 
@@ -47,7 +50,7 @@ def read_manifest(spark: SparkSession, root: str, before: int | None = None) ->
     """(accession, fingerprint, data_batch) as of the last complete batch."""
     batch = _latest_batch(spark, root, before)
     if batch is None:
-        return spark.createDataFrame([], "accession string, fingerprint string, data_batch bigint")
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
     return spark.read.parquet(f"{root}/manifest/batch_id={batch}").select(
         "accession", "fingerprint", "data_batch"
     )
@@ -68,13 +71,25 @@ def read_report(spark: SparkSession, root: str, batch_id: int | None = None) ->
     return report if batch_id is None else report.filter(F.col("batch_id") == batch_id)
 
 
-def refresh_batch(listing: DataFrame, batch_id: int, root: str, build: Builder) -> None:
-    """Bring the store in line with the newest snapshot of a batch."""
-    spark = listing.sparkSession
-    newest = listing.agg(F.max("snapshot")).first()[0]
-    if newest is None:
-        return
-    live_rows = listing.filter(F.col("snapshot") == F.lit(newest)).drop("snapshot")
+def publish_snapshot(listing: DataFrame, folder: str, number: int) -> None:
+    """Write a listing (accession and file columns) and, once it is complete, its marker."""
+    path = f"{folder}/listings/snapshot={number}"
+    listing.write.mode("overwrite").parquet(path)
+    marker = listing.sparkSession.createDataFrame([(number, path)], MARKER_SCHEMA)
+    marker.coalesce(1).write.mode("append").parquet(f"{folder}/markers")
+
+
+def refresh_batch(markers: DataFrame, batch_id: int, root: str, build: Builder) -> None:
+    """Bring the store in line with the newest snapshot that a batch of markers names."""
+    newest = markers.orderBy(F.col("snapshot").desc()).first()
+    if newest is not None:
+        live = markers.sparkSession.read.parquet(newest["path"])
+        refresh_store(live, batch_id, root, build)
+
+
+def refresh_store(live_rows: DataFrame, batch_id: int, root: str, build: Builder) -> None:
+    """Bring the store in line with the listing of what is live."""
+    spark = live_rows.sparkSession
     cached = read_manifest(spark, root, before=batch_id)
     classes = classify(cached.select("accession", "fingerprint"), manifest(live_rows))
     report = f"{root}/report/batch_id={batch_id}"
@@ -104,24 +119,24 @@ def refresh_batch(listing: DataFrame, batch_id: int, root: str, build: Builder)
 
 def start_refresh(
     spark: SparkSession,
-    listings: str,
-    schema: str,
+    folder: str,
     root: str,
     build: Builder,
-    files_per_batch: int = 1,
+    snapshots_per_batch: int = 1,
     interval: str | None = None,
 ) -> StreamingQuery:
-    """Start the refresh stream over Parquet listing snapshots.
+    """Start the refresh stream over the snapshots published in a folder.
 
-    ``schema`` holds accession and snapshot among its columns. Without ``interval``
-    the stream takes what is there and ends.
+    Without ``interval`` the stream takes what is there and ends.
     """
-    source = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(listings)
+    markers = (
+        spark.readStream.schema(MARKER_SCHEMA)
+        .option("maxFilesPerTrigger", snapshots_per_batch)
+        .parquet(f"{folder}/markers")
     )
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return (
-        source.writeStream.foreachBatch(lambda df, n: refresh_batch(df, n, root, build))
+        markers.writeStream.foreachBatch(lambda df, n: refresh_batch(df, n, root, build))
         .option("checkpointLocation", f"{root}/_stream")
         .trigger(**trigger)
         .start()

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from assaylens.operators import refresh
 from assaylens.streaming import refresh as streaming
@@ -69,13 +68,8 @@ def test_a_dropped_dataset_loses_its_log(spark):
     assert view.count() == 7 and "kwargs" in view.columns and "info" not in view.columns
 
 
-def snapshot(spark, path, number, rows):
-    df = spark.createDataFrame([(*r, number) for r in rows], f"{LISTING}, snapshot bigint")
-    df.coalesce(1).write.mode("append").parquet(path)
-
-
 def run(spark, path, root, build=lambda rows: rows):
-    stream = streaming.start_refresh(spark, path, f"{LISTING}, snapshot bigint", root, build)
+    stream = streaming.start_refresh(spark, path, root, build)
     stream.awaitTermination()
     if stream.exception():
         raise stream.exception()
@@ -87,10 +81,10 @@ SECOND = [("a", "f1", 1), ("b", "f1", 2), ("b", "f2", 2), ("d", "f1", 1)]
 
 def test_stream_equals_batch(spark, tmp_path):
     path, root = str(tmp_path / "in"), str(tmp_path / "store")
-    snapshot(spark, path, 0, FIRST)
+    streaming.publish_snapshot(spark.createDataFrame(FIRST, LISTING), path, 0)
     run(spark, path, root)
     assert sorted(map(tuple, streaming.read_store(spark, root).collect())) == sorted(FIRST)
-    snapshot(spark, path, 1, SECOND)
+    streaming.publish_snapshot(spark.createDataFrame(SECOND, LISTING), path, 1)
     run(spark, path, root)
     assert as_dict(streaming.read_report(spark, root, 1)) == {
         "a": "fresh", "b": "updated", "c": "dropped", "d": "new",
@@ -105,10 +99,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_a_batch_can_run_twice(spark, tmp_path):
     root = str(tmp_path / "store")
-    frames = [
-        spark.createDataFrame(rows, LISTING).withColumn("snapshot", F.lit(i).cast("bigint"))
-        for i, rows in enumerate((FIRST, SECOND))
-    ]
+    frames = [spark.createDataFrame(rows, LISTING) for rows in (FIRST, SECOND)]
     failures = iter([True, False])
 
     def build(rows):
@@ -116,12 +107,12 @@ def test_a_batch_can_run_twice(spark, tmp_path):
             raise RuntimeError("the build failed")
         return rows
 
-    streaming.refresh_batch(frames[0], 0, root, lambda rows: rows)
+    streaming.refresh_store(frames[0], 0, root, lambda rows: rows)
     with pytest.raises(RuntimeError):
-        streaming.refresh_batch(frames[1], 1, root, build)
+        streaming.refresh_store(frames[1], 1, root, build)
     # the failed batch left no manifest: the store is as it was
     assert sorted(map(tuple, streaming.read_store(spark, root).collect())) == sorted(FIRST)
     for _ in range(2):
-        streaming.refresh_batch(frames[1], 1, root, lambda rows: rows)
+        streaming.refresh_store(frames[1], 1, root, lambda rows: rows)
         assert sorted(map(tuple, streaming.read_store(spark, root).collect())) == sorted(SECOND)
         assert as_dict(streaming.read_report(spark, root, 1))["a"] == "fresh"

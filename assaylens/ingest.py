@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from assaylens.errors import guarded, raise_if_any
 from assaylens.functions.text import braces
 from assaylens.operators import files as file_ops
 from assaylens.operators import shape
+from assaylens.operators.names import ambiguous, best_match
 from assaylens.operators.ranking import join_back
 from assaylens.session import shared_folder
 from assaylens.sources import isa
@@ -35,29 +37,79 @@ def _entities(records: DataFrame, section: str, name: str) -> DataFrame:
     )
 
 
-def build_samples(
+def _reasons(found: list[tuple[DataFrame, str]]) -> DataFrame:
+    """(accession, reason) of all offending rows."""
+    rows = [df.select("accession", F.lit(reason).alias("reason")) for df, reason in found]
+    return reduce(DataFrame.unionByName, rows).distinct()
+
+
+def header_failures(archives: DataFrame, lines: DataFrame, files: DataFrame) -> DataFrame:
+    """(accession, reason): datasets whose tabs cannot be interpreted."""
+    parsed = isa.parsed_headers(isa.tab_headers(lines))
+    records = isa.investigation_records(isa.investigation_cells(lines))
+    listed = files.join(archives.select("accession").distinct(), "accession", "left_semi")
+    tabs = lines.filter(F.col("line_no") == 0).withColumnRenamed("tab", "assay_name")
+    return _reasons(
+        [
+            (isa.missing_tabs(archives, lines), "missing tab"),
+            (wrong_archive_counts(listed), "not exactly one archive listed"),
+            (isa.early_qualifiers(parsed), "qualifier before main field"),
+            (isa.duplicate_fields(parsed), "duplicate field[subfield]"),
+            (isa.colliding_fields(parsed), "harmonised keys conflict"),
+            (isa.wrong_record_counts(records), "more than one investigation record"),
+            (isa.unnamed_entities(records, "Study"), "study without a name"),
+            (isa.unnamed_entities(records, "Study Assays"), "assay without a name"),
+            (shape.bad_names(tabs.filter("kind = 'a'")), "forbidden characters in a name"),
+        ]
+    )
+
+
+def row_failures(rows: DataFrame) -> DataFrame:
+    """(accession, reason): datasets whose samples are ambiguous.
+
+    ``rows`` hold ``sample_names``, as ``isa.with_names`` adds them.
+    """
+    first = isa.first_names(rows)
+    names = first.filter("kind = 'a'").select("accession", F.col("sample_name").alias("name"))
+    targets = first.filter("kind = 's'").select("accession", F.col("sample_name").alias("candidate"))
+    matched = best_match(names, targets, ["accession"])
+    return _reasons(
+        [
+            (isa.conflicting_names(rows), "entry has several sample names"),
+            (isa.duplicate_samples(first), "duplicate sample in a study"),
+            (ambiguous(matched), "several study entries match an assay entry"),
+        ]
+    )
+
+
+def ingest(
     archives: DataFrame,
     files: DataFrame,
     formatter: Callable[[Column, Column], Column] = braces,
-) -> DataFrame:
-    """(ids, study_name, attrs, files) of every sample of every assay.
+) -> tuple[DataFrame, DataFrame]:
+    """Samples of all sound datasets, and (accession, reason) of the failed ones.
 
     ``archives``: (accession, content), one ZIP archive each. ``files``: the latest
     files, typed (accession, filename, datatype, internal, condition, flags...).
-    Incomplete archives, ambiguous samples and bad names are errors. What several
-    later steps read (unpacked lines, annotated rows, assembled samples) is
-    checkpointed, so that archives are unpacked and rows are matched only once.
+    Samples are (ids, study_name, attrs, files). A dataset that breaks a rule fails
+    as a whole and leaves the others alone. What several steps read (unpacked
+    lines, annotated rows, assembled samples) is checkpointed, so that archives are
+    unpacked and rows are matched only once.
     """
     shared_folder(archives.sparkSession)
     lines = isa.archive_lines(archives).checkpoint()
-    raise_if_any(isa.missing_tabs(archives, lines), "missing ISA tab")
+    unreadable = header_failures(archives, lines, files).checkpoint()
+    lines = lines.join(unreadable, "accession", "left_anti")
 
     layouts = isa.layouts(isa.tab_headers(lines))
-    rows = isa.named_rows(isa.with_names(isa.tab_rows(lines), layouts))
+    rows = isa.with_names(isa.tab_rows(lines), layouts)
     rows = isa.annotate(rows, layouts, formatter).checkpoint()
+    unclear = row_failures(rows).checkpoint()
+    # an error raised in the plan could be evaluated before the failed datasets are left
+    # out, so the names of the sound ones are read without a check
+    rows = isa.first_names(rows.join(unclear, "accession", "left_anti"))
     assays = rows.filter(F.col("kind") == "a").withColumnRenamed("tab", "assay_name")
     studies = rows.filter(F.col("kind") == "s").withColumnRenamed("tab", "study_name")
-    raise_if_any(isa.duplicate_samples(rows), "duplicate 'Sample Name' in study tab")
 
     records = isa.investigation_records(isa.investigation_cells(lines))
     assembled = shape.assemble(
@@ -70,17 +122,21 @@ def build_samples(
     whole = whole.select("accession", isa.record_attrs(F.col("content"), isa.SINGLE_RECORD).alias("_inv"))
     described = join_back(assembled, whole, ["accession"], "left")
     attrs = F.when(F.col("_inv").isNull(), F.col("attrs")).otherwise(F.map_concat("attrs", "_inv"))
-    bad = F.col("assay_name").rlike("[$/]") | F.col("accession").rlike("[$/]")
     named = described.select(
-        "accession",
-        guarded(F.col("assay_name"), bad, "forbidden characters in name", F.col("assay_name")).alias(
-            "assay_name"
-        ),
-        "sample_name",
-        "study_name",
-        shape.move_material_type(attrs).alias("attrs"),
+        *IDS, "study_name", shape.move_material_type(attrs).alias("attrs")
     )
-    return with_files(named.checkpoint(), files)
+    return with_files(named.checkpoint(), files), unreadable.unionByName(unclear)
+
+
+def build_samples(
+    archives: DataFrame,
+    files: DataFrame,
+    formatter: Callable[[Column, Column], Column] = braces,
+) -> DataFrame:
+    """The samples of ``ingest``; any failed dataset is an error."""
+    samples, failures = ingest(archives, files, formatter)
+    raise_if_any(failures, "datasets cannot be read")
+    return samples
 
 
 def with_files(samples: DataFrame, files: DataFrame) -> DataFrame:

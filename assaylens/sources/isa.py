@@ -183,6 +183,17 @@ def duplicate_fields(parsed: DataFrame) -> DataFrame:
     return both.groupBy(*TAB, "field", "subfield").count().filter("count > 1")
 
 
+def colliding_fields(parsed: DataFrame) -> DataFrame:
+    """Different fields of a tab that get the same annotation path."""
+    fields = parsed.filter(F.col("role") == "main").withColumn("path", _path("field", "subfield"))
+    names = F.struct("field", F.coalesce("subfield", F.lit("")))
+    return (
+        fields.groupBy(*TAB, "path")
+        .agg(F.min(names).alias("first"), F.max(names).alias("last"))
+        .filter(F.col("first") != F.col("last"))
+    )
+
+
 def extra_on_qualifiers(parsed: DataFrame) -> DataFrame:
     """Warnings: brackets after a qualifier that takes none."""
     return parsed.filter(
@@ -358,6 +369,11 @@ def duplicate_samples(named: DataFrame) -> DataFrame:
     return studies.groupBy("accession", "sample_name").count().filter("count > 1")
 
 
+def first_names(rows: DataFrame) -> DataFrame:
+    """Rows with a ``sample_name``, the first one where their columns disagree."""
+    return rows.withColumn("sample_name", _first_name()).filter(F.col("sample_name").isNotNull())
+
+
 def named_rows(rows: DataFrame) -> DataFrame:
     """Rows with their one ``sample_name``; those without one drop out."""
     name = guarded(
@@ -472,6 +488,6 @@ def unnamed_entities(records: DataFrame, section: str) -> DataFrame:
 
 
 def wrong_record_counts(records: DataFrame) -> DataFrame:
-    """Datasets whose investigation section does not have exactly one record."""
+    """Datasets whose investigation section has more than one record."""
     single = F.count_if(F.col("section") == SINGLE_RECORD).alias("n_records")
-    return records.groupBy("accession").agg(single).filter("n_records <> 1")
+    return records.groupBy("accession").agg(single).filter("n_records > 1")

@@ -4,6 +4,7 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry_point
+from assaylens.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,10 +15,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(SQL) <= set(entry_point.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = entry_point.queries()[name](spark, SF)
     assert compare(df, con, entry_point.oracle_sql()[name]) is None

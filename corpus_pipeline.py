@@ -5,13 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assaylens.llm import exact_dedup, simhash
+from assaylens.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from assaylens.llm.tables import read
 from assaylens.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below one half stay; the model learns from the labels."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return docs.where(toxicity.score(F.col("text"), model) < 0.5)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of equal texts stays, the one with the largest id."""
     return exact_dedup.deduplicate(docs, keep="largest")
@@ -22,9 +30,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.deduplicate(docs)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word in a benchmark window stay."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents and their places in sequences."""
+    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
     ("simhash", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
 ]
 
 # the toxicity model is fitted, the tokens come from a vocabulary file: no SQL has them
@@ -33,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over the documents; each stage is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

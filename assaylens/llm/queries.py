@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylens.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from assaylens.llm import decontaminate, exact_dedup, license_scan, packing, pii, simhash, toxicity
 from assaylens.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,29 @@ FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id
 """
 
 
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, plain and disguised."""
+    found = pii.scan(read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_email",
+        "n_ip",
+        "n_card",
+        "n_phone",
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+        "n_disguised",
+    )
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in all documents."""
+    found = license_scan.scan(read(spark, sf_dir, "documents"))
+    return found.drop("row").withColumnRenamed("id", "doc_id")
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents by a lexicon learned from the labels."""

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylens.llm import decontaminate, exact_dedup, license_scan, packing, pii, simhash, toxicity
+from assaylens.llm import (
+    decontaminate,
+    exact_dedup,
+    html_main,
+    license_scan,
+    packing,
+    pii,
+    simhash,
+    toxicity,
+    url_filter,
+)
 from assaylens.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +29,14 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages, by rules and else by boosted trees."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.fit(url_filter.labels(pages))
+    return url_filter.judge(pages, model).select("page_id", "url_verdict.*")
+
+
 @query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
@@ -89,6 +107,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    found = html_main.extract(read(spark, sf_dir, "pages"))
+    return found.withColumnRenamed("id", "page_id")
+
+
 @query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in all documents."""

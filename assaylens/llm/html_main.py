@@ -388,8 +388,8 @@ def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], list[Node]] = {}
         for name, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             own = own_wrapper(tokens(page.as_py()))
-            if len(own) > LONGEST:
-                own = []
+            if not own or len(own) > LONGEST:
+                continue
             for n in _texts(own):
                 n.at = []
             key = (name, "\x1e".join(n.sign() for n in own))

@@ -12,6 +12,7 @@ from assaylens.llm import (
     exact_dedup,
     html_main,
     license_scan,
+    line_dedup,
     packing,
     pii,
     simhash,
@@ -91,6 +92,19 @@ FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id
 """
 
 
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that match an earlier one."""
+    found = line_dedup.report(read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_lines",
+        "n_removed",
+        "n_links",
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"),
+    )
+
+
 @query
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents, plain and disguised."""

@@ -112,7 +112,8 @@ def diagonals(postings: DataFrame, chosen: DataFrame, rarest: int) -> DataFrame:
     starts = postings.join(lead, "term").select(
         "row", "item_row", "at", (F.col("pos") - F.col("at")).alias("diagonal")
     )
-    starts = stored(starts.where("diagonal >= 0"), "starts")
+    # a diagonal is negative where a document begins inside an item
+    starts = stored(starts, "starts")
     # the others' lists, only of documents with a start, shifted the same way
     others = chosen.where("rank > 1").select("item_row", F.col("at").alias("next"), "term").distinct()
     where = starts.select("row").distinct()
@@ -126,7 +127,7 @@ def diagonals(postings: DataFrame, chosen: DataFrame, rarest: int) -> DataFrame:
         shifted.join(wanted, ["row", "item_row", "diagonal"], "left_semi"), "met"
     )
     # a window holds if its lead and its other rarest terms stand on the diagonal
-    every = met.withColumnRenamed("next", "at").union(
+    every = met.withColumnRenamed("next", "at").unionByName(
         starts.select("row", "item_row", "at", "diagonal")
     ).distinct()
     needs = chosen.select("item_row", "first", "length", "at").withColumn(

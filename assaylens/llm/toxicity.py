@@ -298,7 +298,9 @@ def fit(
                 names=["x", "y", "toxic"],
             )
 
-    rows = texts.mapInArrow(features, "x double, y double, toxic int").orderBy("x", "y", "toxic").toPandas()
+    # two numbers per sampled document; sorted, so that sums do not depend on who came first
+    rows = texts.mapInArrow(features, "x double, y double, toxic int").toPandas()
+    rows = rows.sort_values(["x", "y", "toxic"])
     model.curve = fit_curve(rows[["x", "y"]].to_numpy(), rows["toxic"].to_numpy().astype(float))
     return model
 

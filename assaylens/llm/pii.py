@@ -232,7 +232,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
         # untouched text gives what the plain detectors have judged already
         if text[a:b] == rewritten.text[start:end]:
             continue
-        if not any(a < y and x < b for x, y in taken.get(kind, ())):
+        if not any(x <= a and b <= y for x, y in taken.get(kind, ())):
             added.append((kind, a, b))
     return base, _in_order(added)
 

@@ -159,9 +159,9 @@ class Repository:
             "datatype", "type", F.col("gct_valid").cast("boolean").alias("gct"), "index_name"
         ).distinct().collect()  # at most one row per typing rule
         if not kinds:
-            raise DataError("no file found matching specified constraints")
+            raise DataError("no file fits the filters")
         if any(k["type"] != "table" for k in kinds):
-            raise DataError("the requested file is not a table")
+            raise DataError("only tables can be read as data; select a table file")
         index = next((k["index_name"] for k in kinds if k["index_name"]), "feature")
         long = self.long_data(*predicates).select(
             F.col("feature").alias(index), F.concat_ws("/", *SAMPLE).alias("column"), "value"

@@ -30,7 +30,7 @@ def _entities(records: DataFrame, section: str, name: str) -> DataFrame:
     """(accession, name, attrs) of the studies or assays of an investigation."""
     found = isa.entity_records(records, section)
     entity = guarded(
-        F.col("entity"), F.col("entity").isNull(), f"cannot break up {section} by name", F.col("accession")
+        F.col("entity"), F.col("entity").isNull(), f"records of {section} without a name", F.col("accession")
     )
     return found.select(
         "accession", entity.alias(name), isa.record_attrs(F.col("content"), section).alias("attrs")
@@ -49,19 +49,24 @@ def header_failures(archives: DataFrame, lines: DataFrame, files: DataFrame) ->
     records = isa.investigation_records(isa.investigation_cells(lines))
     listed = files.join(archives.select("accession").distinct(), "accession", "left_semi")
     tabs = lines.filter(F.col("line_no") == 0).withColumnRenamed("tab", "assay_name")
-    return _reasons(
+    broken = isa.broken_archives(lines)
+    whole = archives.join(broken, "accession", "left_anti")
+    found = _reasons(
         [
-            (isa.missing_tabs(archives, lines), "missing tab"),
+            (isa.missing_tabs(whole, lines), "missing tab"),
+            (isa.unnamed_tabs(lines, parsed), "a tab has no Sample Name column"),
             (wrong_archive_counts(listed), "not exactly one archive listed"),
-            (isa.early_qualifiers(parsed), "qualifier before main field"),
-            (isa.duplicate_fields(parsed), "duplicate field[subfield]"),
-            (isa.colliding_fields(parsed), "harmonised keys conflict"),
+            (isa.early_qualifiers(parsed), "a tab begins with a column that describes another column"),
+            (isa.duplicate_fields(parsed), "two columns of a tab have the same field and subfield"),
+            (isa.colliding_fields(parsed), "two fields of a tab become one key; rename one of them"),
             (isa.wrong_record_counts(records), "more than one investigation record"),
             (isa.unnamed_entities(records, "Study"), "study without a name"),
             (isa.unnamed_entities(records, "Study Assays"), "assay without a name"),
             (shape.bad_names(tabs.filter("kind = 'a'")), "forbidden characters in a name"),
         ]
     )
+    # of a broken archive nothing else can be said
+    return found.join(broken, "accession", "left_anti").unionByName(broken).distinct()
 
 
 def row_failures(rows: DataFrame) -> DataFrame:
@@ -75,9 +80,9 @@ def row_failures(rows: DataFrame) -> DataFrame:
     matched = best_match(names, targets, ["accession"])
     return _reasons(
         [
-            (isa.conflicting_names(rows), "entry has several sample names"),
-            (isa.duplicate_samples(first), "duplicate sample in a study"),
-            (ambiguous(matched), "several study entries match an assay entry"),
+            (isa.conflicting_names(rows), "a row names several samples"),
+            (isa.duplicate_samples(first), "a study lists a sample twice"),
+            (ambiguous(matched), "an assay row fits several study rows"),
         ]
     )
 

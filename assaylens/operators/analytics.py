@@ -49,8 +49,7 @@ def complete_features(df: DataFrame, n_samples: int | DataFrame, feature: str =
     if isinstance(n_samples, int):
         full = counts.filter(F.col("_n") == n_samples)
     else:
-        total = n_samples.select(F.col(n_samples.columns[0]).alias("_n"))
-        full = counts.join(total, "_n", "left_semi")
+        full = counts.filter(F.col("_n") == n_samples.select(n_samples.columns[0]).scalar())
     return df.join(full, feature, "left_semi")
 
 
@@ -106,9 +105,14 @@ def significant_rows(df: DataFrame, fold_change: str = "log2FoldChange") -> Data
     return kept.orderBy(F.col(fold_change).asc_nulls_last())
 
 
+def magnitude(value: str = "value") -> Column:
+    """The largest absolute value of a column, as an aggregate."""
+    return F.max(F.abs(value))
+
+
 def largest_magnitude(df: DataFrame) -> DataFrame:
     """One row: the largest absolute value of all measurements."""
-    return df.agg(F.max(F.abs("value")).alias("vmax"))
+    return df.agg(magnitude().alias("vmax"))
 
 
 def recode(value: Column, mapping: Mapping[str, str]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylens.operators.lists import chunked_lists
+from assaylens.operators.lists import listed_values
 from assaylens.operators.ranking import join_back
 
 TECHNOLOGY = "investigation.study assays.study assay technology type"
@@ -62,12 +62,12 @@ def attach_files(samples: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def file_descriptors(unnested: DataFrame, **options: int) -> DataFrame:
-    """Files with the samples they cover, one row per (accession, assay, technology, file).
+def file_descriptors(unnested: DataFrame) -> DataFrame:
+    """Files with the samples they cover, one row per file of an assay and sample.
 
     ``unnested`` holds one row per sample and file, as ``filter_samples`` returns it
-    for a predicate on files. Lists of samples are sorted; see ``chunked_lists``
-    for descriptors of very many samples.
+    for a predicate on files. ``position`` numbers the samples of a file in order,
+    ``n_values`` counts them.
     """
     flat = unnested.select(
         "accession",
@@ -78,7 +78,7 @@ def file_descriptors(unnested: DataFrame, **options: int) -> DataFrame:
         "sample_name",
     )
     keys = ["accession", "assay_name", "technology", "filename", "datatype"]
-    return chunked_lists(flat, keys, "sample_name", "sample_names", distinct=False, **options)
+    return listed_values(flat, keys, "sample_name", "sample_name", distinct=False)
 
 
 def samples_of_file(samples: DataFrame, accession: str, assay: str, filename: str) -> DataFrame:

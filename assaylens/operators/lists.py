@@ -1,4 +1,4 @@
-"""Value lists per group whose arrays stay bounded."""
+"""Values per group, one row each, whatever the size of the group."""
 
 from __future__ import annotations
 
@@ -7,37 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylens.operators.ranking import join_back
+from assaylens.operators.ranking import join_back, with_position
 
-CHUNK_ROWS = 100_000
 
-
-def chunked_lists(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    alias: str,
-    chunk_rows: int = CHUNK_ROWS,
-    distinct: bool = True,
+def listed_values(
+    df: DataFrame, keys: Sequence[str], value: str, alias: str, distinct: bool = True
 ) -> DataFrame:
-    """Sorted values per group as (keys..., n_values, chunk, n_chunks, alias).
+    """Sorted values per group as (keys..., n_values, position, alias); positions start at 0.
 
-    A group of up to ``chunk_rows`` values is one row, as a plain list would be. A
-    larger one is spread over as many rows as needed, so that no task gathers more
-    than about ``chunk_rows`` values; all values are kept.
+    A group is never gathered: its rows are ranged over as many tasks as they need.
+    Whoever knows that the groups are small can make lists of the rows.
     """
     quoted = [f"`{k}`" for k in keys]
-    values = df.select(*quoted, F.col(f"`{value}`").alias("_value"))
+    values = df.select(*quoted, F.col(f"`{value}`").alias(alias)).filter(F.col(f"`{alias}`").isNotNull())
     if distinct:
         values = values.distinct()
-    sizes = values.groupBy(*quoted).agg(F.count("_value").alias("n_values"))
-    sizes = sizes.withColumn(
-        "n_chunks",
-        F.greatest(F.ceil(F.col("n_values") / F.lit(chunk_rows)), F.lit(1)).cast("bigint"),
-    )
-    spread = join_back(values, sizes, keys).withColumn(
-        "chunk", F.pmod(F.xxhash64("_value"), F.col("n_chunks"))
-    )
-    return spread.groupBy(*quoted, "n_values", "n_chunks", "chunk").agg(
-        F.sort_array(F.collect_list("_value")).alias(alias)
-    )
+    placed = with_position(values, [F.col(f"`{alias}`")], keys, "position")
+    sizes = placed.groupBy(*quoted).agg(F.count(F.lit(1)).alias("n_values"))
+    return join_back(placed, sizes, keys).select(*quoted, "n_values", "position", f"`{alias}`")

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylens.errors import guarded
 from assaylens.functions.text import dotted
 from assaylens.operators.order import natural_order
-from assaylens.operators.ranking import join_back
+from assaylens.operators.ranking import join_back, with_position
 
 EXACT, DOTTED, PREFIX = 1, 2, 3
 
@@ -149,7 +149,7 @@ def match_columns(
     harmonised = guarded(
         F.coalesce("candidate", "name"),
         F.col("n_matches") > 1,
-        "column name matches multiple sample names",
+        "a column name stands for several samples",
         F.col("name"),
     )
     return matched.filter((F.col("n_matches") > 0) | keep).select(
@@ -162,17 +162,16 @@ def column_order(matched: DataFrame, original: DataFrame, by: Sequence[str]) ->
 
     Matched columns take the places matched columns had, in natural order of their
     sample names; unmatched ones stay where they were. ``original`` holds
-    (by..., name, place). A file's columns are a schema, so the windows are small.
+    (by..., name, place). A file with most of the columns is spread over many tasks.
     """
     by = list(by)
     joined = join_back(matched, original, [*by, "name"])
-    is_match = F.col("tier").isNotNull()
-    group = Window.partitionBy(*by, is_match)
-    ranked = joined.withColumn(
-        "_slot", F.row_number().over(group.orderBy("place"))
-    ).withColumn("_want", F.row_number().over(group.orderBy(*natural_order(["harmonised"]))))
-    slots = ranked.select(*by, is_match.alias("_m"), F.col("_slot").alias("_want"), "place")
-    wants = ranked.select(*by, "name", "harmonised", is_match.alias("_m"), "_want")
+    joined = joined.withColumn("_m", F.col("tier").isNotNull())
+    group = [*by, "_m"]
+    slots = with_position(joined.select(*group, "place"), [F.col("place")], group, "_want")
+    # unmatched columns keep their places, so their order is that of the places
+    order = [F.when(~F.col("_m"), F.col("place")), *natural_order(["harmonised"])]
+    wants = with_position(joined, order, group, "_want").select(*by, "name", "harmonised", "_m", "_want")
     return join_back(wants, slots, [*by, "_m", "_want"]).select(
         *by, "name", "harmonised", F.col("place").alias("target")
     )

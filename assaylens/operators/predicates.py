@@ -27,9 +27,6 @@ FIELDS = {
 DEPTH = {"id": 1, "investigation": 2, "study": 2, "assay": 2, "file": 1}
 ANNOTATION = ("investigation", "study", "assay")
 
-# Longest id list spelled out as a condition (and pushed to the scan); beyond it, a join.
-MAX_INLINE_IDS = 200
-
 
 @dataclass(frozen=True)
 class Predicate:
@@ -133,32 +130,24 @@ def by_id(*ids: str) -> IdSelection:
 
 
 def _select_ids(df: DataFrame, selection: IdSelection) -> DataFrame:
+    """Rows below a listed id, however many ids are listed.
+
+    The accessions prune the scan; the ids of each depth are then one set that a row's
+    own id is looked up in. The separator cannot be typed, so ids are told apart safely,
+    and a part that is NULL is in no set.
+    """
     names = ("accession", "assay_name", "sample_name")
-    if len(selection.ids) <= MAX_INLINE_IDS:
-        alternatives = [
-            reduce(lambda a, b: a & b, [F.col(n) == part for n, part in zip(names, parts)])
-            for parts in selection.ids
-        ]
-        return df.filter(reduce(lambda a, b: a | b, alternatives))
-    # a long list: mark the sample by whichever prefix length lists it
-    listed = [(len(parts), "/".join(parts)) for parts in set(selection.ids)]
-    wanted = df.sparkSession.createDataFrame(listed, "_depth int, _id string")
-    prefixes = F.array(
-        *[
-            F.struct(F.lit(n).alias("_depth"), F.concat_ws("/", *names[:n]).alias("_id"))
-            for n in sorted({len(parts) for parts in selection.ids})
-        ]
-    )
-    marked = df.withColumn("_prefix", prefixes)
-    # accession alone decides which rows can match at all, so unrelated rows leave early
-    hits = (
-        marked.select(*names, F.explode("_prefix").alias("_p"))
-        .select(*names, "_p._depth", "_p._id")
-        .join(wanted, ["_depth", "_id"], "left_semi")
-        .select(*names)
-        .distinct()
-    )
-    return df.join(hits, list(names), "left_semi")
+    by_depth: dict[int, set[str]] = {}
+    for parts in selection.ids:
+        by_depth.setdefault(len(parts), set()).add("\x1f".join(parts))
+
+    def own(depth: int) -> Column:
+        parts = [F.col(n) for n in names[:depth]]
+        return F.concat(*[x for p in parts for x in (F.lit("\x1f"), p)][1:])
+
+    listed = [own(depth).isin(sorted(ids)) for depth, ids in sorted(by_depth.items())]
+    accessions = sorted({parts[0] for parts in selection.ids})
+    return df.filter(F.col("accession").isin(accessions)).filter(reduce(lambda a, b: a | b, listed))
 
 
 def filter_samples(df: DataFrame, predicates: Iterable[Predicate | IdSelection]) -> DataFrame:

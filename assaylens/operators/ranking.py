@@ -61,6 +61,8 @@ def with_position(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     spans = spans.withColumn("_pos_before", F.coalesce(F.sum("_pos_n").over(earlier), F.lit(0)))
+    if not keys:
+        spans = F.broadcast(spans)  # a row per range partition
     position = F.col("_pos_row") - F.col("_pos_first") + F.col("_pos_before")
     kept = [F.col(f"`{c}`") for c in df.columns]
     return join_back(placed, spans, by).select(*kept, position.cast("bigint").alias(name))

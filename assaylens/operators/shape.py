@@ -28,7 +28,7 @@ def key_collisions(keys: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def harmonise_long(df: DataFrame, group: Sequence[str]) -> DataFrame:
     """Harmonise the column ``key`` of long rows; colliding keys are an error."""
-    raise_if_any(key_collisions(df, group), "harmonised keys conflict")
+    raise_if_any(key_collisions(df, group), "two fields of a tab become one key; rename one of them")
     return df.withColumn("key", harmonised_key(F.col("key")))
 
 
@@ -97,7 +97,7 @@ def assemble(
     candidate = guarded(
         F.col("candidate"),
         F.col("n_matches") > 1,
-        "multiple study entries match an assay entry",
+        "an assay row fits several study rows",
         F.col("accession"),
         F.col("name"),
     )
@@ -143,5 +143,5 @@ def assemble(
 def missing_studies(samples: DataFrame) -> DataFrame:
     """Warnings: samples without a study entry."""
     return samples.filter(F.col("study_name").isNull()).select(
-        "accession", "assay_name", "sample_name", F.lit("Study entry missing").alias("warning")
+        "accession", "assay_name", "sample_name", F.lit("no study row for this sample").alias("warning")
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from assaylens.errors import DataError, QueryError
 from assaylens.operators.order import natural_order
 from assaylens.operators.predicates import Comparison, comparison_column
-from assaylens.operators.ranking import join_back
+from assaylens.operators.ranking import join_back, with_position
 
 
 def qualify(df: DataFrame, index: str, accession: str, assay: str) -> DataFrame:
@@ -27,9 +27,13 @@ def qualify(df: DataFrame, index: str, accession: str, assay: str) -> DataFrame:
 
 
 def header_levels(name: str) -> tuple[str, str, str]:
-    """The three header levels of a data column; a missing level is ``*``."""
-    levels = [*name.split("/", 2), "*", "*"]
-    return levels[0], levels[1], levels[2]
+    """The three header levels of a data column; a missing level is ``*``.
+
+    A column name may itself hold slashes, accessions and assays cannot.
+    """
+    accession, _, rest = name.partition("/")
+    assay, _, column = rest.partition("/")
+    return accession, assay or "*", column or "*"
 
 
 def resolve(columns: Sequence[str], index: str, name: str) -> str:
@@ -38,9 +42,9 @@ def resolve(columns: Sequence[str], index: str, name: str) -> str:
         return name
     raw = Counter(c.split("/", 2)[-1] for c in columns if c != index)
     if raw[name] == 0:
-        raise QueryError(f"requested column not in table: {name!r}")
+        raise QueryError(f"no column {name!r} in the joined table; list its columns to choose from")
     if raw[name] > 1:
-        raise QueryError(f"ambiguous column {name!r}; use accession/assay/column")
+        raise QueryError(f"several datasets have a column {name!r}; write accession/assay/column")
     return next(c for c in columns if c != index and c.split("/", 2)[-1] == name)
 
 
@@ -92,7 +96,7 @@ def check_same_index(tables: Sequence[DataFrame], index: str) -> None:
     seen: set[str] = set()
     for table in tables:
         if index not in table.columns:
-            raise QueryError("cannot combine tables with conflicting index names")
+            raise QueryError(f"every table to be joined needs the index {index!r}")
         clash = seen.intersection(table.columns)
         if clash:
             raise QueryError(f"columns occur in more than one table: {sorted(clash)}")
@@ -171,30 +175,41 @@ def to_long(df: DataFrame, index: str) -> DataFrame:
 
 
 def pivot_long(
-    df: DataFrame, feature: str, name: str, value: str, columns: Sequence[str]
+    df: DataFrame,
+    feature: str,
+    name: str,
+    value: str,
+    columns: Sequence[str],
+    repeated: bool = False,
 ) -> DataFrame:
-    """Wide table from long rows: one row per feature, one column per listed name.
+    """Wide table from long rows, one column per listed name.
 
-    Rows are combined per feature and name before the shuffle; with a unique index
-    the maximum is the only value.
+    With a unique index there is one row per feature, combined before the shuffle; a
+    second value in a cell is an error of the job, never lost. With ``repeated`` a
+    feature has as many rows as its fullest column has values: the first values of all
+    columns stand in its first row, and so on, in ascending order.
     """
-    return (
-        df.groupBy(F.col(f"`{feature}`"))
+    keys = [F.col(f"`{feature}`")]
+    if repeated:
+        order = F.col(f"`{value}`").asc_nulls_last()
+        df = with_position(df.select(feature, name, value), [order], [feature, name], "_nth")
+        keys.append(F.col("_nth"))
+    cell = F.max(F.col(f"`{value}`"))
+    again = F.raise_error(F.lit("an index value is repeated in a column; pivot with repeated=True"))
+    if not repeated:
+        cell = F.when(F.count(F.col(f"`{value}`")) > 1, again.cast(df.schema[value].dataType)).otherwise(cell)
+    wide = (
+        df.groupBy(*keys)
         .pivot(f"`{name}`" if not name.isidentifier() else name, list(columns))
-        .agg(F.max(F.col(f"`{value}`")))
+        .agg(cell)
     )
+    return wide.drop("_nth")
 
 
-def column_names(df: DataFrame, name: str, limit: int = 10_000) -> list[str]:
-    """Distinct column names of long rows, in natural order; they become a schema.
-
-    More than ``limit`` columns is an error: use the long form for those.
-    """
+def column_names(df: DataFrame, name: str) -> list[str]:
+    """Distinct column names of long rows, in natural order; they become a schema."""
     found = df.select(F.col(f"`{name}`").alias("n")).distinct()
-    rows = found.orderBy(*natural_order(["n"])).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise DataError(f"more than {limit} columns; use the long form")
-    return [row["n"] for row in rows]
+    return [row["n"] for row in found.orderBy(*natural_order(["n"])).collect()]
 
 
 # Rules of joinability, over file descriptors.
@@ -223,12 +238,12 @@ def check_joinable(files: DataFrame) -> None:
     if row["n"] <= 1:
         return
     if several("datatype"):
-        raise DataError("cannot combine data of multiple datatypes")
+        raise DataError("the files hold several datatypes; select one of them")
     if several("technology"):
-        raise DataError("cannot combine data for multiple technology types")
+        raise DataError("the files come from several technologies; select one of them")
     if not always("joinable", "true"):
-        raise DataError("cannot combine files of this datatype")
+        raise DataError("files of this datatype are read one at a time; select a single file")
     if not always("type", "table"):
-        raise DataError("cannot combine non-table files")
+        raise DataError("only tables can be joined; select table files")
     if several("index_name"):
-        raise DataError("cannot combine tables with conflicting index names")
+        raise DataError("the tables are indexed by different things; select files of one kind")

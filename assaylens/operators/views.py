@@ -8,8 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylens.errors import DataError
-from assaylens.operators.lists import chunked_lists
+from assaylens.operators.lists import listed_values
 from assaylens.operators.order import natural_order, sort_by_id
 from assaylens.operators.predicates import (
     ANNOTATION,
@@ -26,7 +25,6 @@ IDS = {
     "id.sample name": "sample_name",
     "id.study name": "study_name",
 }
-MAX_COLUMNS = 10_000
 
 
 def reduce_paths(paths: Iterable[str]) -> list[str]:
@@ -47,10 +45,15 @@ def ordered_paths(paths: Iterable[str]) -> list[str]:
 
 
 def header_levels(path: str) -> tuple[str, str]:
-    """The two header levels of an annotation column; a missing level is ``*``."""
-    parts = path.split(".")
-    bound = 2 if parts[0] in ANNOTATION else 1
-    return ".".join(parts[:bound]) or "*", ".".join(parts[bound:]) or "*"
+    """The two header levels of an annotation column; a missing level is ``*``.
+
+    Annotation is headed by its block (category and field), anything else by its category.
+    """
+    category, _, field = path.partition(".")
+    if category not in ANNOTATION:
+        return category or "*", field or "*"
+    block, _, name = field.partition(".")
+    return f"{category}.{block}" if block else category, name or "*"
 
 
 def named_paths(predicates: Iterable[Predicate | IdSelection], fields: Iterable[str]) -> list[str]:
@@ -72,7 +75,8 @@ def _below(key: Column, paths: Sequence[str]) -> Column:
 def expand_paths(df: DataFrame, paths: Sequence[str]) -> list[str]:
     """The single fields below the paths: blocks are looked up in the data.
 
-    The result becomes a schema; more than ``MAX_COLUMNS`` fields is an error.
+    The result becomes a schema, as wide as the annotation has fields. To keep any
+    number of fields as rows, take ``facet_values``.
     """
     blocks = [p for p in paths if p.split(".")[0] in ANNOTATION and p.count(".") < 2]
     single = [p for p in paths if p not in blocks and not p.startswith("file")]
@@ -80,10 +84,7 @@ def expand_paths(df: DataFrame, paths: Sequence[str]) -> list[str]:
         keys = df.select(F.explode(F.map_keys("attrs")).alias("k")).filter(
             _below(F.col("k"), blocks)
         )
-        rows = keys.distinct().limit(MAX_COLUMNS + 1).collect()
-        if len(rows) > MAX_COLUMNS:
-            raise DataError(f"more than {MAX_COLUMNS} annotation fields; name the ones needed")
-        single += [r["k"] for r in rows]
+        single += [r["k"] for r in keys.distinct().collect()]
     return ordered_paths(set(single))
 
 
@@ -159,11 +160,9 @@ def facet_values(df: DataFrame) -> DataFrame:
     )
 
 
-def facet_lists(df: DataFrame, **options: int) -> DataFrame:
-    """Sorted distinct values per field (see ``chunked_lists`` for very long lists)."""
-    return chunked_lists(
-        facet_values(df), ["category", "subfield", "key"], "value", "values", **options
-    )
+def facet_lists(df: DataFrame) -> DataFrame:
+    """The distinct values of each field in order, one row each, with their number."""
+    return listed_values(facet_values(df), ["category", "subfield", "key"], "value", "value")
 
 
 def facet_keys(df: DataFrame) -> DataFrame:

@@ -63,6 +63,21 @@ def p6(spark, sf_dir):
     return _chosen(spark, sf_dir, p.by_id(ids))
 
 
+@query(
+    "p6_many_ids",
+    f"""SELECT {ID_SQL} FROM fx_samples
+        WHERE (CAST(replace(sample_name, 'Customer#', '') AS BIGINT) <= 300 AND assay_name = 'building')
+           OR accession = 'GLDS-5'""",
+)
+def p6_many(spark, sf_dir):
+    """Hundreds of ids, and samples without a name among the rows."""
+    df = fx.samples(spark, sf_dir)
+    nameless = df.withColumn("sample_name", F.lit(None).cast("string")).withColumn("accession", F.lit("GLDS-9"))
+    ids = [f"GLDS-{a}/building/Customer#{k:09d}" for a in range(1, 6) for k in range(1, 301)]
+    found = p.filter_samples(df.unionByName(nameless), [p.by_id("GLDS-5", *ids)])
+    return found.select(*IDS)
+
+
 @query(
     "p7_conjunction",
     f"""SELECT {ID_SQL} FROM fx_samples WHERE tier IN ('high', 'low') AND tier IS NOT NULL
@@ -158,21 +173,13 @@ def natkey_sql(column: str) -> str:
 @query(
     "a1_file_descriptors",
     """SELECT accession, assay_name, technology, filename, datatype,
-              CAST(count(*) AS BIGINT) AS n_values,
-              string_agg(sample_name, ',' ORDER BY sample_name) AS sample_names
-       FROM fx_sample_files WHERE datatype IS NOT NULL GROUP BY 1, 2, 3, 4, 5""",
+              count(*) OVER g AS n_values, row_number() OVER (g ORDER BY sample_name) - 1 AS position, sample_name
+       FROM fx_sample_files WHERE datatype IS NOT NULL
+       WINDOW g AS (PARTITION BY accession, assay_name, technology, filename, datatype)""",
 )
 def a1(spark, sf_dir):
     chosen = p.filter_samples(fx.samples_with_files(spark, sf_dir), [p.exists("file.datatype")])
-    return file_ops.file_descriptors(chosen).select(
-        "accession",
-        "assay_name",
-        "technology",
-        "filename",
-        "datatype",
-        "n_values",
-        F.array_join("sample_names", ",").alias("sample_names"),
-    )
+    return file_ops.file_descriptors(chosen)
 
 
 @query(
@@ -214,14 +221,12 @@ def a6(spark, sf_dir):
 
 @query(
     "a6_facet_lists",
-    f"""SELECT category, subfield, key, CAST(count(*) AS BIGINT) AS n_values,
-               string_agg(value, '|' ORDER BY value) AS all_values
-        FROM ({_FACETS}) GROUP BY 1, 2, 3""",
+    f"""SELECT category, subfield, key, count(*) OVER g AS n_values,
+               row_number() OVER (g ORDER BY value) - 1 AS position, value
+        FROM ({_FACETS}) WINDOW g AS (PARTITION BY category, subfield, key)""",
 )
 def a6_lists(spark, sf_dir):
-    return views.facet_lists(fx.samples(spark, sf_dir)).select(
-        "category", "subfield", "key", "n_values", F.array_join("values", "|").alias("all_values")
-    )
+    return views.facet_lists(fx.samples(spark, sf_dir))
 
 
 @query("a7_facet_keys", f"SELECT DISTINCT category, subfield, key FROM ({_FACETS})")

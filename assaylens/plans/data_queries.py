@@ -115,6 +115,25 @@ def j2(spark, sf_dir):
     return wide.toDF(*map(_flat, wide.columns))
 
 
+@query(
+    "j2_repeated_index",
+    """WITH cells AS (
+           SELECT concat('G', CAST(l_partkey AS VARCHAR)) AS feature, l_returnflag AS flag, l_quantity AS value,
+                  row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_quantity) AS nth FROM lineitem)
+       SELECT feature, max(CASE WHEN flag = 'A' THEN value END) AS a, max(CASE WHEN flag = 'N' THEN value END) AS n,
+              max(CASE WHEN flag = 'R' THEN value END) AS r
+       FROM cells GROUP BY feature, nth""",
+)
+def j2_repeated(spark, sf_dir):
+    """Every line of a part is a row of its own; no value is merged with another."""
+    lines = fx.table(spark, sf_dir, "lineitem").select(
+        fx.numbered("G", F.col("l_partkey")).alias("feature"),
+        F.lower("l_returnflag").alias("flag"),
+        F.col("l_quantity").alias("value"),
+    )
+    return tables.pivot_long(lines, "feature", "flag", "value", ["a", "n", "r"], repeated=True)
+
+
 @query(
     "j3_natural_join",
     "SELECT x.feature, a1, n1, r1, a2, n2, r2 FROM fx_wide1 x JOIN fx_wide2 y ON x.feature = y.feature",
@@ -136,22 +155,50 @@ def j4(spark, sf_dir):
     return files.select("accession", "filename", "datatype")
 
 
-@query("j5_tiered_name_match", "SELECT accession, column_name, sample_name, tier FROM fx_matched")
-def j5(spark, sf_dir):
+_BEST = """SELECT n.accession, n.column_name, min(m.tier) AS tier, count(m.sample_name) AS n_matches,
+       CASE WHEN count(m.sample_name) = 1 THEN min(m.sample_name) END AS sample_name
+FROM fx_names n LEFT JOIN fx_matched m ON n.accession = m.accession AND n.column_name = m.column_name
+GROUP BY 1, 2"""
+
+
+def _best(spark, sf_dir):
     pairs = fx.names(spark, sf_dir)
-    matched = names.all_matches(
-        pairs.select("accession", F.col("column_name").alias("name")),
-        pairs.select("accession", F.col("sample_name").alias("candidate")),
-        ["accession"],
-    )
+    # the names of all datasets begin alike: a short one matches many in its tier
+    short = pairs.select("accession", F.substring("column_name", 1, 9).alias("name"))
+    own = pairs.select("accession", F.col("column_name").alias("name"))
+    return own, short, pairs.select("accession", F.col("sample_name").alias("candidate"))
+
+
+@query("j5_tiered_name_match", _BEST)
+def j5(spark, sf_dir):
+    own, _, candidates = _best(spark, sf_dir)
+    matched = names.best_match(own, candidates, ["accession"])
     return matched.select(
         "accession",
         F.col("name").alias("column_name"),
-        F.col("candidate").alias("sample_name"),
         "tier",
+        "n_matches",
+        F.col("candidate").alias("sample_name"),
     )
 
 
+@query(
+    "j5_ambiguous_names",
+    """SELECT accession, substr(column_name, 1, 9) AS name, 3 AS tier,
+              count(DISTINCT sample_name) AS n_matches
+       FROM (SELECT DISTINCT n.accession, substr(n.column_name, 1, 9) AS column_name, s.sample_name
+             FROM fx_names n JOIN fx_names s ON n.accession = s.accession
+             AND starts_with(regexp_replace(s.sample_name, '[._-]', '.', 'g'),
+                             regexp_replace(substr(n.column_name, 1, 9), '[._-]', '.', 'g')))
+       GROUP BY 1, 2 HAVING count(DISTINCT sample_name) > 1""",
+)
+def j5_ambiguous(spark, sf_dir):
+    """Names that begin several sample names; a million matches cost one row."""
+    _, short, candidates = _best(spark, sf_dir)
+    found = names.ambiguous(names.best_match(short, candidates, ["accession"]))
+    return found.select("accession", "name", "tier", "n_matches")
+
+
 def _matched_columns(spark, sf_dir, keep):
     pairs = fx.names(spark, sf_dir)
     return names.match_columns(

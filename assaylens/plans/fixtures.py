@@ -287,7 +287,7 @@ SELECT concat('G', CAST(l_partkey AS VARCHAR)) AS feature,
        sum(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS a{_k},
        sum(CASE WHEN l_returnflag = 'N' THEN l_quantity END) AS n{_k},
        sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS r{_k}
-FROM lineitem WHERE l_linenumber = {_k} AND l_partkey % {_k + 1} = 0 GROUP BY 1
+FROM lineitem WHERE l_partkey % 3 <> {_k - 1} GROUP BY 1
 """
 SQL["fx_joined"] = """
 SELECT coalesce(x.feature, y.feature) AS feature, a1, n1, r1, a2, n2, r2
@@ -296,9 +296,8 @@ FROM fx_wide1 x FULL JOIN fx_wide2 y ON x.feature = y.feature
 
 
 def wide(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """Wide table: features × return flags, of the k-th lines of every (k+1)-th part."""
-    items = table(spark, sf_dir, "lineitem")
-    chosen = items.filter((F.col("l_linenumber") == k) & (F.col("l_partkey") % (k + 1) == 0))
+    """Wide table: features × return flags. Both have a third of the parts, each another third."""
+    chosen = table(spark, sf_dir, "lineitem").filter(F.col("l_partkey") % 3 != k - 1)
     sums = [
         F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity"))).alias(f"{flag.lower()}{k}")
         for flag in "ANR"
@@ -363,21 +362,21 @@ SELECT o_orderkey, 6, 'Parameter Value[status]', o_orderstatus FROM orders)
 """  # noqa: E501
 # main fields with the protocol reference and unit that belong to them
 SQL["fx_fields"] = """
-SELECT m.row_id, m.pos, split_part(m.header, '[', 1) AS field,
-       nullif(replace(split_part(split_part(m.header, '[', 2), ',', 1), ']', ''), '') AS subfield,
-       m.value,
-       CASE WHEN m.header NOT LIKE 'Characteristics%' THEN r.value END AS protocol_ref,
-       u.value AS unit
-FROM (SELECT *, max(CASE WHEN header = 'Protocol REF' THEN pos END) OVER (
-                    PARTITION BY row_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS ref_pos,
-                sum(CASE WHEN header NOT IN ('Unit', 'Protocol REF') THEN 1 ELSE 0 END) OVER (
-                    PARTITION BY row_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS main_no
-      FROM fx_cells) m
-LEFT JOIN fx_cells r ON r.row_id = m.row_id AND r.pos = m.ref_pos
-LEFT JOIN (SELECT *, sum(CASE WHEN header NOT IN ('Unit', 'Protocol REF') THEN 1 ELSE 0 END) OVER (
-                    PARTITION BY row_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS main_no
-           FROM fx_cells) u ON u.row_id = m.row_id AND u.header = 'Unit' AND u.main_no = m.main_no
-WHERE m.header NOT IN ('Unit', 'Protocol REF')
+SELECT row_id, f.pos AS pos, f.field AS field, f.subfield AS subfield, f.value AS value,
+       f.protocol_ref AS protocol_ref, f.unit AS unit
+FROM (SELECT o_orderkey AS row_id, unnest([
+    {'pos': 0, 'field': 'Source Name', 'subfield': CAST(NULL AS VARCHAR),
+     'value': concat('src', CAST(o_custkey AS VARCHAR)),
+     'protocol_ref': CAST(NULL AS VARCHAR), 'unit': CAST(NULL AS VARCHAR)},
+    {'pos': 1, 'field': 'Characteristics', 'subfield': 'Price',
+     'value': CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR),
+     'protocol_ref': CAST(NULL AS VARCHAR), 'unit': CASE WHEN o_orderkey % 4 <> 0 THEN 'usd' END},
+    {'pos': 4, 'field': 'Sample Name', 'subfield': CAST(NULL AS VARCHAR),
+     'value': concat('smp', CAST(o_orderkey AS VARCHAR)),
+     'protocol_ref': 'P1', 'unit': CAST(NULL AS VARCHAR)},
+    {'pos': 6, 'field': 'Parameter Value', 'subfield': 'status', 'value': o_orderstatus,
+     'protocol_ref': CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END, 'unit': CAST(NULL AS VARCHAR)}]) AS f
+    FROM orders)
 """
 
 
@@ -416,11 +415,11 @@ def cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 SQL["fx_cached"] = """
 SELECT o_custkey AS accession, count(*) AS n_files, max(o_orderdate) AS ts FROM orders
-WHERE o_orderdate < TIMESTAMP '2000-01-01 00:00:00' AND o_custkey % 5 <> 0 GROUP BY 1
+WHERE o_custkey % 5 <> 0 AND (o_orderdate < TIMESTAMP '2000-01-01 00:00:00' OR o_custkey % 7 = 0) GROUP BY 1
 """
 SQL["fx_live"] = """
 SELECT o_custkey AS accession, count(*) AS n_files, max(o_orderdate) AS ts FROM orders
-WHERE o_custkey % 7 <> 0 GROUP BY 1
+WHERE o_custkey % 7 <> 0 OR o_custkey % 5 = 0 GROUP BY 1
 """
 SQL["fx_classes"] = """
 SELECT coalesce(c.accession, l.accession) AS accession,
@@ -433,13 +432,14 @@ FROM fx_cached c FULL JOIN fx_live l ON c.accession = l.accession
 def cached_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was listed at the last refresh: (accession, filename, ts)."""
     old = F.col("o_orderdate") < F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
-    orders = table(spark, sf_dir, "orders").filter(old & (F.col("o_custkey") % 5 != 0))
-    return _listed(orders)
+    known = (F.col("o_custkey") % 5 != 0) & (old | (F.col("o_custkey") % 7 == 0))
+    return _listed(table(spark, sf_dir, "orders").filter(known))
 
 
 def live_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is listed now."""
-    return _listed(table(spark, sf_dir, "orders").filter(F.col("o_custkey") % 7 != 0))
+    """What is listed now; every order is in one of the listings at least."""
+    listed = (F.col("o_custkey") % 7 != 0) | (F.col("o_custkey") % 5 == 0)
+    return _listed(table(spark, sf_dir, "orders").filter(listed))
 
 
 def _listed(orders: DataFrame) -> DataFrame:

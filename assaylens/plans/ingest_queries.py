@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaylens.functions import text
-from assaylens.ingest import build_samples
-from assaylens.operators import shape
+from assaylens.ingest import build_samples, ingest
+from assaylens.operators import analytics, shape
+from assaylens.operators.predicates import matches
 from assaylens.plans import fixtures as fx
 from assaylens.plans.registry import query
 from assaylens.session import scratch_path
@@ -577,18 +578,71 @@ def x1(spark, sf_dir):
     )
 
 
+def _archive(key: int) -> bytes:
+    """An archive that is sound, or broken in one of four ways, as its number says."""
+    investigation = _INVESTIGATION
+    study = f"Source Name\tSample Name\tCharacteristics[Age]\nm\ts{key}\t{key}\n"
+    if key % 6 == 2:
+        study = study.replace("\tm\t", "\t").replace("m\t", '"m\t')
+    if key % 6 == 3:
+        study = f"Source Name\tCharacteristics[Age]\nm\t{key}\n"
+    if key % 6 == 4:
+        investigation = investigation.replace("Prices", '"Prices of "all" orders"')
+    if key % 6 == 5:
+        study = study.replace("m\t", "m" * 200_000 + "\t")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("i_x.txt", investigation)
+        z.writestr("s_first.txt", study)
+        z.writestr("a_first.txt", f"Sample Name\tParameter Value[Reads]\ns{key}\t{key}\n")
+    return out.getvalue()[: 100 if key % 6 == 1 else None]
+
+
+def _archives_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"accession": batch["accession"], "content": [_archive(k) for k in batch["key"]]})
+
+
+@query(
+    "ingest_failures",
+    """SELECT concat('GLDS-', CAST(s_suppkey AS VARCHAR)) AS accession,
+              CASE s_suppkey % 6 WHEN 1 THEN 'archive cannot be unpacked'
+                   WHEN 2 THEN 'quotes of a tab do not add up' WHEN 3 THEN 'a tab has no Sample Name column'
+                   ELSE 'sound' END AS outcome FROM supplier""",
+)
+def ingest_failures(spark, sf_dir):
+    """A dataset per supplier, half of them broken: the others are read whole."""
+    keys = fx.table(spark, sf_dir, "supplier").select(
+        fx.numbered("GLDS-", F.col("s_suppkey")).alias("accession"), F.col("s_suppkey").cast("bigint").alias("key")
+    )
+    archives = keys.mapInPandas(_archives_of, "accession string, content binary")
+    files = keys.select(
+        "accession", F.lit("x.zip").alias("filename"), F.lit("isa").alias("datatype"),
+        F.lit(True).alias("internal"), F.lit(None).cast("string").alias("condition"),
+    )
+    samples, failures = ingest(archives, files)
+    sound = samples.select("accession", F.lit("sound").alias("outcome"))
+    return sound.unionByName(failures.withColumnRenamed("reason", "outcome"))
+
+
 @query(
     "x2_regular_expressions",
-    r"""SELECT page_id, regexp_matches(url, '^https') AS secure, regexp_extract(url, '//([^/]+)', 1) AS host,
-               regexp_replace(url, '[0-9]+', '#', 'g') AS masked FROM pages""",
+    r"""SELECT page_id, regexp_matches(url, '^https://[^/]+\.org/') AS chosen,
+               regexp_replace(url, '[._-]', '.', 'g') AS dotted_url,
+               regexp_replace(url || ' x', '\s', '_', 'g') AS class_label FROM pages""",
 )
 def x2(spark, sf_dir):
+    """Search, replacement and labels by regular expression, as filters and writers use them."""
     url = F.col("url")
-    return fx.table(spark, sf_dir, "pages").select(
+    pages = fx.table(spark, sf_dir, "pages")
+    chosen = matches("study.characteristics.url", r"^https://[^/]+\.org/").condition()
+    return pages.withColumn(
+        "attrs", F.map_from_arrays(F.array(F.lit("study.characteristics.url")), F.array(url))
+    ).select(
         "page_id",
-        url.rlike("^https").alias("secure"),
-        F.regexp_extract(url, "//([^/]+)", 1).alias("host"),
-        F.regexp_replace(url, "[0-9]+", "#").alias("masked"),
+        chosen.alias("chosen"),
+        text.dotted(url).alias("dotted_url"),
+        text.label(F.concat(url, F.lit(" x"))).alias("class_label"),
     )
 
 
@@ -679,17 +733,19 @@ def x9(spark, sf_dir):
 
 @query(
     "x10_numeric_functions",
-    """SELECT l_returnflag, l_linestatus, round(avg(ln(l_quantity)), 6) AS mean_log,
-              round(stddev_samp(log10(l_quantity)), 6) AS sd_log10, max(abs(l_quantity - 25)) AS magnitude
+    """SELECT l_returnflag, l_linestatus, round(avg(ln(l_quantity + 1)), 6) AS mean_log,
+              round(avg(log10(l_quantity)), 6) AS mean_log10, max(abs(l_quantity - 25)) AS magnitude
        FROM lineitem GROUP BY 1, 2""",
 )
 def x10(spark, sf_dir):
-    return (
-        fx.table(spark, sf_dir, "lineitem")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(
-            F.round(F.avg(F.log("l_quantity")), 6).alias("mean_log"),
-            F.round(F.stddev_samp(F.log10("l_quantity")), 6).alias("sd_log10"),
-            F.max(F.abs(F.col("l_quantity") - 25)).alias("magnitude"),
-        )
-    )
+    """Logarithms and magnitudes, as the analyses compute them."""
+    kinds = ["l_returnflag", "l_linestatus"]
+    items = fx.table(spark, sf_dir, "lineitem").select(*kinds, F.col("l_quantity").alias("value"))
+
+    def mean(df, name):
+        return df.groupBy(*kinds).agg(F.round(F.avg("value"), 6).alias(name))
+
+    centred = items.withColumn("value", F.col("value") - 25)
+    largest = centred.groupBy(*kinds).agg(analytics.magnitude("value").alias("magnitude"))
+    logs = mean(analytics.log_value(items, 1.0), "mean_log")
+    return logs.join(mean(analytics.log_value(items, 0.0, 10), "mean_log10"), kinds).join(largest, kinds)

@@ -44,11 +44,12 @@ def _rows(listing, source):
     "u3_replace_datasets",
     """SELECT CAST(o_custkey AS VARCHAR) AS accession, concat('file', o_orderkey) AS filename, 'old' AS source
        FROM orders JOIN fx_classes ON accession = o_custkey
-       WHERE class = 'fresh' AND o_orderdate < TIMESTAMP '2000-01-01 00:00:00' AND o_custkey % 5 <> 0
+       WHERE class = 'fresh' AND o_custkey % 5 <> 0
+         AND (o_orderdate < TIMESTAMP '2000-01-01 00:00:00' OR o_custkey % 7 = 0)
        UNION ALL
        SELECT CAST(o_custkey AS VARCHAR), concat('file', o_orderkey), 'new'
        FROM orders JOIN fx_classes ON accession = o_custkey
-       WHERE class IN ('new', 'updated') AND o_custkey % 7 <> 0 AND o_custkey % 11 <> 0""",
+       WHERE class IN ('new', 'updated') AND (o_custkey % 7 <> 0 OR o_custkey % 5 = 0) AND o_custkey % 11 <> 0""",
 )
 def u3(spark, sf_dir):
     """Every eleventh dataset cannot be parsed: its rows go and none come."""
@@ -139,7 +140,7 @@ def u10(spark, sf_dir):
     """SELECT CAST(o_custkey AS VARCHAR) AS accession, concat('file', o_orderkey) AS filename,
               CAST(CASE class WHEN 'fresh' THEN 0 ELSE 1 END AS BIGINT) AS data_batch
        FROM orders JOIN fx_classes ON accession = o_custkey
-       WHERE class <> 'dropped' AND o_custkey % 7 <> 0""",
+       WHERE class <> 'dropped' AND (o_custkey % 7 <> 0 OR o_custkey % 5 = 0)""",
 )
 def u9(spark, sf_dir):
     """Two snapshots through the stream; rows of unchanged datasets stay where they were."""

@@ -12,6 +12,7 @@ import io
 import os
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -78,41 +79,106 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("accession"), "content")
 
 
+BROKEN = "!"  # the kind of a row that tells, as its tab, why an archive cannot be read
+_LONGEST_CELL = 2**31 - 1
+
+
 def _member_lines(text: Iterable[str]) -> Iterator[list[str]]:
     """Cells of the lines of one tab, without comment lines and blank lines."""
     kept = (line for line in text if not line.startswith("#"))
-    for cells in csv.reader(kept, delimiter="\t"):
+    for cells in csv.reader(kept, delimiter="\t", strict=True):
         if cells:
             yield cells
 
 
+def _repaired_lines(text: str) -> list[list[str]]:
+    """Cells of a tab whose quotes do not add up, read line by line.
+
+    Quotes around a whole cell are taken off, those inside it stay. A cell that only
+    begins or only ends with a quote cannot be told from one that goes on in the next
+    line, which is an error.
+    """
+    out = []
+    for line in text.splitlines():
+        if not line or line.startswith("#"):
+            continue
+        cells = line.split("\t")
+        for cell in cells:
+            if len(cell) == 1 and cell == '"' or cell.startswith('"') != cell.endswith('"'):
+                raise csv.Error("a quote is not closed")
+        out.append([c[1:-1].replace('""', '"') if c.startswith('"') else c for c in cells])
+    return out
+
+
+def _tab_lines(raw: io.BufferedIOBase, kind: str) -> Iterator[list[str]]:
+    """The lines of a member. Records of an investigation are few: they are read as a
+    whole, so that they can be repaired; other tabs are unpacked as they are read."""
+    text = io.TextIOWrapper(raw, errors="replace", newline="", encoding="utf-8")
+    if kind != "i":
+        yield from _member_lines(text)
+        return
+    whole = text.read()
+    try:
+        lines = list(_member_lines(io.StringIO(whole, newline="")))
+    except csv.Error:
+        lines = _repaired_lines(whole)
+    yield from lines
+
+
+def _archive_rows(accession: str, content: bytes) -> Iterator[tuple]:
+    """The rows of one archive; a member of the same kind and name in a later folder adds to it."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        for member in archive.namelist():
+            found = re.search(MEMBER_PATTERN, os.path.basename(member))
+            if found:
+                with archive.open(member) as raw:
+                    for number, cells in enumerate(_tab_lines(raw, found[1])):
+                        yield accession, found[1], found[2], number, cells
+
+
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["accession", "kind", "tab", "line_no", "cells"]
-    for batch in batches:
-        for accession, content in zip(batch["accession"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for member in archive.namelist():
-                    found = re.search(MEMBER_PATTERN, os.path.basename(member))
-                    if not found:
-                        continue
-                    rows = []
-                    # unpacked as it is read: a tab is never in memory as a whole
-                    with archive.open(member) as raw:
-                        text = io.TextIOWrapper(raw, errors="replace", newline="", encoding="utf-8")
-                        for number, cells in enumerate(_member_lines(text)):
-                            rows.append((accession, found[1], found[2], number, cells))
-                            if len(rows) == _BATCH_LINES:
-                                yield pd.DataFrame(rows, columns=names)
-                                rows = []
-                    if rows:
-                        yield pd.DataFrame(rows, columns=names)
+    before = csv.field_size_limit(_LONGEST_CELL)
+    try:
+        for batch in batches:
+            rows: list[tuple] = []
+            for accession, content in zip(batch["accession"], batch["content"]):
+                try:
+                    for row in _archive_rows(accession, content):
+                        rows.append(row)
+                        if len(rows) == _BATCH_LINES:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+                except csv.Error:
+                    rows.append((accession, BROKEN, "quotes of a tab do not add up", 0, None))
+                except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, TypeError):
+                    rows.append((accession, BROKEN, "archive cannot be unpacked", 0, None))
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+    finally:
+        csv.field_size_limit(before)
 
 
 def archive_lines(archives: DataFrame) -> DataFrame:
-    """(accession, kind, tab, line_no, cells) of every line of every tab."""
+    """(accession, kind, tab, line_no, cells) of every line of every tab.
+
+    An archive that cannot be read gives, beside what was read of it, a row of the kind
+    ``BROKEN``; the others are read all the same.
+    """
     return archives.select("accession", "content").mapInPandas(_unzip, LINE_SCHEMA)
 
 
+def broken_archives(lines: DataFrame) -> DataFrame:
+    """(accession, reason) of the archives that cannot be read."""
+    return lines.filter(F.col("kind") == BROKEN).select("accession", F.col("tab").alias("reason"))
+
+
+def unnamed_tabs(lines: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Study and assay tabs without a column of sample names."""
+    named = parsed.filter(F.col("field") == SAMPLE_NAME).select(*TAB)
+    return tab_headers(lines).select(*TAB).join(named, list(TAB), "left_anti")
+
+
 def missing_tabs(archives: DataFrame, lines: DataFrame) -> DataFrame:
     """(accession, kind) of the tabs an archive should have but has not."""
     kinds = archives.select("accession").distinct().select(
@@ -198,7 +264,7 @@ def extra_on_qualifiers(parsed: DataFrame) -> DataFrame:
     """Warnings: brackets after a qualifier that takes none."""
     return parsed.filter(
         (F.col("role") == "qualifier") & (F.col("field") != "Comment") & F.col("subfield").isNotNull()
-    ).select(*TAB, "column", F.lit("Extra info past qualifier").alias("warning"))
+    ).select(*TAB, "column", F.lit("text after a qualifier is not used").alias("warning"))
 
 
 def layouts(headers: DataFrame) -> DataFrame:
@@ -214,7 +280,7 @@ def layouts(headers: DataFrame) -> DataFrame:
     early = (F.col("role") == "qualifier") & (F.col("main_no") == 0)
     parsed = parsed.withColumn(
         "main_no",
-        guarded(F.col("main_no"), early, "qualifier before main field", F.col("accession"), F.col("column")),
+        guarded(F.col("main_no"), early, "a tab begins with a column that describes another column", F.col("accession"), F.col("column")),
     )
     main = F.col("role") == "main"
     takes_reference = F.col("subfield").isNull() | (F.col("field") == PARAMETER)
@@ -237,7 +303,7 @@ def layouts(headers: DataFrame) -> DataFrame:
     same = Window.partitionBy(*TAB, "m.field", "m.subfield").orderBy("m.pos")
     fields = fields.withColumn("_ord", F.row_number().over(same) - 1)
     repeated = (F.col("_ord") > 0) & F.col("m.subfield").isNotNull()
-    message = "duplicate field[subfield]"
+    message = "two columns of a tab have the same field and subfield"
     names = (F.col("accession"), F.col("m.field"), F.col("m.subfield"))
     fields = fields.withColumn("ord", guarded(F.col("_ord"), repeated, message, *names))
     comments = F.filter("qualifiers", lambda q: q.getField("field") == "Comment")
@@ -255,7 +321,7 @@ def layouts(headers: DataFrame) -> DataFrame:
         F.max(F.struct("e.field", "e.subfield")).alias("_last"),
     )
     path = guarded(
-        F.col("path"), F.col("_first") != F.col("_last"), "harmonised keys conflict", F.col("path")
+        F.col("path"), F.col("_first") != F.col("_last"), "two fields of a tab become one key; rename one of them", F.col("path")
     )
     places = F.transform("es", lambda e: F.struct(e.getField("pos"), e.getField("unit_pos")))
     is_name = (F.col("_first.field") == SAMPLE_NAME) & F.col("_first.subfield").isNull()
@@ -343,7 +409,7 @@ def with_names(rows: DataFrame, tab_layouts: DataFrame) -> DataFrame:
     """Rows with ``sample_names``: the distinct contents of their sample name columns."""
     joined = join_back(rows, tab_layouts.drop("layout", "slots"), TAB)
     names = F.array_distinct(F.transform("name_places", _cell))
-    missing = guarded(names, F.size("name_places") == 0, "entry missing 'Sample Name'", *map(F.col, TAB))
+    missing = guarded(names, F.size("name_places") == 0, "a tab has no Sample Name column", *map(F.col, TAB))
     return joined.withColumn("sample_names", missing).drop("name_places")
 
 
@@ -354,7 +420,7 @@ def _first_name() -> Column:
 def unnamed_rows(rows: DataFrame) -> DataFrame:
     """Warnings: rows whose sample name is missing."""
     return rows.filter(_first_name().isNull()).select(
-        *TAB, "line_no", F.lit("Null 'Sample Name'").alias("warning")
+        *TAB, "line_no", F.lit("row left out: it names no sample").alias("warning")
     )
 
 
@@ -379,7 +445,7 @@ def named_rows(rows: DataFrame) -> DataFrame:
     name = guarded(
         _first_name(),
         F.size("sample_names") > 1,
-        "entry has multiple 'Sample Name' values",
+        "a row names several samples",
         F.col("accession"),
         F.col("line_no"),
     )

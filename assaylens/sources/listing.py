@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assaylens.errors import guarded
 from assaylens.functions.text import epoch_seconds, percent_encode
+from assaylens.operators.ranking import join_back
 
 LISTING_SCHEMA = (
     "accession string, file_name string, version string, remote_url string, "
@@ -173,17 +174,20 @@ def typed_files(listing: DataFrame) -> DataFrame:
     rule = guarded(
         F.get(matched, F.lit(0)),
         F.size(matched) > 1,
-        "file name matches more than one pattern",
+        "a file name fits several typing rules",
         F.col("filename"),
     )
     # never NULL: a test for NULL would be pushed below earlier aggregations, and
     # with it the matching of all the names they are about to reduce
-    numbered = listing.withColumn("_matched", _matched(F.col("filename"))).withColumn(
-        "_rule", F.coalesce(rule, F.lit(-1))
+    # versions share their name: each name is matched once
+    names = listing.select("filename").distinct()
+    numbered = names.withColumn("_matched", _matched(F.col("filename"))).select(
+        "filename", F.coalesce(rule, F.lit(-1)).alias("_rule")
     )
     # one row per rule, whatever the size of the listing: always small enough to broadcast
     flags = F.broadcast(rule_flags(listing.sparkSession))
-    return numbered.join(flags, "_rule", "left").select(*listing.columns, *FLAGS)
+    described = numbered.join(flags, "_rule", "left").drop("_rule")
+    return join_back(listing, described, ["filename"]).select(*listing.columns, *FLAGS)
 
 
 def with_urls(

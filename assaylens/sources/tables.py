@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaylens.errors import DataError
+from assaylens.sources.store import write_datasets
 
 DELIMITERS = ",\t;|"
-SNIFF_LINES = 100
+SNIFFED = 100  # lines that a delimiter is guessed from, unless the caller says otherwise
 
 
-def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter whose count is the same, and highest, in the first lines.
+def sniff_delimiter(spark: SparkSession, path: str, n_lines: int = SNIFFED) -> str:
+    """The delimiter whose count is the same, and highest, in the first ``n_lines``.
 
-    Compressed files are recognised by their suffix, as everywhere in Spark.
+    It is a guess from the beginning of one file; ``read_table`` makes sure that all files
+    have more than one column with it. Compressed files are recognised by their suffix, as
+    everywhere in Spark.
     """
-    lines = [r["value"] for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
+    lines = [r["value"] for r in spark.read.text(path).limit(n_lines).collect()]
     lines = [line for line in lines if line]
     best, best_count = None, 0
     for candidate in DELIMITERS:
@@ -29,15 +33,10 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     if best is None:  # quoted cells may hold the delimiter: take the commonest in the header
         best = max(DELIMITERS, key=lines[0].count) if lines else None
         if best is None or best not in lines[0]:
-            raise DataError(f"not recognised as a table file: {path}")
+            raise DataError(f"no delimiter found; say which one separates the columns of {path}")
     return best
 
 
-def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
-    frame = spark.read.option("sep", sep).option("header", True).csv(path)
-    return frame.columns
-
-
 def read_table(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -49,8 +48,9 @@ def read_table(
 
     The index takes its name from the header, else from ``index_name``, else it is
     ``index``. With a schema every file must have exactly its columns. Without one
-    the index is text and the other columns are read as numbers, or as text when a
-    value in them is not a number (one pass over the files finds out).
+    the index is text and the other columns are read as whole numbers, as numbers, or
+    as text, whichever all values of a column are (one pass over the files finds out).
+    Files whose header differs from the first one's, in names or in number, are an error.
     """
     first = path if isinstance(path, str) else path[0]
     paths = [path] if isinstance(path, str) else list(path)
@@ -60,14 +60,17 @@ def read_table(
         reader = reader.schema(schema).option("enforceSchema", False).option("mode", "FAILFAST")
         df = reader.csv(paths)
     else:
-        df = reader.csv(paths)
-        numeric = _numeric_columns(df)
+        # the header of the first file, as text, is what all others must have
+        names = reader.csv(first).columns
+        headers = T.StructType([T.StructField("" if c == f"_c{k}" else c, T.StringType()) for k, c in enumerate(names)])
+        df = reader.schema(headers).option("enforceSchema", False).option("mode", "FAILFAST").csv(paths)
+        df = df.toDF(*names)
+        if len(df.columns) < 2:
+            raise DataError(f"a single column with the delimiter {sep!r}; say which one separates the columns of {first}")
+        kinds = _column_types(df)
         df = df.select(
             F.col(f"`{df.columns[0]}`"),
-            *[
-                F.col(f"`{c}`").cast("double").alias(c) if c in numeric else F.col(f"`{c}`")
-                for c in df.columns[1:]
-            ],
+            *[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in df.columns[1:]],
         )
     index = df.columns[0]
     if index == "_c0" or not index.strip():
@@ -75,17 +78,32 @@ def read_table(
     return nan_to_null(df)
 
 
-def _numeric_columns(df: DataFrame) -> set[str]:
-    """Columns in which every value is a number."""
+def _column_types(df: DataFrame) -> dict[str, str]:
+    """The narrowest of bigint, double and string that all values of a column are."""
     names = df.columns[1:]
     if not names:
-        return set()
-    bad = [
-        F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull())
-        for c in names
-    ]
-    row = df.agg(F.array(*bad).alias("bad")).first()
-    return {c for c, n in zip(names, row["bad"]) if n == 0}
+        return {}
+    counts = []
+    for c in names:
+        value = F.trim(F.col(f"`{c}`"))
+        given = value.isNotNull()
+        # digits with a sign only: 1.0 and 1e3 are numbers, but not whole ones
+        whole = value.rlike("^[+-]?[0-9]+$") & value.try_cast("bigint").isNotNull()
+        counts.append(
+            F.struct(
+                F.count_if(given).alias("given"),
+                F.count_if(given & ~whole).alias("broken"),
+                F.count_if(given & value.try_cast("double").isNull()).alias("words"),
+            )
+        )
+    row = df.agg(F.array(*counts).alias("columns")).first()
+
+    def kind(c: dict) -> str:
+        if c["words"]:
+            return "string"
+        return "double" if c["broken"] or not c["given"] else "bigint"
+
+    return {name: kind(c) for name, c in zip(names, row["columns"])}
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -100,18 +118,6 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def check_width(spark: SparkSession, paths: Sequence[str], sep: str) -> list[str]:
-    """All files must have the same columns in the same order."""
-    header = _header(spark, paths[0], sep)
-    for path in paths[1:]:
-        other = _header(spark, path, sep)
-        if len(other) != len(header):
-            raise DataError(f"inconsistent width: {path}")
-        if other != header:
-            raise DataError(f"inconsistent column names: {path}")
-    return header
-
-
 def load_tables(
     spark: SparkSession,
     paths: Sequence[str],
@@ -123,19 +129,27 @@ def load_tables(
 ) -> None:
     """Load files of one width and header into Parquet, stamped and by accession.
 
-    Loading an accession again replaces its rows only.
+    Loading an accession again replaces its rows only. The reading job compares each
+    file's header with the schema, so a file that differs fails the load.
     """
-    check_width(spark, paths, sep)
-    df = read_table(spark, list(paths), schema=schema, sep=sep)
-    stamped = df.withColumn("accession", F.lit(accession)).withColumn(
-        "source_ts", F.lit(ts).cast("bigint")
-    )
-    (
-        stamped.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("accession")
-        .parquet(target)
-    )
+    load_datasets(spark, {accession: (paths, ts)}, target, schema, sep)
+
+
+def load_datasets(
+    spark: SparkSession,
+    datasets: Mapping[str, tuple[Sequence[str], int]],
+    target: str,
+    schema: T.StructType,
+    sep: str = ",",
+) -> None:
+    """Load the files of many accessions, given with their time stamps, in one job."""
+    frames = [
+        read_table(spark, list(paths), schema=schema, sep=sep)
+        .withColumn("accession", F.lit(accession))
+        .withColumn("source_ts", F.lit(ts).cast("bigint"))
+        for accession, (paths, ts) in datasets.items()
+    ]
+    write_datasets(reduce(DataFrame.unionByName, frames), target)
 
 
 def stale_tables(source: DataFrame, stored: DataFrame, key: str = "identifier") -> DataFrame:

@@ -5,7 +5,7 @@ from assaylens.errors import QueryError
 from assaylens.operators import files as file_ops
 from assaylens.operators import predicates as p
 from assaylens.operators import views
-from assaylens.operators.lists import chunked_lists
+from assaylens.operators.lists import listed_values
 from assaylens.operators.order import natural_order, sort_naturally
 from assaylens.operators.ranking import with_position
 from assaylens.operators.shape import bad_names, leaf_elements, move_material_type
@@ -45,9 +45,17 @@ def test_predicates(samples):
     assert chosen(samples, p.exists("id.study name")) == ["a/b", "s10", "s9"]
 
 
-def test_long_id_lists_are_joined(samples, monkeypatch):
-    monkeypatch.setattr(p, "MAX_INLINE_IDS", 1)
-    assert chosen(samples, p.by_id("D-2/rna/s9", "D-10", "D-10/rna")) == ["a/b", "s1", "s9"]
+def test_long_id_lists_select_the_same(spark, samples):
+    many = [f"X-{i}/rna" for i in range(5000)]
+    for ids in (["D-2/rna/s9", "D-10", "D-10/rna"], ["D-10/rna"], ["D-2/rna/s9"]):
+        assert chosen(samples, p.by_id(*ids, *many)) == chosen(samples, p.by_id(*ids))
+    rows = [("D", "a", "s"), ("D", "a", None), ("D", None, "s"), (None, "a", "s"), ("D/a", None, "s")]
+    df = spark.createDataFrame(rows, "accession string, assay_name string, sample_name string")
+    for n in (0, 300):
+        extra = [f"X-{i}" for i in range(n)]
+        assert p.filter_samples(df, [p.by_id("D", *extra)]).count() == 3
+        assert p.filter_samples(df, [p.by_id("D/a", *extra)]).count() == 2
+        assert p.filter_samples(df, [p.by_id("D/a/s", *extra)]).count() == 1
 
 
 def test_file_predicates_choose_files_as_well(samples):
@@ -114,8 +122,10 @@ def test_facets(samples):
     found = {(r["category"], r["subfield"], r["key"], r["value"]) for r in views.facet_values(samples).collect()}
     assert ("study", "characteristics", "comment", "c") not in found
     assert ("study", "factor value", "dose", "1") in found
-    lists = {r["key"]: r["values"] for r in views.facet_lists(samples).collect()}
-    assert lists["organism"] == ["Homo", "Mus musculus", "mus"]
+    listed = views.facet_lists(samples).filter("key = 'organism'").orderBy("position").collect()
+    assert [(r["position"], r["value"], r["n_values"]) for r in listed] == [
+        (0, "Homo", 3), (1, "Mus musculus", 3), (2, "mus", 3),
+    ]
     assert {r["key"] for r in views.facet_keys(samples).collect()} == {"organism", "dose", "sex", "kit"}
     assert views.facet_blocks(samples).count() == 3
     assert [(r["accession"], r["assay_name"]) for r in views.assays_by_accession(samples).collect()] == [
@@ -124,16 +134,15 @@ def test_facets(samples):
     assert [r["datatype"] for r in views.datatypes(samples).collect()] == ["counts"]
 
 
-def test_long_lists_are_split_but_whole(spark):
+def test_long_lists_are_rows_in_order(spark):
     df = spark.range(1000).select(
         F.when(F.col("id") < 900, "hot").alias("k"), F.format_string("v%04d", "id").alias("v")
     )
-    rows = chunked_lists(df, ["k"], "v", "vs", chunk_rows=100).collect()
-    hot = [r for r in rows if r["k"] == "hot"]
-    assert len(hot) > 5 and all(r["n_chunks"] == 9 and len(r["vs"]) < 200 for r in hot)
-    assert sorted(v for r in hot for v in r["vs"]) == [f"v{i:04d}" for i in range(900)]
-    (rest,) = [r for r in rows if r["k"] is None]
-    assert rest["vs"] == [f"v{i:04d}" for i in range(900, 1000)] and rest["n_chunks"] == 1
+    rows = listed_values(df, ["k"], "v", "v").collect()
+    hot = sorted((r["position"], r["v"]) for r in rows if r["k"] == "hot")
+    assert hot == [(i, f"v{i:04d}") for i in range(900)]
+    rest = sorted((r["position"], r["v"], r["n_values"]) for r in rows if r["k"] is None)
+    assert rest == [(i, f"v{900 + i:04d}", 100) for i in range(100)]
 
 
 def test_positions_with_a_hot_group(spark):
@@ -168,8 +177,10 @@ def test_files_of_samples(spark, samples):
     assert [r["sample_name"] for r in file_ops.samples_of_file(samples, "D-2", "rna", "f2").collect()] == ["s10"]
     assert file_ops.files_with_samples(samples).count() == 3
     found = p.filter_samples(samples, [p.exists("file.filename")])
-    rows = {(r["accession"], r["filename"]): r["sample_names"] for r in file_ops.file_descriptors(found).collect()}
-    assert rows == {("D-2", "f1"): ["s10"], ("D-2", "f2"): ["s10"], ("D-10", "f1"): ["a/b"]}
+    rows = file_ops.file_descriptors(found).collect()
+    assert {(r["accession"], r["filename"], r["position"], r["sample_name"]) for r in rows} == {
+        ("D-2", "f1", 0, "s10"), ("D-2", "f2", 0, "s10"), ("D-10", "f1", 0, "a/b"),
+    }
 
 
 def test_attached_files(spark):

@@ -86,18 +86,37 @@ def test_a_bad_dataset_leaves_the_others_alone(spark):
         "conflict": archive(a="Sample Name\tSample Name\ns.1\ts.2\n"),
         "ambiguous": archive(s="Sample Name\ns.1.a\ns.1.b\n"),
         "unnamed": archive(i=INVESTIGATION.replace("a_rna.txt", "rna.txt")),
+        "corrupt": archive()[:200],
+        "no_zip": b"not a zip at all",
+        "open": archive(s=STUDY.replace("liver", '"liver')),
+        "open_i": archive(i=INVESTIGATION.replace("Mice", '"Mice')),
+        "nameless": archive(s="Source Name\tCharacteristics[Age]\nm1\t3\n"),
     }
-    samples, failures = ingest(*inputs(spark, good=archive(), **bad))
-    assert {r["accession"] for r in samples.collect()} == {"good"}
+    good = {
+        "good": archive(),
+        "inner": archive(i=INVESTIGATION.replace("Mice", '"Mice called "Mus" here"')),
+        "huge": archive(s=STUDY.replace("liver", "x" * 200_000)),
+    }
+    samples, failures = ingest(*inputs(spark, **good, **bad))
+    rows = samples.collect()
+    assert {r["accession"] for r in rows} == set(good) and len(rows) == 6
+    titles = {r["accession"]: r["attrs"]["investigation.study.study title"] for r in rows}
+    assert titles["inner"] == 'Mice called "Mus" here'
+    assert all("investigation.study assays.study assay technology type" in r["attrs"] for r in rows)
     assert {r["accession"]: r["reason"] for r in failures.collect()} == {
         "no_study": "missing tab",
-        "early": "qualifier before main field",
-        "twice": "duplicate field[subfield]",
-        "collide": "harmonised keys conflict",
-        "repeated": "duplicate sample in a study",
-        "conflict": "entry has several sample names",
-        "ambiguous": "several study entries match an assay entry",
+        "early": "a tab begins with a column that describes another column",
+        "twice": "two columns of a tab have the same field and subfield",
+        "collide": "two fields of a tab become one key; rename one of them",
+        "repeated": "a study lists a sample twice",
+        "conflict": "a row names several samples",
+        "ambiguous": "an assay row fits several study rows",
         "unnamed": "assay without a name",
+        "corrupt": "archive cannot be unpacked",
+        "no_zip": "archive cannot be unpacked",
+        "open": "quotes of a tab do not add up",
+        "open_i": "quotes of a tab do not add up",
+        "nameless": "a tab has no Sample Name column",
     }
     with pytest.raises(DataError, match="missing tab"):
         build_samples(*inputs(spark, bad=bad["no_study"]))

@@ -68,7 +68,7 @@ def test_a_short_name_that_begins_all_others_is_counted(spark):
 
 def test_ambiguous_columns_are_an_error(spark):
     a, b = frames(spark, ["s"], ["s1", "s2"])
-    with pytest.raises(PySparkException, match="matches multiple sample names"):
+    with pytest.raises(PySparkException, match="several samples"):
         names.match_columns(a, b, BY, keep_unmatched=True).collect()
 
 

@@ -147,7 +147,7 @@ def test_data_of_selected_samples(repository, tmp_path):
     assert document(tmp_path).startswith("#1.2\n3\t3\n")
     some = repository.data(*predicates, columns=["t"], comparisons=[p.compare("D-1/rna/s-1", ">=", 1)])
     assert sorted(map(tuple, some.table.collect())) == [("g1", None), ("g2", None)]
-    with pytest.raises(QueryError, match="subset"):
+    with pytest.raises(QueryError, match="column selection"):
         some.write("gct", str(tmp_path / "x"))
     paged = repository.data(*predicates, limit=1, offset=1)
     assert [r["feature"] for r in paged.table.collect()] == ["g2"]
@@ -157,11 +157,11 @@ def test_data_of_selected_samples(repository, tmp_path):
 def test_data_queries_that_cannot_be_answered(repository):
     with pytest.raises(QueryError, match="file predicate"):
         repository.data(p.exists("study.factor value.flight"))
-    with pytest.raises(DataError, match="multiple datatypes"):
+    with pytest.raises(DataError, match="several datatypes"):
         repository.data(p.exists("file.datatype"))
     with pytest.raises(DataError, match="of this datatype"):
         repository.data(p.eq("file.datatype", "pca"))
-    with pytest.raises(DataError, match="no file"):
+    with pytest.raises(DataError, match="no file fits"):
         repository.data(p.eq("file.datatype", "nothing"))
 
 
@@ -173,7 +173,7 @@ def test_files_whose_columns_are_not_samples(repository):
     result = repository.data(p.eq("file.datatype", "pca"), *one)
     assert result.table.columns == ["sample name", "D-1/rna/PC1", "D-1/rna/PC2"]
     assert sorted(map(tuple, result.table.collect()), key=str) == [("s-1", 1.0, None), ("x", None, 2.0)]
-    with pytest.raises(DataError, match="not a table"):
+    with pytest.raises(DataError, match="only tables"):
         repository.data(p.eq("file.filename", "x.fastq"), *one)
 
 

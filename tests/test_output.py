@@ -8,6 +8,7 @@ from assaylens.api import Repository
 from assaylens.errors import DataError, QueryError
 from assaylens.operators import predicates as p
 from assaylens.sinks import formats
+from assaylens.sources.catalogue import TableStore
 
 
 def document(path):
@@ -137,6 +138,56 @@ def repository(spark):
     return Repository(samples, measured)
 
 
+@pytest.fixture
+def stored(spark, repository, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    counts = spark.createDataFrame(
+        [("g1", 1.0, 2.0), ("g10", 3.0, None), ("g1", 5.0, 6.0), ("g2", 7.0, 8.0)], "feature string, `s.2` double, `s.1` double"
+    )
+    store.store(counts.coalesce(1), "D-1", "rna", "counts.csv")
+    other = spark.createDataFrame([("g1", 4.0, 9.0), ("g3", 5.0, 9.0)], "feature string, s_1_rep double, length double")
+    store.store(other, "D-2", "rna", "counts.csv")
+    pca = spark.createDataFrame([("s_1", 1.0), ("x", 2.0), (None, 3.0)], "name string, PC1 double")
+    store.store(pca.coalesce(1), "D-1", "rna", "pca.csv")
+    words = spark.createDataFrame([("g1", "up", 3), ("g0", "down", None)], "gene string, direction string, `s.1` bigint")
+    store.store(words.coalesce(1), "D-1", "rna", "de.csv")
+    return Repository(repository.samples, tables=store)
+
+
+def test_one_stored_file_comes_back_as_it_is(stored):
+    one = (p.by_id("D-1"), p.eq("file.datatype", "unnormalized counts"))
+    result = stored.data(*one)
+    assert result.table.columns == ["feature", "D-1/rna/s-1", "D-1/rna/s-2"]
+    assert [tuple(r) for r in result.table.collect()] == [
+        ("g1", 2.0, 1.0), ("g10", None, 3.0), ("g1", 6.0, 5.0), ("g2", 8.0, 7.0),
+    ]
+    some = stored.data(*one, p.eq("study.factor value.flight", "space"), comparisons=[p.compare("s-1", ">", 2)])
+    assert [tuple(r) for r in some.table.collect()] == [("g1", 6.0), ("g2", 8.0)]
+    paged = stored.data(*one, limit=2, offset=1, columns=["s-2"])
+    assert [tuple(r) for r in paged.table.collect()] == [("g1", 5.0), ("g2", 7.0)]
+
+
+def test_stored_text_and_sample_index(stored):
+    words = stored.data(p.by_id("D-1"), p.eq("file.datatype", "differential expression")).table
+    assert words.columns == ["gene", "D-1/rna/direction", "D-1/rna/s-1"]
+    assert [tuple(r) for r in words.collect()] == [("g1", "up", 3), ("g0", "down", None)]
+    pca = stored.data(p.by_id("D-1"), p.eq("file.datatype", "pca"))
+    assert pca.index == "sample name"
+    assert [tuple(r) for r in pca.table.collect()] == [("s-1", 1.0), ("x", 2.0), (None, 3.0)]
+
+
+def test_stored_files_are_joined(stored):
+    result = stored.data(p.eq("file.datatype", "unnormalized counts"))
+    assert result.table.columns == ["feature", "D-1/rna/s-1", "D-1/rna/s-2", "D-2/rna/s-1"]
+    rows = [tuple(r) for r in result.table.collect()]
+    assert [r[0] for r in rows] == ["g1", "g1", "g2", "g3", "g10"]
+    assert sorted(rows[:2]) == [("g1", 2.0, 1.0, 4.0), ("g1", 6.0, 5.0, 4.0)] and rows[3] == ("g3", None, None, 5.0)
+    with pytest.raises(DataError, match="not stored"):
+        Repository(stored.samples, tables=TableStore(stored.tables.spark, stored.tables.root)).data(
+            p.by_id("D-2"), p.eq("file.datatype", "pca")
+        )
+
+
 def test_data_of_selected_samples(repository, tmp_path):
     predicates = (p.eq("file.datatype", "unnormalized counts"), p.eq("study.factor value.flight", "space"))
     result = repository.data(*predicates)

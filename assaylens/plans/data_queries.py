@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assaylens.api import Repository
 from assaylens.operators import analytics, names, profile, tables
 from assaylens.operators import files as file_ops
 from assaylens.operators import predicates as p
@@ -11,6 +12,7 @@ from assaylens.plans import fixtures as fx
 from assaylens.plans.registry import query
 from assaylens.session import scratch_path
 from assaylens.sources import store
+from assaylens.sources.catalogue import TableStore
 
 SAMPLE = ["accession", "assay_name", "sample_name"]
 
@@ -301,6 +303,98 @@ def j11(spark, sf_dir):
 
 # --- the data view, end to end ---------------------------------------------------------
 
+_FLAGS = "ANR"
+_TABLE = (
+    "struct<filename:string,datatype:string,type:string,joinable:boolean,"
+    "column_subset:string,index_subset:string,index_name:string>"
+)
+
+
+def _stored(spark, sf_dir, *kinds):
+    """A repository of two datasets whose samples are the return flags, with some files stored."""
+    store = TableStore(spark, scratch_path(spark, "tables"))
+    items = fx.table(spark, sf_dir, "lineitem")
+    part = fx.numbered("G", F.col("l_partkey")).alias("feature")
+    if "lines" in kinds:
+        cells = [F.when(F.col("l_returnflag") == f, F.col("l_quantity")).alias(f"{f.lower()}.1") for f in _FLAGS]
+        store.store(items.select(part, *cells), "GLDS-1", "rna", "lines.csv")
+    if "counts" in kinds:
+        for k in (1, 2):
+            names_of = ["feature", *[f"{f.lower()}_{k}" for f in _FLAGS]]
+            store.store(fx.wide(spark, sf_dir, k).toDF(*names_of), f"GLDS-{k}", "rna", "counts.csv")
+    if "words" in kinds:
+        modes = items.groupBy(part).agg(F.min("l_linestatus").alias("state"), F.count(F.lit(1)).alias("lines"))
+        store.store(modes, "GLDS-1", "rna", "words.csv")
+    if "index" in kinds:
+        flag = F.concat(F.lower("l_returnflag"), F.lit("_1_rep")).alias("name")
+        store.store(items.groupBy(flag).agg(F.max("l_quantity").alias("PC1")), "GLDS-1", "rna", "pca.csv")
+    described = [
+        ("lines.csv", "lines", "table", None, "sample name", None, None),
+        ("counts.csv", "unnormalized counts", "table", True, "sample name", None, None),
+        ("words.csv", "differential expression", "table", None, None, None, None),
+        ("pca.csv", "pca", "table", None, None, "sample name", "sample name"),
+    ]
+    files = F.array(*[F.struct(*map(F.lit, file)) for file in described]).cast(f"array<{_TABLE}>")
+    flags = items.select("l_returnflag").distinct()
+    samples = flags.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        F.concat(F.lit("GLDS-"), F.col("k").cast("string")).alias("accession"),
+        F.lit("rna").alias("assay_name"),
+        F.concat(F.lower("l_returnflag"), F.lit("-"), F.col("k").cast("string")).alias("sample_name"),
+        fx.annotated({"study.characteristics.flag": F.col("l_returnflag")}).alias("attrs"),
+        files.alias("files"),
+    )
+    return Repository(samples, tables=store)
+
+
+def _plain(table):
+    return table.toDF(*[_flat(c).replace(" ", "_") for c in table.columns])
+
+
+@query(
+    "data_one_file",
+    """SELECT concat('G', CAST(l_partkey AS VARCHAR)) AS feature,
+              CASE WHEN l_returnflag = 'A' THEN l_quantity END AS GLDS_1_rna_a_1,
+              CASE WHEN l_returnflag = 'R' THEN l_quantity END AS GLDS_1_rna_r_1 FROM lineitem""",
+)
+def data_one_file(spark, sf_dir):
+    """A file with many rows per index value; only the selected samples' columns are read."""
+    repository = _stored(spark, sf_dir, "lines")
+    chosen = p.by_id("GLDS-1"), p.eq("file.datatype", "lines"), p.eq("study.characteristics.flag", "A|R")
+    return _plain(repository.data(*chosen).table)
+
+
+@query(
+    "data_text_columns",
+    """SELECT concat('G', CAST(l_partkey AS VARCHAR)) AS feature, min(l_linestatus) AS GLDS_1_rna_state,
+              count(*) AS GLDS_1_rna_lines FROM lineitem GROUP BY 1 HAVING count(*) > 25""",
+)
+def data_text_columns(spark, sf_dir):
+    repository = _stored(spark, sf_dir, "words")
+    found = repository.data(
+        p.by_id("GLDS-1"), p.eq("file.datatype", "differential expression"), comparisons=[p.compare("lines", ">", 25)]
+    )
+    return _plain(found.table)
+
+
+@query(
+    "data_joined_files",
+    """SELECT feature, a1 AS GLDS_1_rna_a_1, n1 AS GLDS_1_rna_n_1, r1 AS GLDS_1_rna_r_1,
+              a2 AS GLDS_2_rna_a_2, n2 AS GLDS_2_rna_n_2, r2 AS GLDS_2_rna_r_2 FROM fx_joined""",
+)
+def data_joined_files(spark, sf_dir):
+    return _plain(_stored(spark, sf_dir, "counts").data(p.eq("file.datatype", "unnormalized counts")).table)
+
+
+@query(
+    "data_index_subset",
+    """SELECT concat(lower(l_returnflag), '-1') AS sample_name, max(l_quantity) AS GLDS_1_rna_PC1
+       FROM lineitem GROUP BY 1""",
+)
+def data_index_subset(spark, sf_dir):
+    """A table whose index is the sample, spelled as the file has it."""
+    return _plain(_stored(spark, sf_dir, "index").data(p.by_id("GLDS-1"), p.eq("file.datatype", "pca")).table)
+
+
 # nations of the two regions whose number annotation exists
 _SELECTED = [(a, b, n) for a, b, n in POOLED if int(n[7:]) % 5 in (2, 3) and int(n[7:]) % 4 != 0]
 

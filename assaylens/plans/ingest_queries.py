@@ -603,6 +603,16 @@ def _archives_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"accession": batch["accession"], "content": [_archive(k) for k in batch["key"]]})
 
 
+def ingest_datasets(keys):
+    """Samples and failures of the datasets with the given (accession, key)."""
+    archives = keys.mapInPandas(_archives_of, "accession string, content binary")
+    files = keys.select(
+        "accession", F.lit("x.zip").alias("filename"), F.lit("isa").alias("datatype"),
+        F.lit(True).alias("internal"), F.lit(None).cast("string").alias("condition"),
+    )
+    return ingest(archives, files)
+
+
 @query(
     "ingest_failures",
     """SELECT concat('GLDS-', CAST(s_suppkey AS VARCHAR)) AS accession,
@@ -615,12 +625,7 @@ def ingest_failures(spark, sf_dir):
     keys = fx.table(spark, sf_dir, "supplier").select(
         fx.numbered("GLDS-", F.col("s_suppkey")).alias("accession"), F.col("s_suppkey").cast("bigint").alias("key")
     )
-    archives = keys.mapInPandas(_archives_of, "accession string, content binary")
-    files = keys.select(
-        "accession", F.lit("x.zip").alias("filename"), F.lit("isa").alias("datatype"),
-        F.lit(True).alias("internal"), F.lit(None).cast("string").alias("condition"),
-    )
-    samples, failures = ingest(archives, files)
+    samples, failures = ingest_datasets(keys)
     sound = samples.select("accession", F.lit("sound").alias("outcome"))
     return sound.unionByName(failures.withColumnRenamed("reason", "outcome"))
 

@@ -6,10 +6,17 @@ from pyspark.sql import functions as F
 
 from assaylens.operators import refresh
 from assaylens.plans import fixtures as fx
+from assaylens.plans.ingest_queries import ingest_datasets
 from assaylens.plans.registry import query
 from assaylens.session import scratch_path
 from assaylens.sources.tables import stale_tables
-from assaylens.streaming.refresh import publish_snapshot, read_manifest, read_store, start_refresh
+from assaylens.streaming.refresh import (
+    publish_snapshot,
+    read_manifest,
+    read_status,
+    read_store,
+    start_refresh,
+)
 
 
 def _manifests(spark, sf_dir):
@@ -153,3 +160,61 @@ def u9(spark, sf_dir):
         raise stream.exception()
     placed = read_manifest(spark, root).select("accession", "data_batch")
     return read_store(spark, root).join(placed, "accession").select("accession", "filename", "data_batch")
+
+
+_DATASETS = """d AS (SELECT s_suppkey AS k, s_suppkey % 6 IN (0, 4, 5) AS sound,
+    s_suppkey % 4 <> 0 AND s_suppkey % 6 IN (0, 4, 5) AS cached FROM supplier)"""
+
+
+def _refreshed(spark, sf_dir):
+    """Datasets read from archives over two snapshots: some broken, some lost, some dropped."""
+    key = F.col("s_suppkey").cast("bigint")
+    listing = fx.table(spark, sf_dir, "supplier").select(
+        fx.numbered("GLDS-", key).alias("accession"), F.lit("x.zip").alias("filename"), key.alias("key")
+    )
+    folder, root = scratch_path(spark, "snapshots"), scratch_path(spark, "store")
+    publish_snapshot(listing.filter("key % 4 <> 0").withColumn("ts", F.lit(0)), folder, 0)
+    later = listing.filter("key % 9 <> 0").withColumn("ts", F.when(F.col("key") % 5 == 0, 1).otherwise(0))
+    publish_snapshot(later, folder, 1, listing.filter("key % 7 = 0"))
+
+    def build(rows):
+        samples, failures = ingest_datasets(rows.select("accession", "key"))
+        return samples.select("accession", "assay_name", "sample_name", "study_name"), failures
+
+    stream = start_refresh(spark, folder, root, build)
+    stream.awaitTermination()
+    if stream.exception():
+        raise stream.exception()
+    return root
+
+
+@query(
+    "u9_refresh_with_failures",
+    f"""WITH {_DATASETS}
+        SELECT concat('GLDS-', CAST(k AS VARCHAR)) AS accession, concat('s', CAST(k AS VARCHAR)) AS sample_name,
+               CAST(CASE WHEN k % 7 = 0 OR (cached AND k % 5 <> 0) THEN 0 ELSE 1 END AS BIGINT) AS data_batch
+        FROM d WHERE (k % 7 = 0 AND cached) OR (k % 7 <> 0 AND k % 9 <> 0 AND sound)""",
+)
+def u9_failures(spark, sf_dir):
+    root = _refreshed(spark, sf_dir)
+    placed = read_manifest(spark, root).select("accession", "data_batch")
+    return read_store(spark, root).join(placed, "accession").select("accession", "sample_name", "data_batch")
+
+
+@query(
+    "u7_status_of_refresh",
+    f"""WITH {_DATASETS},
+        log AS (
+            SELECT k, CASE WHEN sound THEN 'new' ELSE 'failed' END AS status, 0 AS ts FROM d WHERE k % 4 <> 0
+            UNION ALL
+            SELECT k, CASE WHEN k % 7 = 0 THEN CASE WHEN cached THEN 'stale' ELSE 'failed' END
+                           WHEN k % 9 = 0 THEN 'dropped'
+                           WHEN cached THEN CASE WHEN k % 5 = 0 THEN 'updated' ELSE 'fresh' END
+                           WHEN sound THEN 'new' ELSE 'failed' END, 1
+            FROM d WHERE k % 7 = 0 OR k % 9 <> 0 OR cached),
+        cut AS (SELECT k, max(ts) AS ts FROM log WHERE status IN ('dropped', 'failed') GROUP BY k)
+        SELECT concat('GLDS-', CAST(l.k AS VARCHAR)) AS accession, status, CAST(max(l.ts) AS BIGINT) AS report_ts
+        FROM log l LEFT JOIN cut ON l.k = cut.k WHERE cut.ts IS NULL OR l.ts >= cut.ts GROUP BY 1, 2""",
+)
+def u7_refresh(spark, sf_dir):
+    return refresh.current_status(read_status(spark, _refreshed(spark, sf_dir)), ["accession", "status"])

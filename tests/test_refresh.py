@@ -97,6 +97,38 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, streaming.read_store(spark, root).collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_failures_and_unreachable_datasets(spark, tmp_path):
+    root = str(tmp_path / "store")
+    reason = spark.createDataFrame([("b", "quotes do not add up")], "accession string, reason string")
+
+    def build(rows):
+        bad = reason.join(rows.select("accession").distinct(), "accession", "left_semi")
+        return rows, bad
+
+    listing = spark.createDataFrame(FIRST, LISTING)
+    lost = spark.createDataFrame([("x",)], "accession string")
+    streaming.refresh_store(listing, 0, root, build, lost)
+    assert {r["accession"] for r in streaming.read_store(spark, root).collect()} == {"a", "c"}
+    second = spark.createDataFrame(SECOND, LISTING)
+    for _ in range(2):  # doing a batch again changes nothing
+        streaming.refresh_store(second, 1, root, build, spark.createDataFrame([("a",), ("y",)], "accession string"))
+        assert sorted(map(tuple, streaming.read_store(spark, root).collect())) == [("a", "f1", 1), ("d", "f1", 1)]
+        log = streaming.read_status(spark, root).filter("report_ts = 1").collect()
+        assert {(r["accession"], r["status"], r["error"]) for r in log} == {
+            ("a", "stale", "could not be reached"), ("b", "failed", "quotes do not add up"),
+            ("c", "dropped", None), ("d", "new", None), ("y", "failed", "could not be reached"),
+        }
+    now = refresh.current_status(streaming.read_status(spark, root), ["accession", "status"]).collect()
+    assert {(r["accession"], r["status"]) for r in now if r["accession"] == "b"} == {("b", "failed")}
+    # what failed is tried again, and the store can be written anew as one batch
+    streaming.refresh_store(second, 2, root, lambda rows: rows)
+    assert as_dict(streaming.read_report(spark, root, 2)) == {"a": "fresh", "b": "new", "d": "fresh"}
+    before = sorted(map(tuple, streaming.read_store(spark, root).collect()))
+    streaming.compact(spark, root, 3)
+    assert sorted(map(tuple, streaming.read_store(spark, root).collect())) == before == sorted(SECOND)
+    assert {r["data_batch"] for r in streaming.read_manifest(spark, root).collect()} == {3}
+
+
 def test_a_batch_can_run_twice(spark, tmp_path):
     root = str(tmp_path / "store")
     frames = [spark.createDataFrame(rows, LISTING) for rows in (FIRST, SECOND)]

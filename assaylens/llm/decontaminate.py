@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylens.llm.tables import fresh, stored, words
+from assaylens.llm.tables import fresh, release, stored, words
 
 WINDOW = 10
 RAREST = 3  # terms of a window whose lists are intersected before verification
@@ -139,7 +139,9 @@ def diagonals(postings: DataFrame, chosen: DataFrame, rarest: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("have"))
         .where("have = need")
     )
-    return stored(held.select("row", "item_row", "diagonal").distinct(), "diagonals")
+    held = stored(held.select("row", "item_row", "diagonal").distinct(), "diagonals")
+    release(starts, met)
+    return held
 
 
 def phrases(
@@ -231,7 +233,8 @@ def report(
     found = phrases(postings, item_words, terms, size, rarest)
     listed = found.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("ids"))
     hits = stored(_covered(found).join(listed, "row"), "hits").withColumnRenamed("row", "hit_row")
-    every = postings.where("term = -1").select("row", "id", "n_words")
+    every = stored(postings.where("term = -1").select("row", "id", "n_words"), "lengths")
+    release(postings)
     none = F.array().cast("array<string>")
     return every.join(hits, F.col("row") == F.col("hit_row"), "left").select(
         "row",

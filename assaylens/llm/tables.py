@@ -24,8 +24,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     the work that made them. The planner knows the size of what is read back.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # whole texts are stored at times: smaller files are worth the CPU time
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing will read again."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, base: str) -> str:

@@ -50,15 +50,17 @@ def test_query_and_held_out_urls(spark):
     rows = QUERIES["op1_url_filter"](spark, SF).collect()
     assert {r.page_id: (r.host, r.path, r.rule) for r in rows} == {i: plain(u)[:3] for i, u in urls.items()}
     assert all(r.verdict == plain(urls[r.page_id])[3] for r in rows if r.rule)
-    # grown from half of the larger table, judged on the other half
+    # grown from half of the larger table, judged on the other half; labels by host words only,
+    # as the rules turn on the language in the path, which is no lexical feature
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    labelled = url_filter.labels(pages)
+    labelled = url_filter.labels(pages, rules=())
     half = labelled.where("crc32(url) % 2 = 0")
     model = url_filter.fit(half, rounds=8)
     rest = labelled.where("crc32(url) % 2 = 1").withColumnRenamed("blocked", "truth")
     judged = url_filter.judge(rest, model, rules=()).collect()
     right = sum((r.url_verdict.verdict == "block") == bool(r.truth) for r in judged)
-    assert right >= 0.9 * len(judged) > 50
+    assert right >= 0.95 * len(judged) > 50
+    assert sum(r.url_verdict.verdict == "block" for r in judged if r.truth) >= 0.8 * sum(r.truth for r in judged)
 
 
 def test_no_labels_no_model(spark):

@@ -255,7 +255,7 @@ def s10(spark, sf_dir):
 @query(
     "s10_unnamed_rows",
     """SELECT concat('GLDS-', o_custkey % 5 + 1) AS accession, CAST(o_orderkey + 1 AS BIGINT) AS line_no,
-              'Null ''Sample Name''' AS warning FROM orders WHERE o_orderkey % 10 = 0""",
+              'row left out: it names no sample' AS warning FROM orders WHERE o_orderkey % 10 = 0""",
 )
 def s10_unnamed(spark, sf_dir):
     return isa.unnamed_rows(_sample_tab(spark, sf_dir)).select("accession", "line_no", "warning")

@@ -44,6 +44,24 @@ INLINE = frozenset(
 RAW = frozenset("script style noscript template textarea title svg math iframe object select button".split())
 VOID = frozenset("area base br col embed hr input link meta param source track".split())
 IMPLIED = frozenset("p li dt dd tr td th thead tbody tfoot option colgroup".split())
+# elements of implied end that the start of another one ends as well
+ENDED_BY = {
+    "dt": frozenset(("dd",)),
+    "dd": frozenset(("dt",)),
+    "td": frozenset("th tr tbody thead tfoot".split()),
+    "th": frozenset("td tr tbody thead tfoot".split()),
+    "tr": frozenset("tbody thead tfoot".split()),
+    "thead": frozenset("tbody tfoot".split()),
+    "tbody": frozenset("thead tfoot".split()),
+    "tfoot": frozenset("tbody thead".split()),
+    "colgroup": frozenset("tr tbody thead tfoot".split()),
+    "p": IMPLIED
+    | frozenset(
+        "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
+        "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol pre search section summary table ul".split()
+    ),
+}
+LISTS = frozenset("ul ol menu dl table".split())  # what an implied end does not reach beyond
 BOILERPLATE = frozenset("nav aside form footer menu dialog head".split())
 MAIN = frozenset("article main".split())
 # fixed values: words in class, id and role that mark what is not the article
@@ -118,7 +136,7 @@ def tokens(page: str | None) -> list[Token]:
                 at = _close(page, name, at)
             continue
         flush()
-        if name == "br" or closing and name in IMPLIED:
+        if name == "br":
             continue
         found = _MARKS.findall(m[3] or m[6] or "") if not closing else ()
         marks = " ".join(sorted(" ".join(x for f in found for x in f if x).lower().split()))
@@ -222,7 +240,9 @@ def own_wrapper(page: list[Token]) -> list[Node]:
     nodes = []
     for k, token in enumerate(page):
         if token.name:
-            nodes.append(Node("t", token.key))
+            # ends that may be left out tell nothing
+            if not token.closing or token.name not in IMPLIED:
+                nodes.append(Node("t", token.key))
         else:
             h = xxhash.xxh64_intdigest(token.text) >> 1
             nodes.append(Node("#", "#", [], h, h, 1, [k]))
@@ -331,20 +351,21 @@ def main_text(page: list[Token], literals: set[int]) -> str:
             if not skip and inside:
                 marked.append((token.text, ()))
             elif not skip and k not in literals:
-                texts.append((k, token.text, tuple(s[3] for s in stack)))
+                texts.append((k, token.text, tuple(s[3] for s in stack if s[0] not in IMPLIED)))
             continue
         if token.closing:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == token.name:
                     del stack[depth:]
                     break
+                if token.name in IMPLIED and _holds(stack[depth][0], token.name):
+                    break
+            continue
+        _implied(stack, token.name)
+        if token.name in VOID:
             continue
-        if token.name in VOID or token.name in IMPLIED:
-            if token.name in IMPLIED and token.marks and ASIDE_WORDS.search(token.marks):
-                _implied(stack, token.name)
-                stack.append((token.name, True, False, k))
-            elif token.name in IMPLIED:
-                _implied(stack, token.name)
+        if token.name in IMPLIED:
+            stack.append((token.name, bool(token.marks and ASIDE_WORDS.search(token.marks)), False, k))
             continue
         within = any(s[2] for s in stack)
         if token.name == "header":
@@ -368,10 +389,23 @@ def main_text(page: list[Token], literals: set[int]) -> str:
     return " ".join(t for _, t, path in texts if best is None or best in path)
 
 
+def _holds(outer: str, name: str) -> bool:
+    """Whether an end that may be left out stays inside an open element."""
+    return outer in LISTS or outer in ("td", "th") and name not in ENDED_BY["td"] | {"td"}
+
+
 def _implied(stack: list[tuple[str, bool, bool, int]], name: str) -> None:
-    """A marked element of implied end closes when the next of its kind opens."""
-    if stack and stack[-1][0] == name:
-        stack.pop()
+    """Elements whose end may be left out end where one opens that they cannot hold."""
+    found = len(stack)
+    for depth in range(len(stack) - 1, -1, -1):
+        outer = stack[depth][0]
+        if outer in IMPLIED and (outer == name or name in ENDED_BY.get(outer, ())):
+            found = depth
+        elif outer not in ("div", "address") and outer not in IMPLIED or _holds(outer, name):
+            break
+        elif outer in ("div", "address") and name not in ("li", "dd", "dt"):
+            break
+    del stack[found:]
 
 
 # ---------------------------------------------------------------- on Spark

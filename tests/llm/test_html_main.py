@@ -50,6 +50,27 @@ def test_articles(page, expected):
     assert text(page) == expected
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<p class='notice'>n</p><article>all of it</article>", "all of it"),
+        ("<p class='notice'>n<article>all of it</article>", "all of it"),
+        ("<article><p class=ad>Ad</p><div><p>real</p></div></article>", "real"),
+        ("<article><p class=ad>Ad<div><p>real</p></div></article>", "real"),
+        ("<article><p class=promo>no</p><h2>head</h2><ul><li>one</li></ul></article>", "head one"),
+        ("<article><p class=promo>no<h2>head</h2><p>x</article>", "head x"),
+        ("<article><ul><li class=share>s<ul><li>t</li></ul>u</li><li>one</ul>two</article>", "one two"),
+        ("<article><ul><li class=share><div>s<li>one</ul>two</article>", "one two"),
+        ("<article><ul><li><p class=ad>a</li>b</ul>c</article>", "b c"),
+        ("<article><table><tr class=ad><td>a<td>b</tr><tr><td class=ad>c<td>d<tr><td>e</table>f</article>", "d e f"),
+        ("<article><td class=ad><table><tr><td>a</td></tr></table>b</td>c</article>", "c"),
+        ("<article><dl><dt class=ad>a<dd>b<dt>c</dl></article>", "b c"),
+    ],
+)
+def test_marked_elements_of_implied_end(page, expected):
+    assert text(page) == expected
+
+
 def wrapper(pages):
     return html_main.merge([html_main.own_wrapper(html_main.tokens(p)) for p in pages])
 

@@ -338,20 +338,20 @@ def main_text(page: list[Token], literals: set[int]) -> str:
     """The texts of the article in page order, joined by one space.
 
     If a page has an article or main element, its text is what stands there. Else it is
-    what stands in the one container with most text that is no literal of the template.
-    Boilerplate elements and those marked as such are passed over in either case.
+    what stands in the smallest container of all texts that are no literals of the
+    template, so all of them. Boilerplate elements and those marked as such are passed
+    over in either case.
     """
-    stack: list[tuple[str, bool, bool, int]] = []  # name, boilerplate, main, number
-    marked: list[tuple[str, tuple[int, ...]]] = []
-    texts: list[tuple[int, str, tuple[int, ...]]] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # name, inside boilerplate, inside main, number
+    marked: list[str] = []
+    texts: list[tuple[str, tuple[int, ...]]] = []
     for k, token in enumerate(page):
+        skip, inside = stack[-1][1:3] if stack else (False, False)
         if not token.name:
-            skip = any(s[1] for s in stack)
-            inside = any(s[2] for s in stack)
             if not skip and inside:
-                marked.append((token.text, ()))
+                marked.append(token.text)
             elif not skip and k not in literals:
-                texts.append((k, token.text, tuple(s[3] for s in stack if s[0] not in IMPLIED)))
+                texts.append((token.text, tuple(s[3] for s in stack[:2])))
             continue
         if token.closing:
             for depth in range(len(stack) - 1, -1, -1):
@@ -364,29 +364,32 @@ def main_text(page: list[Token], literals: set[int]) -> str:
         _implied(stack, token.name)
         if token.name in VOID:
             continue
-        if token.name in IMPLIED:
-            stack.append((token.name, bool(token.marks and ASIDE_WORDS.search(token.marks)), False, k))
-            continue
-        within = any(s[2] for s in stack)
-        if token.name == "header":
-            skip = not within
-        else:
-            skip = token.name in BOILERPLATE or bool(token.marks and ASIDE_WORDS.search(token.marks))
-        main = token.name in MAIN or "main" in token.marks.split() and token.name not in ("body", "html")
-        if main or token.name in ("body", "html"):
-            skip = skip and token.name not in ("body", "html", "main")
-        stack.append((token.name, skip, main, k))
-    if marked:
-        return " ".join(t for t, _ in marked)
-    if not texts:
-        return ""
-    # the innermost container that holds most of the text, with all in it
-    weight: dict[int, int] = {}
-    for _, text, path in texts:
-        if path:
-            weight[path[-1]] = weight.get(path[-1], 0) + len(text)
-    best = max(weight, key=lambda c: (weight[c], -c), default=None)
-    return " ".join(t for _, t, path in texts if best is None or best in path)
+        skip, inside = stack[-1][1:3] if stack else (False, False)
+        own = bool(token.marks and ASIDE_WORDS.search(token.marks))
+        main = False
+        if token.name not in IMPLIED:
+            if token.name == "header":
+                own = not inside
+            else:
+                own = own or token.name in BOILERPLATE
+            main = token.name in MAIN or "main" in token.marks.split() and token.name not in ("body", "html")
+            if token.name in ("body", "html", "main"):
+                own = False
+        stack.append((token.name, skip or own, inside or main, k))
+    return " ".join(marked or _contained(page, texts))
+
+
+def _contained(page: list[Token], texts: list[tuple[str, tuple[int, ...]]]) -> list[str]:
+    """Texts, each with its two outermost elements, without the scraps around a piece of a page.
+
+    A whole page has one element around all. In a piece without one, a scrap is a division
+    that is text alone and shorter than every text of the divisions that have elements.
+    """
+    rich = {path[0] for _, path in texts if len(path) > 1}
+    least = min((len(t) for t, path in texts if path and path[0] in rich), default=0)
+    return [
+        t for t, path in texts if not path or path[0] in rich or page[path[0]].name != "div" or len(t) >= least
+    ]
 
 
 def _holds(outer: str, name: str) -> bool:

@@ -71,6 +71,21 @@ def test_marked_elements_of_implied_end(page, expected):
     assert text(page) == expected
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<div><div><p>a</p></div><div><p>b</p></div></div>", "a b"),
+        ("<body><div><p>first</p></div><div><div><p>second, longer</p></div></div></body>", "first second, longer"),
+        ("<body><div><p>a</p><ul><li>long item one<li>long item two</ul><p>b</p></div></body>", "a long item one long item two b"),
+        ("<div><p>a</p><pre>a long listing</pre><blockquote>a long quotation</blockquote>b</div>", "a a long listing a long quotation b"),
+        ("<h1>t</h1><div><p>a</p></div><section>b</section>c", "t a b c"),
+        ("<body><nav>n</nav><h1>t</h1><div>a</div><div class=ad>x</div><div>b</div><footer>f</footer>", "t a b"),
+    ],
+)
+def test_articles_over_several_containers(page, expected):
+    assert text(page) == expected
+
+
 def wrapper(pages):
     return html_main.merge([html_main.own_wrapper(html_main.tokens(p)) for p in pages])
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from assaylens.llm.tables import ascii_lower, stored
 
 FAN_IN = 32
-PAGES = 3  # pages that must agree on a text before it is a literal
+PAGES = 3  # different pages that must agree on a text before it is a literal
 NODES = 400  # nodes of a wrapper; structures that would take it further stay outside it
 LONGEST = 4 * NODES  # nodes of a folded page that is aligned; longer ones are read by themselves
 
@@ -167,10 +167,17 @@ class Node:
     kind: str
     key: str = ""
     body: list[Node] = field(default_factory=list)
-    low: int = 0  # smallest and largest hash of a text, pages that have it
-    high: int = 0
-    pages: int = 0
-    at: list[int] = field(default_factory=list)  # tokens of a page, while one is read
+    # hashes of the texts that all pages have here, each with up to PAGES different pages
+    texts: dict[int, tuple[int, ...]] = field(default_factory=dict)
+    at: list[tuple[int, int]] = field(default_factory=list)  # tokens of a page and their hashes, while one is read
+
+    @property
+    def low(self) -> int:
+        return min(self.texts, default=0)
+
+    @property
+    def high(self) -> int:
+        return max(self.texts, default=-1)
 
     def sign(self) -> str:
         if self.kind in "+?":
@@ -181,7 +188,7 @@ class Node:
     def dump(self) -> list:
         if self.kind in "+?":
             return [self.kind, [n.dump() for n in self.body]]
-        return [self.kind, self.key] if self.kind == "t" else [self.kind, self.low, self.high, self.pages]
+        return [self.kind, self.key] if self.kind == "t" else [self.kind, *([h, *p] for h, p in sorted(self.texts.items()))]
 
 
 def load(data: list) -> Node:
@@ -190,20 +197,22 @@ def load(data: list) -> Node:
         return Node(data[0], body=[load(d) for d in data[1]])
     if data[0] == "t":
         return Node("t", data[1])
-    return Node("#", "#", low=data[1], high=data[2], pages=data[3])
+    return Node("#", "#", texts={h: tuple(pages) for h, *pages in data[1:]})
 
 
-def _join(a: Node, b: Node) -> Node:
-    """Two nodes of equal sign as one."""
+def _join(a: Node, b: Node, within: bool = False) -> Node:
+    """Two nodes of equal sign as one; within a page all texts stay, of two pages those of both."""
     if a.kind == "#":
-        return Node("#", "#", [], min(a.low, b.low), max(a.high, b.high), a.pages + b.pages, a.at + b.at)
+        kept = a.texts.keys() | b.texts.keys() if within else a.texts.keys() & b.texts.keys()
+        texts = {h: tuple(sorted({*a.texts.get(h, ()), *b.texts.get(h, ())})[:PAGES]) for h in kept}
+        return Node("#", "#", [], texts, a.at + b.at)
     if a.kind == "t":
         return Node("t", a.key)
     if a.kind == "?" or b.kind == "?":
         left = a.body if a.kind == "?" else [a]
         right = b.body if b.kind == "?" else [b]
-        return Node("?", body=[_join(x, y) for x, y in zip(left, right, strict=True)])
-    return Node("+", body=[_join(x, y) for x, y in zip(a.body, b.body, strict=True)])
+        return Node("?", body=[_join(x, y, within) for x, y in zip(left, right, strict=True)])
+    return Node("+", body=[_join(x, y, within) for x, y in zip(a.body, b.body, strict=True)])
 
 
 _REPEAT = re.compile(r"(.{1,12}?)\1+", re.DOTALL)
@@ -221,7 +230,7 @@ def fold(nodes: list[Node], passes: int = 3) -> list[Node]:
             out += nodes[last : m.start()]
             body = nodes[m.start() : m.start() + size]
             for k in range(m.start() + size, m.end(), size):
-                body = [_join(x, y) for x, y in zip(body, nodes[k : k + size], strict=True)]
+                body = [_join(x, y, True) for x, y in zip(body, nodes[k : k + size], strict=True)]
             if size == 1 and body[0].kind == "+":
                 out += body
             elif size == 1 and body[0].kind == "t":
@@ -236,8 +245,12 @@ def fold(nodes: list[Node], passes: int = 3) -> list[Node]:
 
 
 def own_wrapper(page: list[Token]) -> list[Node]:
-    """The wrapper of one page."""
+    """The wrapper of one page.
+
+    Pages with the same text, template and all, are one page however often they come.
+    """
     nodes = []
+    number = xxhash.xxh64_intdigest(main_text(page, set())) >> 1
     for k, token in enumerate(page):
         if token.name:
             # ends that may be left out tell nothing
@@ -245,7 +258,7 @@ def own_wrapper(page: list[Token]) -> list[Node]:
                 nodes.append(Node("t", token.key))
         else:
             h = xxhash.xxh64_intdigest(token.text) >> 1
-            nodes.append(Node("#", "#", [], h, h, 1, [k]))
+            nodes.append(Node("#", "#", [], {h: (number,)}, [(k, h)]))
     return fold(nodes)
 
 
@@ -314,15 +327,16 @@ def roles(wrapper: list[Node], own: list[Node]) -> set[int]:
     found: set[int] = set()
 
     def walk(x: Node, y: Node) -> None:
-        if y.kind == "#":
-            text = x.body[0] if x.kind == "?" else x
-            if text.low == text.high and text.pages >= PAGES:
-                found.update(y.at)
+        if x.kind == "?" or y.kind == "?":
+            left = x.body if x.kind == "?" else [x]
+            right = y.body if y.kind == "?" else [y]
+        elif y.kind == "#":
+            found.update(k for k, h in y.at if len(x.texts.get(h, ())) >= PAGES)
             return
-        left, right = x.body or [x], y.body or [y]
-        for p, q in zip(left, right, strict=False):
-            if q.kind in "#+?":
-                walk(p, q)
+        else:
+            left, right = x.body, y.body
+        for p, q in zip(left, right, strict=True):
+            walk(p, q)
 
     for step, a0, a1, b0, _ in steps:
         if step == "equal":

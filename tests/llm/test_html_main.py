@@ -125,6 +125,32 @@ def test_literals_of_a_host_are_no_article(spark):
     assert all(found[i] == f"{f'own text {i}' * 3} {f'own text {i}' * 3} more" for i in range(60))
 
 
+def literal_texts(pages, page):
+    """Texts of a page that are literals of the wrapper of some."""
+    read = html_main.tokens(page)
+    return [read[k].text for k in sorted(html_main.roles(wrapper(pages), html_main.own_wrapper(read)))]
+
+
+def test_copies_and_repeats_are_one_page():
+    page = "<body><h1>title</h1><div>intro</div><p>same</p><p>same</p><p>same</p></body>"
+    assert literal_texts([page], page) == []
+    assert literal_texts([page] * 5, page) == []
+    # a copy whose advertisement differs is a copy
+    copies = [page.replace("<h1>", f"<div class=ad>{i}</div><h1>") for i in range(5)]
+    assert literal_texts(copies, copies[0]) == []
+    others = [page.replace("title", f"t{i}").replace("<p>", f"<p>{i} ") for i in range(3)]
+    assert literal_texts([page, page, *others[:1]], page) == []
+    assert literal_texts([page, page, *others], page) == ["intro"]
+
+
+def test_copies_keep_their_text(spark):
+    page = "<body><div>all</div><section>of the text</section></body>"
+    rows = [(i, "http://c.org/", page) for i in range(4)] + [(9, "http://d.org/", "<p>one</p>" * 3)]
+    found = {r.id: r.text for r in html_main.extract(pages_frame(spark, rows)).collect()}
+    assert found[9] == "one one one"
+    assert all("of the text" in found[i] for i in range(4))
+
+
 def test_awkward_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     many = "<article>" + "".join(f"<p class=c{i}>w</p><h{i % 6}>" for i in range(20_000)) + "</article>"

@@ -10,8 +10,10 @@ stays a literal of the template.
 Pages are folded where they are read and summed up by structure, so a host with a third
 of all pages sends a few structures per task. These are aligned in rounds of at most
 about ``FAN_IN`` per group, until one wrapper per host is left. A page is then aligned
-with its host's wrapper, and the text of its slots inside the article is taken. A page
-that does not fit gets the roles of what does fit and its own structure for the rest.
+with its host's wrapper, and the text of its slots is taken, of those inside the article
+if the page has one. What a page alone has, and all of the few pages of a small host, is
+a slot. A page that does not fit gets the roles of what does fit and its own structure
+for the rest.
 """
 
 from __future__ import annotations
@@ -351,10 +353,10 @@ def roles(wrapper: list[Node], own: list[Node]) -> set[int]:
 def main_text(page: list[Token], literals: set[int]) -> str:
     """The texts of the article in page order, joined by one space.
 
-    If a page has an article or main element, its text is what stands there. Else it is
-    what stands in the smallest container of all texts that are no literals of the
-    template, so all of them. Boilerplate elements and those marked as such are passed
-    over in either case.
+    The text is that of the slots, so literals of the template are left out, as are
+    boilerplate elements and those marked as such. If there are slots in an article or
+    main element, only those count. Else it is what stands in the smallest container of
+    all slots, so all of them.
     """
     stack: list[tuple[str, bool, bool, int]] = []  # name, inside boilerplate, inside main, number
     marked: list[str] = []
@@ -362,9 +364,11 @@ def main_text(page: list[Token], literals: set[int]) -> str:
     for k, token in enumerate(page):
         skip, inside = stack[-1][1:3] if stack else (False, False)
         if not token.name:
-            if not skip and inside:
+            if skip or k in literals:
+                continue
+            if inside:
                 marked.append(token.text)
-            elif not skip and k not in literals:
+            else:
                 texts.append((token.text, tuple(s[3] for s in stack[:2])))
             continue
         if token.closing:

@@ -151,6 +151,25 @@ def test_copies_keep_their_text(spark):
     assert all("of the text" in found[i] for i in range(4))
 
 
+@pytest.mark.parametrize("element", ["article", "main", "div", "section"])
+def test_template_text_in_the_article(spark, element):
+    rows, expected = [], {}
+    for i in range(40):
+        parts = [f"own text {i} {j}" for j in range(1 + i % 4)]
+        paragraphs = "".join(f"<p>{p}</p>" for p in parts)
+        rows.append((
+            i, f"http://h{i % 2}.org/{i}",
+            f"<body><div>Site</div><{element}><p>All rights reserved here.</p><h1>title {i}</h1>{paragraphs}"
+            f"<p>Tell your friends about this.</p></{element}><div>Printed on paper</div></body>",
+        ))
+        expected[i] = " ".join([f"title {i}", *parts])
+    rows.append((99, "http://alone.org/", rows[0][2]))
+    found = {r.id: r.text for r in html_main.extract(pages_frame(spark, rows)).collect()}
+    alone = found.pop(99)
+    assert found == expected
+    assert "All rights reserved here. title 0 own text 0 0 Tell your friends about this." in alone
+
+
 def test_awkward_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     many = "<article>" + "".join(f"<p class=c{i}>w</p><h{i % 6}>" for i in range(20_000)) + "</article>"

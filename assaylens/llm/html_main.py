@@ -9,8 +9,9 @@ stays a literal of the template.
 
 Pages are folded where they are read and summed up by structure, so a host with a third
 of all pages sends a few structures per task. These are aligned in rounds of at most
-about ``FAN_IN`` per group, until one wrapper per host is left. A page is then aligned
-with its host's wrapper, and the text of its slots is taken, of those inside the article
+about ``FAN_IN`` per group, until few wrappers per host are left: one, unless pages of
+different kinds would make it longer than ``NODES``. A page is then aligned with the one
+of its host's wrappers that is most like it, a very long page piece by piece, and the text of its slots is taken, of those inside the article
 if the page has one. What a page alone has, and all of the few pages of a small host, is
 a slot. A page that does not fit gets the roles of what does fit and its own structure
 for the rest.
@@ -35,8 +36,8 @@ from assaylens.llm.tables import ascii_lower, stored
 
 FAN_IN = 32
 PAGES = 3  # different pages that must agree on a text before it is a literal
-NODES = 400  # nodes of a wrapper; structures that would take it further stay outside it
-LONGEST = 4 * NODES  # nodes of a folded page that is aligned; longer ones are read by themselves
+NODES = 400  # nodes of a wrapper; structures that would take it further get one of their own
+LONGEST = 4 * NODES  # nodes of a folded page that are aligned at once; longer ones are aligned in pieces
 
 # fixed values: elements of HTML by what they do to the text
 INLINE = frozenset(
@@ -63,6 +64,7 @@ ENDED_BY = {
         "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol pre search section summary table ul".split()
     ),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol menu dl table".split())  # what an implied end does not reach beyond
 BOILERPLATE = frozenset("nav aside form footer menu dialog head".split())
 MAIN = frozenset("article main".split())
@@ -80,6 +82,7 @@ _PIECE = re.compile(
     re.DOTALL,
 )
 _MARKS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.IGNORECASE)
+_ID = re.compile(r"(?:^|(?<=\s))id\s*=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)", re.IGNORECASE)
 
 
 _CLOSING = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*+>", re.IGNORECASE) for n in RAW}
@@ -96,12 +99,13 @@ class Token:
     closing: bool = False
     marks: str = ""
     text: str = ""
+    named: str = ""  # the marks without what tells single headings and paragraphs apart
 
     @property
     def key(self) -> str:
         if not self.name:
             return "#"
-        return f"{'/' if self.closing else ''}{self.name}{'.' + self.marks if self.marks else ''}"
+        return f"{'/' if self.closing else ''}{self.name}{'.' + self.named if self.named else ''}"
 
 
 def tokens(page: str | None) -> list[Token]:
@@ -140,13 +144,20 @@ def tokens(page: str | None) -> list[Token]:
         flush()
         if name == "br":
             continue
-        found = _MARKS.findall(m[3] or m[6] or "") if not closing else ()
-        marks = " ".join(sorted(" ".join(x for f in found for x in f if x).lower().split()))
-        out.append(Token(name, closing, re.sub(r"\d+", "0", marks)))
+        attributes = (m[3] or m[6] or "") if not closing else ""
+        marks = named = _marks(attributes)
+        if marks and (name in IMPLIED or name in HEADINGS):
+            named = _marks(_ID.sub(" ", attributes))
+        out.append(Token(name, closing, marks, named=named))
     flush()
     return out
 
 
+def _marks(attributes: str) -> str:
+    found = _MARKS.findall(attributes)
+    return re.sub(r"\d+", "0", " ".join(sorted(" ".join(x for f in found for x in f if x).lower().split())))
+
+
 def _close(page: str, name: str, at: int) -> int:
     """Where an element ends whose content is no text.
 
@@ -310,21 +321,58 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
     return out
 
 
-def merge(wrappers: list[list[Node]]) -> list[Node]:
-    """One wrapper for many; the order of the input does not matter."""
-    ordered = sorted(wrappers, key=lambda w: (len(w), [n.sign() for n in w]))
-    out = ordered[0]
-    for w in ordered[1:]:
-        grown = align(out, w)
-        if len(grown) <= NODES:
-            out = grown
+def size(nodes: list[Node]) -> int:
+    """Nodes of a wrapper, those of groups included."""
+    return sum(1 + size(n.body) for n in nodes)
+
+
+def _alike(a: set[str], b: set[str]) -> float:
+    """The share of nodes that two wrappers have in common."""
+    return len(a & b) / (len(a | b) or 1)
+
+
+def _place(out: list[list[Node]], w: list[Node]) -> None:
+    """Align a wrapper with the nearest of some that it fits, or add it to them."""
+    signs = {n.sign() for n in w}
+    # the sort is stable: of equally near ones the first
+    for k in sorted(range(len(out)), key=lambda k: -_alike(signs, {n.sign() for n in out[k]})):
+        grown = align(out[k], w)
+        if size(grown) <= max(NODES, size(out[k]), size(w)):
+            out[k] = grown
+            return
+    out.append(w)
+
+
+def families(wrappers: list[list[Node]]) -> list[list[Node]]:
+    """As few wrappers as hold many within NODES; the order of the input does not matter."""
+    out: list[list[Node]] = []
+    for w in sorted(wrappers, key=lambda w: (len(w), [n.sign() for n in w], json.dumps([n.dump() for n in w]))):
+        _place(out, w)
     return out
 
 
+def merge(wrappers: list[list[Node]]) -> list[Node]:
+    """The first wrapper for many; the only one if they fit into one."""
+    return families(wrappers)[0]
+
+
+def pieces(own: list[Node]) -> list[list[Node]]:
+    """A page's wrapper in stretches that can be aligned."""
+    return [own[k : k + LONGEST] for k in range(0, len(own), LONGEST)]
+
+
+def nearest(known: list[tuple[list[Node], set[str]]], own: list[Node]) -> set[int]:
+    """Tokens of a page that are literals of those of its host's wrappers that are nearest to its pieces."""
+    found: set[int] = set()
+    for piece in pieces(own) if known else ():
+        signs = {n.sign() for n in piece} if len(known) > 1 else set()
+        wrapper, _ = max(known, key=lambda w: _alike(signs, w[1]))
+        found |= roles(wrapper, piece)
+    return found
+
+
 def roles(wrapper: list[Node], own: list[Node]) -> set[int]:
     """Tokens of a page that are literals of its host's wrapper."""
-    if len(own) > LONGEST:
-        return set()
     a, b, steps = pairs(wrapper, own)
     found: set[int] = set()
 
@@ -442,14 +490,12 @@ def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: dict[tuple[str, str], list[Node]] = {}
         for name, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = own_wrapper(tokens(page.as_py()))
-            if not own or len(own) > LONGEST:
-                continue
-            for n in _texts(own):
-                n.at = []
-            key = (name, "\x1e".join(n.sign() for n in own))
-            known = seen.get(key)
-            seen[key] = [_join(x, y) for x, y in zip(known, own, strict=True)] if known else own
+            for own in pieces(own_wrapper(tokens(page.as_py()))):
+                for n in _texts(own):
+                    n.at = []
+                key = (name, "\x1e".join(n.sign() for n in own))
+                known = seen.get(key)
+                seen[key] = [_join(x, y) for x, y in zip(known, own, strict=True)] if known else own
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([h for h, _ in seen], pa.string()),
@@ -468,43 +514,67 @@ def _texts(nodes: list[Node]) -> Iterator[Node]:
 
 
 def _merge_group(group: pd.DataFrame) -> pd.DataFrame:
-    wrappers = [[load(d) for d in json.loads(w)] for w in group["wrapper"]]
-    merged = merge(wrappers)
+    merged = families([[load(d) for d in json.loads(w)] for w in group["wrapper"]])
+    written = [json.dumps([n.dump() for n in w]) for w in merged]
     return pd.DataFrame(
         {
-            "host": [group["host"].iloc[0]],
-            "shape": [int(group["shape"].min())],
-            "wrapper": [json.dumps([n.dump() for n in merged])],
+            "host": [group["host"].iloc[0]] * len(merged),
+            "shape": [xxhash.xxh64_intdigest(w) >> 1 for w in written],
+            "wrapper": written,
         }
     )
 
 
+def _useful(written: pd.Series) -> pd.Series:
+    """Whether wrappers have literals; others tell nothing about a page."""
+    return written.map(lambda w: any(len(p) >= PAGES for d in json.loads(w) for n in _texts([load(d)]) for p in n.texts.values()))
+
+
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", fan_in: int = FAN_IN) -> DataFrame:
-    """(host, wrapper) for every host, stored.
+    """(host, wrapper) for every host: the list of its wrappers that have literals, stored.
 
     In each round the structures of a host are dealt into groups of about ``fan_in`` by
-    their hash and each group is merged, until every host has one.
+    their hash and each group is merged. A host is done once it has one wrapper, or its
+    wrappers were all in one group, or a round leaves more than nine in ten of them.
     """
     source = pages.select(host(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html"))
     left = stored(source.mapInArrow(_structures, "host string, shape bigint, wrapper string"), "structures")
+    before = None
+    done: DataFrame | None = None
     while True:
         sizes = left.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-        sizes = stored(sizes, "sizes").withColumnRenamed("host", "sized")
-        most = sizes.agg(F.max("n")).head()[0] or 0
-        if most <= 1:
-            return left.select("host", "wrapper")
+        if before is not None:
+            sizes = sizes.join(before.withColumnRenamed("sized", "host").withColumnRenamed("n", "was").drop("ready"), "host")
+        else:
+            sizes = sizes.withColumn("was", F.lit(None).cast("bigint"))
+        ready = (F.col("n") <= 1) | F.coalesce(
+            (F.col("was") <= fan_in) | (F.col("n") > F.col("was") * 0.9), F.lit(False)
+        )
+        sizes = stored(sizes.select(F.col("host").alias("sized"), "n", ready.alias("ready")), "sizes")
+        joined = left.join(sizes, F.col("host") == F.col("sized"))
+        ended = joined.where("ready").select("host", "wrapper")
+        done = ended if done is None else done.unionByName(ended)
+        if sizes.where("NOT ready").isEmpty():
+            break
         groups = F.ceil(F.col("n") / fan_in)
-        dealt = left.join(sizes, F.col("host") == F.col("sized")).select(
+        dealt = joined.where("NOT ready").select(
             "host", "shape", "wrapper", F.pmod(F.xxhash64("shape", "wrapper"), groups).alias("group")
         )
         left = stored(
             dealt.groupBy("host", "group").applyInPandas(_merge_group, "host string, shape bigint, wrapper string"),
             "wrappers",
         )
+        before = sizes
+    useful = F.pandas_udf(_useful, "boolean")
+    listed = F.array_sort(F.collect_list(F.when(F.col("useful"), F.col("wrapper"))))
+    whole = done.withColumn("useful", useful("wrapper")).groupBy("host").agg(
+        F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("wrapper")
+    )
+    return stored(whole, "host-wrappers")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, list[Node]] = {}
+    known: dict[str, list[tuple[list[Node], set[str]]]] = {}
     for batch in batches:
         texts = []
         for page, wrapper in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
@@ -512,8 +582,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if wrapper is not None and wrapper not in known:
                 if len(known) > 1000:
                     known.clear()
-                known[wrapper] = [load(d) for d in json.loads(wrapper)]
-            literals = roles(known[wrapper], own_wrapper(read)) if wrapper is not None else set()
+                loaded = [[load(d) for d in w] for w in json.loads(wrapper)]
+                known[wrapper] = [(w, {n.sign() for n in w}) for w in loaded]
+            literals = nearest(known[wrapper], own_wrapper(read)) if wrapper and known[wrapper] else set()
             texts.append(main_text(read, literals))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"]

@@ -170,6 +170,50 @@ def test_template_text_in_the_article(spark, element):
     assert "All rights reserved here. title 0 own text 0 0 Tell your friends about this." in alone
 
 
+def test_varied_and_long_pages_keep_their_wrappers(spark, monkeypatch):
+    monkeypatch.setattr(html_main, "NODES", 30)
+    monkeypatch.setattr(html_main, "LONGEST", 40)
+    rows, expected = [], {}
+    for i in range(24):  # six kinds of pages that do not fit into one wrapper
+        kind = "abcdef"[i % 6]
+        parts = [(f"h{1 + (i + j) % 2}", f"own {i} {j}") for j in range(9)]
+        inner = "".join(f"<{h} class={kind}{'xyz'[j % 3]}>{t}</{h}>" for j, (h, t) in enumerate(parts))
+        rows.append((i, f"http://h.org/{i}", f"<body><div class={kind}>Site {kind}</div>{inner}</body>"))
+        expected[i] = " ".join(t for _, t in parts)
+    for i in range(100, 104):  # pages longer than what is aligned at once
+        kinds = [f"<h{1 + j * j % 5} class=q{chr(97 + j % 23)}>own {i} {j}</h{1 + j * j % 5}>" for j in range(60)]
+        rows.append((i, f"http://long.org/{i}", f"<body><div>Top</div>{''.join(kinds)}<div>End</div></body>"))
+        expected[i] = " ".join(f"own {i} {j}" for j in range(60))
+    frame = pages_frame(spark, rows)
+    lists = [[html_main.own_wrapper(html_main.tokens(h)) for _, u, h in rows if u.startswith("http://h.")]]
+    assert len(html_main.families(lists[0])) > 1
+    for _, _, page in rows:
+        read = html_main.tokens(page)
+        own = html_main.own_wrapper(read)
+        host = lists[0] if "Site" in page else [
+            p for _, u, h in rows if "long" in u for p in html_main.pieces(html_main.own_wrapper(html_main.tokens(h)))
+        ]
+        known = [(w, {n.sign() for n in w}) for w in html_main.families(host)]
+        found = html_main.main_text(read, html_main.nearest(known, own))
+        assert found in expected.values()
+    assert len(html_main.wrappers(frame, fan_in=4).collect()) == 2
+
+
+def test_ids_of_headings_are_no_structure():
+    page = "<body><div id=top>Site</div><h2 id='{0}'>{0}</h2><p id={0}>text {0}</p><h3 id=related>no</h3></body>"
+    pages = [page.format(w) for w in ("one", "two", "three")]
+    assert len({" ".join(n.sign() for n in html_main.own_wrapper(html_main.tokens(p))) for p in pages}) == 1
+    assert text(pages[0]) == "Site one text one"
+    assert "Site" in literal_texts(pages, pages[0])
+
+
+def test_a_text_unlike_the_literal_stays():
+    page = "<body><div>{}</div><p>{}</p></body>"
+    pages = [page.format("Site", f"own {i}") for i in range(3)]
+    assert literal_texts(pages, pages[0]) == ["Site"]
+    assert literal_texts(pages, page.format("news", "x")) == []
+
+
 def test_awkward_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     many = "<article>" + "".join(f"<p class=c{i}>w</p><h{i % 6}>" for i in range(20_000)) + "</article>"

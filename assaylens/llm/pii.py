@@ -146,10 +146,10 @@ _SPELLED = re.compile(
 _SPELLED_WORD = re.compile(rf"(?<![A-Za-z])(?:{_WORDS}|plus|[0-9])(?![A-Za-z])", re.IGNORECASE)
 _AT = re.compile(r"[\x20]{0,3}[\[({<][\x20]{0,3}(?:at|@)[\x20]{0,3}[\])}>][\x20]{0,3}", re.IGNORECASE)
 _DOT = re.compile(r"[\x20]{0,3}[\[({<][\x20]{0,3}(?:dot|punkt|point|\.)[\x20]{0,3}[\])}>][\x20]{0,3}", re.IGNORECASE)
-# words alone are a disguise only if both stand where an address has its signs
+# words alone are a disguise only if both stand where an address has its signs; brackets have become signs by then
 _SPOKEN = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]{1,3}(?:at|@)[\x20]{1,3}[A-Za-z0-9-]{1,63}"
-    r"(?:[\x20]{1,3}dot[\x20]{1,3}[A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9-])",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?P<at>[\x20]{1,3}(?:at|@)[\x20]{1,3}|@)[A-Za-z0-9-]{1,63}"
+    r"(?P<rest>(?:(?:[\x20]{1,3}dot[\x20]{1,3}|\.)[A-Za-z0-9-]{1,63}){1,4})(?![A-Za-z0-9-])",
     re.IGNORECASE,
 )
 _SPOKEN_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\x20{1,3}dot\x20{1,3}[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
@@ -185,14 +185,15 @@ def normalise(text: str) -> Rewritten | None:
         if any(_plain_character(c) is not None for c in set(_UNUSUAL.findall(text))):
             out = Rewritten(text).replace(_UNUSUAL, lambda m: _plain_character(m[0]))
     now = out.text if out else text
-    lower = now.lower()
-    if _BRACKETED.search(now):
+    bracketed = bool(_BRACKETED.search(now))
+    if bracketed:
         out = (out or Rewritten(now)).replace(_AT, lambda _: "@").replace(_DOT, lambda _: ".")
         now = out.text
-    if " dot " in lower:
+    lower = now.lower()
+    if " dot " in lower or bracketed and (" at " in lower or " @ " in lower):
         spoken = out or Rewritten(now)
-        for form in (_SPOKEN, _SPOKEN_IP):
-            spoken = _spoken_signs(spoken, [m.span() for m in form.finditer(spoken.text)])
+        spoken = _spoken_signs(spoken, [m.span() for m in _SPOKEN.finditer(spoken.text) if _hidden_dot(spoken, m)])
+        spoken = _spoken_signs(spoken, [m.span() for m in _SPOKEN_IP.finditer(spoken.text)])
         out, now = spoken, spoken.text
     if sum(w in lower for w in _DIGITS) >= 1 and _SPELLED.search(now):
         out = (out or Rewritten(now)).replace(
@@ -201,6 +202,19 @@ def normalise(text: str) -> Rewritten | None:
     return out
 
 
+def _hidden_dot(whole: Rewritten, m: re.Match[str]) -> bool:
+    """Whether a dot of an address is disguised: prose says "at example.com" as well.
+
+    After a plain at sign all dots must be, else a plain address stands there.
+    """
+    dots = [k for k in range(m.start("rest"), m.end("rest")) if whole.text[k] == "."]
+    plain = [k for k in dots if whole.spans[k][1] - whole.spans[k][0] == 1]
+    at, end = m.span("at")
+    if end - at == 1 and whole.spans[at][1] - whole.spans[at][0] == 1 and plain:
+        return False
+    return len(dots) > len(plain) or " " in m["rest"]
+
+
 def _spoken_signs(whole: Rewritten, stretches: list[tuple[int, int]]) -> Rewritten:
     """Signs for the words at and dot inside some stretches."""
     out, spans, last = [], [], 0

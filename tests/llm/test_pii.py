@@ -69,6 +69,25 @@ def test_disguises_map_back_to_the_source(text, kind, part):
     assert all(s in base + added for s in base)
 
 
+@pytest.mark.parametrize("at", [" [at] ", " at ", "(at)", " @ ", " AT ", "@"])
+@pytest.mark.parametrize("dot", [" [dot] ", " dot ", "(.)", " DOT "])
+def test_mixed_disguises_of_an_address(at, dot):
+    for part in (f"jane{at}example{dot}com", f"j.doe{at}mail.example{dot}com"):
+        if at == "@" and "mail" in part:
+            continue  # a plain address of its own
+        text = f"é write to {part}, please"
+        start = text.index(part)
+        assert pii.find(text)[1] == [("email", start, start + len(part))]
+        assert pii.redact(text) == "é write to [email], please"
+
+
+@pytest.mark.parametrize(
+    "text", ["see us at example.com [dot] no", "look at example.com (at) noon", "shop @ example.com dot", "joy [.] at home.now"]
+)
+def test_plain_hosts_after_at_stay(text):
+    assert not [s for s in pii.find(text)[1] if "dot" not in text[s[1] : s[2]]]
+
+
 @pytest.mark.parametrize("text", ["look at the dot", "at one or two", "four score and seven years", "ünï cödé ß é", "a (at) b"])
 def test_plain_prose_stays(text):
     assert pii.find(text) == ([], [])

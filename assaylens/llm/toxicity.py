@@ -20,7 +20,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -76,21 +76,25 @@ _OTHER = re.compile(r"[\W\d_]++")
 _AROUND = "\"'.,;:?()[]{}<>*#%&-_/|\\"
 
 
-def _substitute(match: re.Match[str]) -> str:
+def _substitute(match: re.Match[str], known: Callable[[str], bool] | None = None) -> str:
     core = match[0].strip(_AROUND).rstrip("!")
     # numbers, addresses and codes are no disguised words
     plain = all(c.isalnum() or c in "@$!" for c in core)
-    if not plain or len(core) > 24 or sum(map(str.isalpha, core)) * 2 < len(core):
+    letters = sum(map(str.isalpha, core))
+    if not plain or len(core) > 24:
         return match[0]
-    return core.translate(SUBSTITUTES)
+    folded = core.translate(SUBSTITUTES)
+    if letters * 2 < len(core) and not (letters and known and known(folded)):
+        return match[0]
+    return folded
 
 
-def fold(text: str | None) -> str:
-    """Folded words, each after and before one space."""
+def fold(text: str | None, known: Callable[[str], bool] | None = None) -> str:
+    """Folded words, each after and before one space; mostly digits only if that makes a known word."""
     text = (text or "").lower()
     if not text.isascii():
         text = text.translate(_FOLD)
-    text = _OTHER.sub(" ", _MIXED.sub(_substitute, text))
+    text = _OTHER.sub(" ", _MIXED.sub(lambda m: _substitute(m, known), text))
     return f" {text.strip()} "
 
 
@@ -117,9 +121,13 @@ class Model:
             self._automaton.make_automaton()
         return self._automaton
 
+    def knows(self, word: str) -> bool:
+        """Whether a word is in the lexicon, whole or by its beginning."""
+        return f" {word} " in self.terms or any(f" {word[:n]}" in self.terms for n in range(1, len(word) + 1))
+
     def features(self, text: str | None) -> tuple[float, float]:
         """Logs of the weighted sum and of the sum per hundred words."""
-        folded = fold(text)
+        folded = fold(text, self.knows)
         found = list(self.automaton().iter(folded)) if len(self.terms) + len(self.exceptions) else []
         spared = [(end - size + 1, end) for end, (weight, size) in found if not weight]
         total = sum(
@@ -248,7 +256,8 @@ def fit(
     """Learn a model from documents (doc_id, text) and labels (doc_id, toxic).
 
     NULL labels and ids and held-out documents are not used; a document labelled more
-    than once counts once, as toxic if any label says so. Without toxic or without other
+    than once counts once, as toxic if any label says so, and of rows that repeat an id
+    one counts, the same one in any order, with a text if any has one. Without toxic or without other
     documents the default model is returned. Collected are terms and, for each sampled
     document, two numbers: both bounded by the parameters.
     """
@@ -256,8 +265,10 @@ def fit(
     sampled = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sampled = stored(sampled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    # as many rows as the sample has at most
-    texts = texts.join(F.broadcast(sampled), F.col("id") == F.col("doc_id")).select("text", "toxic")
+    texts = texts.join(F.broadcast(sampled), F.col("id") == F.col("doc_id"))
+    # one row per sampled id, by a hash, so that short texts are not preferred
+    first = F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("hash"), "text"))
+    texts = texts.groupBy("id", "toxic").agg(first.alias("first")).select("first.text", "toxic")
     texts = stored(texts.repartition(sampled.sparkSession.sparkContext.defaultParallelism * 2), "labelled")
 
     counts = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}

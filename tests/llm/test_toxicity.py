@@ -1,6 +1,7 @@
 import zlib
 
 from cases import SF, TEXTS, awkward
+from pyspark.sql import functions as F
 
 from assaylens.llm import toxicity
 from assaylens.llm.queries import QUERIES
@@ -23,6 +24,15 @@ def test_terms_and_exceptions():
     assert model.score("trash trash you") > model.score("trash" + " word" * 500)
 
 
+def test_known_words_are_folded_whatever_their_share_of_letters():
+    model = toxicity.Model({" idiot ": 1.0, " stoi": 1.0, " ass ": 1.0})
+    assert model.features("you 1d10t, you") == model.features("you idiot, you") != (0.0, 0.0)
+    assert model.features("5701c5")[0] > 0
+    # numbers and unknown codes stay
+    assert model.features("455 a55x 1d10tx7 10.4") == (0.0, 0.0)
+    assert toxicity.fold("1d10t b2b4c5") == toxicity.fold("1d10t b2b4c5", lambda w: False)
+
+
 def plain_held_out(i):
     return i is not None and zlib.crc32(str(i).encode()) % 5 == 0
 
@@ -61,6 +71,15 @@ def test_learns_words_and_generalises(spark):
     assert toxicity.fit(docs.repartition(5), labels.repartition(3)) == model
 
 
+def test_repeated_ids_count_once(spark):
+    docs, labels = made_up(spark)
+    other = docs.where("doc_id = 1")
+    assert not plain_held_out(1) and other.count()
+    many = docs.unionByName(other.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).select(docs.columns))
+    many = many.unionByName(other.withColumn("text", F.lit(None).cast("string")))
+    assert toxicity.fit(many, labels) == toxicity.fit(docs, labels)
+
+
 def test_held_out_labels_are_not_learned_from(spark):
     docs, labels = made_up(spark)
     changed = labels.selectExpr(

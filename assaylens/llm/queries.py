@@ -15,6 +15,7 @@ from assaylens.llm import (
     line_dedup,
     packing,
     pii,
+    prefix_bpe,
     simhash,
     toxicity,
     url_filter,
@@ -177,3 +178,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by the multilingual byte-level vocabulary, and decoded again."""
+    model = prefix_bpe.encoder(spark)
+    found = prefix_bpe.decode(prefix_bpe.encode(read(spark, sf_dir, "documents"), model), model)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(prefix_bpe.joined_ids(F.col("ids")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylens.llm import (
+    centroids,
     decontaminate,
     exact_dedup,
     html_main,
@@ -191,3 +192,52 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(prefix_bpe.joined_ids(F.col("ids")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings clustered around 40 centroids in five rounds."""
+    found = centroids.cluster(read(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"),
+        "cluster",
+        "distance",
+        "cluster_inertia",
+        "inertia",
+        centroids.centroid_digest(F.col("centroid")).alias("centroid_sha256"),
+    )
+
+
+def _rounds_sql() -> str:
+    """The centroids of each round from those before: c0 to c5, and the last assignment."""
+    out = []
+    for n in range(centroids.ROUNDS + 1):
+        out.append(f"""
+d{n} AS MATERIALIZED (
+  SELECT v.r, c.k, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{n} c USING (i) GROUP BY v.r, c.k),
+a{n} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, k := k)) AS best FROM d{n} GROUP BY r)""")
+        if n < centroids.ROUNDS:
+            out.append(f"""
+s{n} AS (
+  SELECT a.best.k AS k, v.i, sum(v.x) AS s, count(*) AS n FROM v JOIN a{n} a USING (r) GROUP BY 1, 2),
+c{n + 1} AS MATERIALIZED (
+  SELECT c.k, c.i, CASE WHEN s.n IS NULL THEN c.x ELSE CAST((s.s - ((s.s % s.n) + s.n) % s.n) // s.n AS BIGINT) END AS x
+  FROM c{n} c LEFT JOIN s{n} s ON s.k = c.k AND s.i = c.i)""")
+    return ",".join(out)
+
+
+SQL["op13_centroids"] = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), ''))) - 1 AS r, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+v AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS i, unnest(e) AS x FROM kept),
+c0 AS MATERIALIZED (SELECT r AS k, i, x FROM v WHERE r < {centroids.K}),{_rounds_sql()},
+f AS (SELECT r, best.k AS k, CAST(best.d AS BIGINT) AS distance FROM a{centroids.ROUNDS}),
+g AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS digest FROM c{centroids.ROUNDS} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, digest AS centroid_sha256
+FROM f JOIN kept USING (r) JOIN g USING (k)
+"""

@@ -30,15 +30,17 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 from os.path import commonprefix
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECES = 300_000  # pieces whose ids a worker remembers, and as many older ones
+PIECES = 200_000  # pieces whose ids a worker remembers, and as many older ones
 PAIRS = 500_000  # pairs of tokens it remembers
 PART = 1 << 19  # characters of a text that are cut into pieces at a time
 FLUSH = 1 << 20  # ids in a batch that goes back to Spark
@@ -181,11 +183,6 @@ class PrefixVocabulary:
             at -= len(spelling[token])
         return tuple(out[::-1])
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The bytes of ids; an id that the vocabulary does not have is an error."""
-        return b"".join(map(self.spelling.__getitem__, ids))
-
-
 def stand_ins() -> dict[int, str]:
     """Characters that tiktoken and the regex module class differently, and ones of tiktoken's class.
 
@@ -381,8 +378,15 @@ class Prefixes:
 TABLES = "id bigint, text string, last array<int>, chars array<int>, ends array<int>"
 
 
-def encoder(spark: SparkSession, path: str | None = None, pattern: str | None = None):
-    """A broadcast encoder for a rank file and a pattern; the driver reads the file.
+class Model(NamedTuple):
+    """An encoder, and the bytes of its ids alone, as broadcasts."""
+
+    encoder: Broadcast
+    spelling: Broadcast
+
+
+def encoder(spark: SparkSession, path: str | None = None, pattern: str | None = None) -> Model:
+    """The model of a rank file and a pattern; the driver reads the file.
 
     It is as large as the vocabulary, whatever the data. The default is the public
     multilingual vocabulary of 50,256 tokens.
@@ -392,7 +396,9 @@ def encoder(spark: SparkSession, path: str | None = None, pattern: str | None =
 
         path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
         pattern = pattern or public_tokenizers.PATTERN
-    return spark.sparkContext.broadcast(TextEncoder(read_ranks(path), pattern))
+    work = TextEncoder(read_ranks(path), pattern)
+    send = spark.sparkContext.broadcast
+    return Model(send(work), send(work.vocabulary.spelling))
 
 
 def _lists(values: list[list[int]]) -> pa.Array:
@@ -415,7 +421,7 @@ def _batches(rows: Iterator[tuple[list, int]], convert: Callable[[list], pa.Reco
         yield convert(held)
 
 
-def encode(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) for each row; ``model`` comes from ``encoder``.
 
     NULL text counts as empty and has no ids. Repeated rows and NULL ids stay as they
@@ -423,7 +429,7 @@ def encode(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work: TextEncoder = model.value
+        work: TextEncoder = model.encoder.value
 
         def rows() -> Iterator[tuple[list, int]]:
             for batch in batches:
@@ -441,13 +447,16 @@ def encode(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text
     return source.mapInArrow(run, "id bigint, ids array<int>")
 
 
-def decode(encoded: DataFrame, model) -> DataFrame:
-    """The frame of ``encode`` with the decoded bytes of each row beside its ids; NULL ids are none."""
+def decode(encoded: DataFrame, model: Model) -> DataFrame:
+    """The frame of ``encode`` with the decoded bytes of each row beside its ids.
+
+    NULL ids are none; an id that the vocabulary does not have is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary: PrefixVocabulary = model.value.vocabulary
+        spelling: dict[int, bytes] = model.spelling.value
         for batch in batches:
-            data = [vocabulary.decode(ids.as_py() or []) for ids in batch.column(1)]
+            data = [b"".join(map(spelling.__getitem__, ids.as_py() or [])) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["id", "ids", "decoded"]
             )
@@ -466,7 +475,7 @@ def _table_batch(held: list) -> pa.RecordBatch:
     )
 
 
-def tables(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tables(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, last, chars, ends): texts with their prefix tables, to be kept for edits.
 
     ``last`` has the last token of each byte prefix of each piece, the others the ends of
@@ -474,7 +483,7 @@ def tables(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work: TextEncoder = model.value
+        work: TextEncoder = model.encoder.value
 
         def rows() -> Iterator[tuple[list, int]]:
             for batch in batches:
@@ -488,7 +497,7 @@ def tables(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text
     return source.mapInArrow(run, TABLES)
 
 
-def amend(stored: DataFrame, edits: DataFrame, model) -> DataFrame:
+def amend(stored: DataFrame, edits: DataFrame, model: Model) -> DataFrame:
     """Prefix tables after edits (id, start, stop, replacement); the others as they are.
 
     An edit replaces the characters from ``start`` to before ``stop``, both counted in the
@@ -504,7 +513,7 @@ def amend(stored: DataFrame, edits: DataFrame, model) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work: TextEncoder = model.value
+        work: TextEncoder = model.encoder.value
 
         def rows() -> Iterator[tuple[list, int]]:
             for batch in batches:
@@ -524,11 +533,11 @@ def amend(stored: DataFrame, edits: DataFrame, model) -> DataFrame:
     return stored.select("id", "text", "last", "chars", "ends").join(gathered, "id", "left").mapInArrow(run, TABLES)
 
 
-def table_ids(stored: DataFrame, model) -> DataFrame:
+def table_ids(stored: DataFrame, model: Model) -> DataFrame:
     """(id, ids) of texts, read off their prefix tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work: TextEncoder = model.value
+        work: TextEncoder = model.encoder.value
         for batch in batches:
             rows = zip(*(batch.column(n) for n in range(3)))
             found = [work.ids_of(Prefixes("", *(v.as_py() for v in (last, ends, ends)))) for _, last, ends in rows]

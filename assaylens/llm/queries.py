@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assaylens.llm import (
     centroids,
+    conversations,
     decontaminate,
     exact_dedup,
     html_main,
@@ -22,6 +23,7 @@ from assaylens.llm import (
     url_filter,
 )
 from assaylens.llm.tables import read
+from assaylens.operators.ranking import join_back
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -194,6 +196,111 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, audited and repaired."""
+    turns = read(spark, sf_dir, "conversations")
+    audits, repaired = conversations.repair(conversations.damage(turns))
+    found = join_back(turns.select("conv_id").distinct(), audits, ["conv_id"], "left")
+    found = join_back(found, conversations.digests(repaired), ["conv_id"], "left")
+    zero = F.lit(0).cast("bigint")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select(
+        "conv_id",
+        *[F.coalesce(c, zero).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def _edit_sql(cost: str, letter: str, line: str | None, to: str) -> str:
+    lines = f"list_prepend({line}, {to}.lines)" if line else f"{to}.lines"
+    return f"struct_pack(cost := {cost} + {to}.cost, audit := '{letter}' || {to}.audit, lines := {lines})"
+
+
+def _least_sql(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _turn_sql(state: int) -> str:
+    """The least (cost, audit, lines) of the edits that consume a turn, in one state."""
+    keep = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[state]
+    to, role = (3, "assistant") if state == 2 else (2, "user")
+    delete = _edit_sql("4", "D", None, f"v{state}")
+    cases = " ".join(
+        f"WHEN g = '{initial}' THEN {_edit_sql('extra', 'K', 'line', f'v{after}')}" for initial, after in keep.items()
+    )
+    reroled = _edit_sql("3 + extra", "R", f"'{role}:' || text", f"v{to}")
+    kept = _least_sql(delete, f"CASE {cases} ELSE {delete} END", reroled)
+    return f"CASE WHEN gone THEN {delete} ELSE {kept} END"
+
+
+_INSERT_USER, _INSERT_ASSISTANT = "'user:'", "'assistant:'"
+
+SQL["op12_conversations"] = f"""
+WITH RECURSIVE
+bits AS (
+  SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(0, 256)) AS i)
+  UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tables AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations),
+faults AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1])), 4294967295) % 20 AS fault
+  FROM keyed, tables),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM faults WHERE fault <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p FROM damaged),
+marked AS (
+  SELECT *, left(role, 1) AS g, role || ':' || text AS line,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY p) || left(role, 1) AS pair
+  FROM placed),
+turns AS (
+  SELECT *, blank OR again AS gone, CASE WHEN cut THEN 3 ELSE 0 END AS extra FROM marked),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (cut AND NOT gone) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id),
+solved AS (
+  SELECT conv_id, n + 1 AS p,
+    struct_pack(cost := 0, audit := '', lines := CAST([] AS VARCHAR[])) AS v0,
+    struct_pack(cost := 6, audit := 'II', lines := ['user:', 'assistant:']) AS v1,
+    struct_pack(cost := 3, audit := 'I', lines := ['assistant:']) AS v2,
+    struct_pack(cost := 0, audit := '', lines := CAST([] AS VARCHAR[])) AS v3
+  FROM counts
+  UNION ALL
+  SELECT conv_id, p, {_least_sql("w0", _edit_sql("3", "I", _INSERT_USER, "x2"))},
+    {_least_sql("w1", _edit_sql("3", "I", _INSERT_USER, "x2"))}, x2, x3
+  FROM (
+    SELECT conv_id, p, w0, w1, {_least_sql("w2", _edit_sql("3", "I", _INSERT_ASSISTANT, "w3"))} AS x2,
+      {_least_sql("w3", _edit_sql("3", "I", _INSERT_USER, "w2"))} AS x3
+    FROM (
+      SELECT s.conv_id, t.p, {", ".join(f"{_turn_sql(state)} AS w{state}" for state in range(4))}
+      FROM solved s JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.p = s.p - 1))),
+answers AS (SELECT conv_id, v0 FROM solved WHERE p = 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(v0.cost, 0) AS BIGINT) AS cost,
+  coalesce(v0.audit, '') AS audit, sha256(coalesce(array_to_string(v0.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN answers a ON a.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 @query
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings clustered around 40 centroids in five rounds."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylens.errors import guarded, raise_if_any
@@ -15,6 +15,7 @@ from assaylens.operators import shape
 from assaylens.operators.names import ambiguous, best_match
 from assaylens.operators.ranking import join_back
 from assaylens.session import shared_folder
+from assaylens.sources import archives as archives_source
 from assaylens.sources import isa
 
 IDS = ["accession", "assay_name", "sample_name"]
@@ -101,8 +102,29 @@ def ingest(
     lines, annotated rows, assembled samples) is checkpointed, so that archives are
     unpacked and rows are matched only once.
     """
-    shared_folder(archives.sparkSession)
-    lines = isa.archive_lines(archives).checkpoint()
+    return _ingest(archives, isa.archive_lines(archives), files, formatter)
+
+
+def ingest_folder(
+    spark: SparkSession,
+    path: str,
+    files: DataFrame,
+    formatter: Callable[[Column, Column], Column] = braces,
+    range_bytes: int = archives_source.RANGE_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """``ingest`` of the archives below a folder, each of them read by as many tasks as it needs."""
+    lines = archives_source.scan_archives(spark, path, range_bytes)
+    return _ingest(None, lines, files, formatter)
+
+
+def _ingest(
+    archives: DataFrame | None, lines: DataFrame, files: DataFrame, formatter: Callable[[Column, Column], Column]
+) -> tuple[DataFrame, DataFrame]:
+    """``ingest`` of unpacked lines; without ``archives`` they tell which there are."""
+    shared_folder(lines.sparkSession)
+    lines = lines.checkpoint()
+    if archives is None:
+        archives = lines.select("accession").distinct()
     unreadable = header_failures(archives, lines, files).checkpoint()
     lines = lines.join(unreadable, "accession", "left_anti")
 

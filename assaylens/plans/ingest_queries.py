@@ -17,7 +17,7 @@ from assaylens.operators.predicates import matches
 from assaylens.plans import fixtures as fx
 from assaylens.plans.registry import query
 from assaylens.session import scratch_path
-from assaylens.sources import isa, listing, tables
+from assaylens.sources import archives, isa, listing, tables
 
 _WIDE_SCHEMA = T.StructType(
     [T.StructField("feature", T.StringType())]
@@ -108,6 +108,43 @@ def s4(spark, sf_dir):
     return body.select("kind", "tab", F.concat_ws("|", "cells").alias("line"))
 
 
+@query(
+    "s4_large_archive",
+    """SELECT accession, kind, 'first' AS tab,
+              CAST(row_number() OVER (PARTITION BY accession, kind ORDER BY n) - 1 AS BIGINT) AS line_no, line
+       FROM (
+           SELECT CASE WHEN o_orderkey % 10 = 0 THEN concat('GLDS-', o_custkey % 3 + 2) ELSE 'GLDS-1' END AS accession,
+                  's' AS kind, o_orderkey AS n,
+                  concat('src', o_custkey, '|a "quoted" name', chr(10), 'of two lines ', o_orderkey, '|', o_orderpriority) AS line
+           FROM orders
+           UNION ALL
+           SELECT CASE WHEN o_orderkey % 10 = 0 THEN concat('GLDS-', o_custkey % 3 + 2) ELSE 'GLDS-1' END, 'a',
+                  o_orderkey, concat('smp', o_orderkey, '|', o_orderstatus) FROM orders)""",
+)
+def s4_large(spark, sf_dir):
+    """Archives in a folder, one of them with most of the lines; it is read in ranges."""
+    key = F.col("o_orderkey")
+    accession = F.when(key % 10 == 0, fx.numbered("GLDS-", F.col("o_custkey") % 3 + 2)).otherwise("GLDS-1")
+    orders = fx.table(spark, sf_dir, "orders")
+
+    def tab(kind, *cells):
+        return orders.select(
+            accession.alias("accession"),
+            F.lit(kind).alias("kind"),
+            F.lit("first").alias("tab"),
+            key.cast("bigint").alias("line_no"),
+            F.array(*cells).alias("cells"),
+        )
+
+    name = F.concat(F.lit('a "quoted" name\nof two lines '), key.cast("string"))
+    studies = tab("s", fx.numbered("src", F.col("o_custkey")), name, F.col("o_orderpriority"))
+    assays = tab("a", fx.numbered("smp", key), F.col("o_orderstatus"))
+    folder = scratch_path(spark, "archives")
+    archives.write_archives(studies.unionByName(assays), folder)
+    lines = archives.scan_archives(spark, folder, range_bytes=1 << 16)
+    return lines.select("accession", "kind", "tab", "line_no", F.concat_ws("|", "cells").alias("line"))
+
+
 @query(
     "s5_distinct_rows",
     """SELECT concat('GLDS-', o_custkey % 5 + 1) AS accession,

@@ -110,7 +110,7 @@ def _repaired_lines(text: str) -> list[list[str]]:
     return out
 
 
-def _tab_lines(raw: io.BufferedIOBase, kind: str) -> Iterator[list[str]]:
+def tab_lines(raw: io.BufferedIOBase, kind: str) -> Iterator[list[str]]:
     """The lines of a member. Records of an investigation are few: they are read as a
     whole, so that they can be repaired; other tabs are unpacked as they are read."""
     text = io.TextIOWrapper(raw, errors="replace", newline="", encoding="utf-8")
@@ -132,7 +132,7 @@ def _archive_rows(accession: str, content: bytes) -> Iterator[tuple]:
             found = re.search(MEMBER_PATTERN, os.path.basename(member))
             if found:
                 with archive.open(member) as raw:
-                    for number, cells in enumerate(_tab_lines(raw, found[1])):
+                    for number, cells in enumerate(tab_lines(raw, found[1])):
                         yield accession, found[1], found[2], number, cells
 
 
@@ -170,7 +170,8 @@ def archive_lines(archives: DataFrame) -> DataFrame:
 
 def broken_archives(lines: DataFrame) -> DataFrame:
     """(accession, reason) of the archives that cannot be read."""
-    return lines.filter(F.col("kind") == BROKEN).select("accession", F.col("tab").alias("reason"))
+    # several tasks may tell the same of one archive
+    return lines.filter(F.col("kind") == BROKEN).select("accession", F.col("tab").alias("reason")).distinct()
 
 
 def unnamed_tabs(lines: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from assaylens.plans.ingest_queries import ingest_datasets
 from assaylens.plans.registry import query
 from assaylens.session import scratch_path
 from assaylens.sources.tables import stale_tables
+from assaylens.streaming import keyed
 from assaylens.streaming.refresh import (
     publish_snapshot,
     read_manifest,
@@ -142,13 +143,13 @@ def u10(spark, sf_dir):
     return refresh.class_counts(_classes(spark, sf_dir))
 
 
-@query(
-    "u9_continuous_refresh",
-    """SELECT CAST(o_custkey AS VARCHAR) AS accession, concat('file', o_orderkey) AS filename,
-              CAST(CASE class WHEN 'fresh' THEN 0 ELSE 1 END AS BIGINT) AS data_batch
-       FROM orders JOIN fx_classes ON accession = o_custkey
-       WHERE class <> 'dropped' AND (o_custkey % 7 <> 0 OR o_custkey % 5 = 0)""",
-)
+_REFRESHED = """SELECT CAST(o_custkey AS VARCHAR) AS accession, concat('file', o_orderkey) AS filename,
+       CAST(CASE class WHEN 'fresh' THEN 0 ELSE 1 END AS BIGINT) AS data_batch
+FROM orders JOIN fx_classes ON accession = o_custkey
+WHERE class <> 'dropped' AND (o_custkey % 7 <> 0 OR o_custkey % 5 = 0)"""
+
+
+@query("u9_continuous_refresh", _REFRESHED)
 def u9(spark, sf_dir):
     """Two snapshots through the stream; rows of unchanged datasets stay where they were."""
     folder, root = scratch_path(spark, "snapshots"), scratch_path(spark, "store")
@@ -166,41 +167,81 @@ _DATASETS = """d AS (SELECT s_suppkey AS k, s_suppkey % 6 IN (0, 4, 5) AS sound,
     s_suppkey % 4 <> 0 AND s_suppkey % 6 IN (0, 4, 5) AS cached FROM supplier)"""
 
 
-def _refreshed(spark, sf_dir):
-    """Datasets read from archives over two snapshots: some broken, some lost, some dropped."""
+def _polls(spark, sf_dir):
+    """What two polls found: the listing of each, and what the second could not reach."""
     key = F.col("s_suppkey").cast("bigint")
     listing = fx.table(spark, sf_dir, "supplier").select(
         fx.numbered("GLDS-", key).alias("accession"), F.lit("x.zip").alias("filename"), key.alias("key")
     )
-    folder, root = scratch_path(spark, "snapshots"), scratch_path(spark, "store")
-    publish_snapshot(listing.filter("key % 4 <> 0").withColumn("ts", F.lit(0)), folder, 0)
+    first = listing.filter("key % 4 <> 0").withColumn("ts", F.lit(0))
     later = listing.filter("key % 9 <> 0").withColumn("ts", F.when(F.col("key") % 5 == 0, 1).otherwise(0))
-    publish_snapshot(later, folder, 1, listing.filter("key % 7 = 0"))
+    return first, later, listing.filter("key % 7 = 0")
+
+
+def _build_samples(rows):
+    samples, failures = ingest_datasets(rows.select("accession", "key"))
+    return samples.select("accession", "assay_name", "sample_name", "study_name"), failures
 
-    def build(rows):
-        samples, failures = ingest_datasets(rows.select("accession", "key"))
-        return samples.select("accession", "assay_name", "sample_name", "study_name"), failures
 
-    stream = start_refresh(spark, folder, root, build)
+def _refreshed(spark, sf_dir):
+    """Datasets read from archives over two snapshots: some broken, some lost, some dropped."""
+    first, later, lost = _polls(spark, sf_dir)
+    folder, root = scratch_path(spark, "snapshots"), scratch_path(spark, "store")
+    publish_snapshot(first, folder, 0)
+    publish_snapshot(later, folder, 1, lost)
+    stream = start_refresh(spark, folder, root, _build_samples)
     stream.awaitTermination()
     if stream.exception():
         raise stream.exception()
     return root
 
 
-@query(
-    "u9_refresh_with_failures",
-    f"""WITH {_DATASETS}
-        SELECT concat('GLDS-', CAST(k AS VARCHAR)) AS accession, concat('s', CAST(k AS VARCHAR)) AS sample_name,
-               CAST(CASE WHEN k % 7 = 0 OR (cached AND k % 5 <> 0) THEN 0 ELSE 1 END AS BIGINT) AS data_batch
-        FROM d WHERE (k % 7 = 0 AND cached) OR (k % 7 <> 0 AND k % 9 <> 0 AND sound)""",
-)
+_REFRESHED_SAMPLES = f"""WITH {_DATASETS}
+SELECT concat('GLDS-', CAST(k AS VARCHAR)) AS accession, concat('s', CAST(k AS VARCHAR)) AS sample_name,
+       CAST(CASE WHEN k % 7 = 0 OR (cached AND k % 5 <> 0) THEN 0 ELSE 1 END AS BIGINT) AS data_batch
+FROM d WHERE (k % 7 = 0 AND cached) OR (k % 7 <> 0 AND k % 9 <> 0 AND sound)"""
+
+
+@query("u9_refresh_with_failures", _REFRESHED_SAMPLES)
 def u9_failures(spark, sf_dir):
     root = _refreshed(spark, sf_dir)
     placed = read_manifest(spark, root).select("accession", "data_batch")
     return read_store(spark, root).join(placed, "accession").select("accession", "sample_name", "data_batch")
 
 
+def _keyed(spark, folder, build):
+    """The stream over what has been announced so far; the folder of its store."""
+    root = f"{folder}/store"
+    stream = keyed.start(spark, folder, root, build)
+    stream.awaitTermination()
+    if stream.exception():
+        raise stream.exception()
+    return root
+
+
+@query("u9_keyed_refresh", _REFRESHED)
+def u9_keyed(spark, sf_dir):
+    """Two polls through keyed state; only datasets that changed are events."""
+    folder = scratch_path(spark, "polls")
+    for number, listed in enumerate((fx.cached_listing(spark, sf_dir), fx.live_listing(spark, sf_dir))):
+        keyed.announce(listed, folder, number)
+        root = _keyed(spark, folder, lambda rows: rows)
+    placed = keyed.read_current(spark, root).select("accession", F.col("snapshot").alias("data_batch"))
+    return keyed.read_store(spark, root).join(placed, "accession").select("accession", "filename", "data_batch")
+
+
+@query("u9_keyed_failures", _REFRESHED_SAMPLES)
+def u9_keyed_failures(spark, sf_dir):
+    """Broken, lost and dropped datasets through keyed state."""
+    first, later, lost = _polls(spark, sf_dir)
+    folder = scratch_path(spark, "polls")
+    for number, (listed, unreachable) in enumerate(((first, None), (later, lost))):
+        keyed.announce(listed, folder, number, unreachable)
+        root = _keyed(spark, folder, _build_samples)
+    placed = keyed.read_current(spark, root).select("accession", F.col("snapshot").alias("data_batch"))
+    return keyed.read_store(spark, root).join(placed, "accession").select("accession", "sample_name", "data_batch")
+
+
 @query(
     "u7_status_of_refresh",
     f"""WITH {_DATASETS},

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assaylens.errors import guarded, raise_if_any
 from assaylens.functions.text import braces
+from assaylens.operators import documents
 from assaylens.operators import files as file_ops
 from assaylens.operators import shape
 from assaylens.operators.names import ambiguous, best_match
@@ -28,13 +29,13 @@ def wrong_archive_counts(files: DataFrame) -> DataFrame:
 
 
 def _entities(records: DataFrame, section: str, name: str) -> DataFrame:
-    """(accession, name, attrs) of the studies or assays of an investigation."""
+    """(accession, name, attrs, document) of the studies or assays of an investigation."""
     found = isa.entity_records(records, section)
     entity = guarded(
         F.col("entity"), F.col("entity").isNull(), f"records of {section} without a name", F.col("accession")
     )
     return found.select(
-        "accession", entity.alias(name), isa.record_attrs(F.col("content"), section).alias("attrs")
+        "accession", entity.alias(name), isa.record_attrs(F.col("content"), section).alias("attrs"), "document"
     )
 
 
@@ -97,7 +98,8 @@ def ingest(
 
     ``archives``: (accession, content), one ZIP archive each. ``files``: the latest
     files, typed (accession, filename, datatype, internal, condition, flags...).
-    Samples are (ids, study_name, attrs, files). A dataset that breaks a rule fails
+    Samples are (ids, study_name, attrs, document, files): the flat annotation, all of it
+    nested, and the files it names. A dataset that breaks a rule fails
     as a whole and leaves the others alone. What several steps read (unpacked
     lines, annotated rows, assembled samples) is checkpointed, so that archives are
     unpacked and rows are matched only once.
@@ -130,7 +132,7 @@ def _ingest(
 
     layouts = isa.layouts(isa.tab_headers(lines))
     rows = isa.with_names(isa.tab_rows(lines), layouts)
-    rows = isa.annotate(rows, layouts, formatter).checkpoint()
+    rows = isa.annotate(isa.with_row_documents(rows, layouts), layouts, formatter).checkpoint()
     unclear = row_failures(rows).checkpoint()
     # an error raised in the plan could be evaluated before the failed datasets are left
     # out, so the names of the sound ones are read without a check
@@ -138,19 +140,33 @@ def _ingest(
     assays = rows.filter(F.col("kind") == "a").withColumnRenamed("tab", "assay_name")
     studies = rows.filter(F.col("kind") == "s").withColumnRenamed("tab", "study_name")
 
-    records = isa.investigation_records(isa.investigation_cells(lines))
+    cells = isa.investigation_cells(lines)
+    records = isa.with_documents(isa.investigation_records(cells), cells)
     assembled = shape.assemble(
-        assays.select(*IDS, "attrs"),
-        studies.select("accession", "study_name", "sample_name", "attrs"),
+        assays.select(*IDS, "attrs", "document"),
+        studies.select("accession", "study_name", "sample_name", "attrs", "document"),
         _entities(records, "Study Assays", "assay_name"),
         _entities(records, "Study", "study_name"),
     )
     whole = records.filter(F.col("section") == isa.SINGLE_RECORD)
-    whole = whole.select("accession", isa.record_attrs(F.col("content"), isa.SINGLE_RECORD).alias("_inv"))
+    whole = whole.select(
+        "accession",
+        isa.record_attrs(F.col("content"), isa.SINGLE_RECORD).alias("_inv"),
+        F.col("document").alias("_inv_document"),
+    )
     described = join_back(assembled, whole, ["accession"], "left")
     attrs = F.when(F.col("_inv").isNull(), F.col("attrs")).otherwise(F.map_concat("attrs", "_inv"))
+    document = documents.sample_document(
+        F.col("documents.assay"),
+        F.col("documents.study"),
+        {
+            "Study Assays": F.col("documents.assay_record"),
+            "Study": F.col("documents.study_record"),
+            isa.SINGLE_RECORD: F.col("_inv_document"),
+        },
+    )
     named = described.select(
-        *IDS, "study_name", shape.move_material_type(attrs).alias("attrs")
+        *IDS, "study_name", shape.move_material_type(attrs).alias("attrs"), document.alias("document")
     )
     return with_files(named.checkpoint(), files), unreadable.unionByName(unclear)
 
@@ -167,13 +183,17 @@ def build_samples(
 
 
 def with_files(samples: DataFrame, files: DataFrame) -> DataFrame:
-    """Sample rows with the array of their files: those they name, and the internal ones.
+    """Sample rows with the array of their files: those they name, in comments as well, and
+    the internal ones.
 
     Both are few per sample: an annotation names a handful of files, and a dataset
     has one archive and a few tables that are internal.
     """
-    elements = shape.leaf_elements(shape.nested_fields(F.col("attrs")))
-    links = file_ops.attach_files(samples.withColumn("elements", elements), files).distinct()
+    if "document" not in samples.columns:
+        elements = shape.leaf_elements(shape.nested_fields(F.col("attrs")))
+        samples = samples.withColumn("elements", elements)
+    links = file_ops.attach_files(samples, files).distinct()
+    samples = samples.drop("elements")
     shown = [c for c in files.columns if c not in ("accession", "condition", "ts", "version")]
     described = join_back(
         links, files.select("accession", *shown), ["accession", "filename"]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylens.operators.documents import leaf_items
 from assaylens.operators.lists import listed_values
 from assaylens.operators.ranking import join_back
 
@@ -38,21 +39,22 @@ def attach_files(samples: DataFrame, files: DataFrame) -> DataFrame:
     """(accession, assay_name, sample_name, filename): the files of each sample.
 
     A file belongs to a sample when its name is among the sample's annotation
-    values (column ``elements``), or when it is internal to the dataset; the
-    technology condition of the file must hold in either case. Both cases are
-    equality joins, so a dataset with most of the samples can be split.
+    values (column ``elements``, or else the texts of its ``document``), or when it is
+    internal to the dataset; the technology condition of the file must hold in either
+    case. Both cases are equality joins, so a dataset with most of the samples can be split.
     """
     ids = ["accession", "assay_name", "sample_name"]
-    with_tech = samples.select(*ids, technology().alias("_tech"), "elements")
+    source = "elements" if "elements" in samples.columns else "document"
+    with_tech = samples.select(*ids, technology().alias("_tech"), source)
+    if source == "elements":
+        items = with_tech.select(*ids, "_tech", F.explode("elements").alias("filename")).distinct()
+    else:
+        items = leaf_items(with_tech, [*ids, "_tech"]).withColumnRenamed("item", "filename")
     rules = files.select(
         "accession", "filename", "condition", F.coalesce("internal", F.lit(False)).alias("internal")
     )
-    named = (
-        with_tech.select(*ids, "_tech", F.explode("elements").alias("filename"))
-        .distinct()
-        .join(rules.filter(~F.col("internal")), ["accession", "filename"], "inner")
-    )
-    internal = with_tech.drop("elements").join(
+    named = items.join(rules.filter(~F.col("internal")), ["accession", "filename"], "inner")
+    internal = with_tech.drop(source).join(
         rules.filter(F.col("internal")), "accession", "inner"
     )
     columns = [*ids, "_tech", "filename", "condition"]

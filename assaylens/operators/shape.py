@@ -89,8 +89,14 @@ def assemble(
     with study_name; ``study_assays`` and ``study_records``: (accession,
     assay_name / study_name, attrs). Study rows are found by best sample name
     match in the dataset; two equally good ones are an error, none leaves
-    ``study_name`` NULL. Maps of the four sources are merged.
+    ``study_name`` NULL. Maps of the four sources are merged. If they have a
+    ``document`` as well, ``documents`` holds the four, one by one.
     """
+    nested = "document" in assays.columns
+
+    def also(name: str) -> list[Column]:
+        return [F.col("document").alias(name)] if nested else []
+
     names = assays.select("accession", F.col("sample_name").alias("name"))
     targets = studies.select("accession", F.col("sample_name").alias("candidate"))
     matched = best_match(names, targets, ["accession"])
@@ -112,19 +118,24 @@ def assemble(
             F.col("sample_name").alias("study_sample"),
             "study_name",
             F.col("attrs").alias("_study"),
+            *also("_study_document"),
         ),
         ["accession", "study_sample"],
         "left",
     )
     found = join_back(
         found,
-        study_assays.select("accession", "assay_name", F.col("attrs").alias("_assay_record")),
+        study_assays.select(
+            "accession", "assay_name", F.col("attrs").alias("_assay_record"), *also("_assay_record_document")
+        ),
         ["accession", "assay_name"],
         "left",
     )
     found = join_back(
         found,
-        study_records.select("accession", "study_name", F.col("attrs").alias("_study_record")),
+        study_records.select(
+            "accession", "study_name", F.col("attrs").alias("_study_record"), *also("_study_record_document")
+        ),
         ["accession", "study_name"],
         "left",
     )
@@ -135,8 +146,21 @@ def assemble(
             for c in ("attrs", "_study", "_assay_record", "_study_record")
         ]
     )
+    parts = {
+        "assay": "document",
+        "study": "_study_document",
+        "assay_record": "_assay_record_document",
+        "study_record": "_study_record_document",
+    }
+    documents = [F.struct(*[F.col(c).alias(n) for n, c in parts.items()]).alias("documents")] if nested else []
     return found.select(
-        "accession", "assay_name", "sample_name", "study_name", "study_sample", merged.alias("attrs")
+        "accession",
+        "assay_name",
+        "sample_name",
+        "study_name",
+        "study_sample",
+        merged.alias("attrs"),
+        *documents,
     )
 
 

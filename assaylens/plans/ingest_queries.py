@@ -5,14 +5,17 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaylens.errors import raise_if_any
 from assaylens.functions import text
-from assaylens.ingest import build_samples, ingest
-from assaylens.operators import analytics, shape
+from assaylens.ingest import build_samples, ingest, ingest_folder
+from assaylens.operators import analytics, documents, shape
 from assaylens.operators.predicates import matches
 from assaylens.plans import fixtures as fx
 from assaylens.plans.registry import query
@@ -483,6 +486,102 @@ def h4(spark, sf_dir):
     return rows.select((F.col("line_no") - 1).alias("row_id"), F.explode("attrs").alias("path", "value"))
 
 
+_COMMENTED = """INVESTIGATION
+Investigation Title\tOrders
+Comment[Contact]\tdesk, second desk
+STUDY
+Study File Name\ts_first.txt
+Study Title\tPrices
+Comment[mission TAG]\tM1
+Comment[Mission Tag]\tM1
+Comment[Report]\treport.pdf
+STUDY ASSAYS
+Study Assay File Name\ta_first.txt
+Study Assay Technology Type\tDNA Microarray
+"""
+
+
+def _commented(spark, sf_dir):
+    """Samples of archives with comments below values and records, read from a folder."""
+    orders = fx.table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+
+    def tab(kind, name, number, *cells):
+        return orders.select(
+            F.lit("GLDS-1").alias("accession"), F.lit(kind).alias("kind"), F.lit(name).alias("tab"),
+            number.cast("bigint").alias("line_no"), F.array(*[F.lit(c) if isinstance(c, str) else c for c in cells]).alias("cells"),
+        )
+
+    study_head = ["Source Name", "Sample Name", "Characteristics[Price]", "Unit", "Comment[Bill]", "Raw Data File"]
+    assay_head = ["Sample Name", "Parameter Value[status]", "Comment[Scan, first]"]
+    bill = F.when(key % 4 != 0, F.concat(F.lit("bill"), (key % 8).cast("string"), F.lit(".csv , none")))
+    parts = [
+        tab("s", "first", key, fx.numbered("src", F.col("o_custkey")), fx.numbered("smp", key),
+            F.floor("o_totalprice").cast("bigint").cast("string"), F.when(key % 3 != 0, "usd"), bill, "listed.bam"),
+        tab("a", "first", key, fx.numbered("smp", key), F.col("o_orderstatus"),
+            F.when(F.col("o_orderstatus") == "F", "scan.png")),
+        tab("s", "first", F.lit(-1), *study_head).limit(1),
+        tab("a", "first", F.lit(-1), *assay_head).limit(1),
+    ]
+    for number, line in enumerate(_COMMENTED.splitlines()):
+        parts.append(tab("i", "all", F.lit(number), *line.split("\t")).limit(1))
+    folder = scratch_path(spark, "archives")
+    archives.write_archives(reduce(DataFrame.unionByName, parts), folder)
+    names = ["ISA.zip", "scan.png", "report.pdf", "listed.bam", *[f"bill{n}.csv" for n in range(8)]]
+    files = spark.createDataFrame([("GLDS-1", n) for n in names], "accession string, filename string").select(
+        "accession",
+        "filename",
+        F.when(F.col("filename") == "ISA.zip", "isa").alias("datatype"),
+        (F.col("filename") == "ISA.zip").alias("internal"),
+        F.lit(None).cast("string").alias("condition"),
+    )
+    samples, failures = ingest_folder(spark, folder, files, range_bytes=1 << 20)
+    raise_if_any(failures, "datasets cannot be read")
+    return samples
+
+
+@query(
+    "j9_files_in_comments",
+    """SELECT concat('smp', o_orderkey) AS sample_name, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS price,
+              CASE WHEN o_orderkey % 3 <> 0 THEN 'usd' END AS unit, 'M1' AS mission, 'desk, second desk' AS contact,
+              CASE WHEN o_orderkey % 4 <> 0 THEN concat('bill', o_orderkey % 8, '.csv , none') END AS bill,
+              concat('ISA.zip', CASE WHEN o_orderkey % 4 <> 0 THEN concat(',bill', o_orderkey % 8, '.csv') ELSE '' END,
+                     ',report.pdf', CASE WHEN o_orderstatus = 'F' THEN ',scan.png' ELSE '' END) AS files FROM orders""",
+)
+def j9_comments(spark, sf_dir):
+    """Files that comments below values and records name belong to the sample; lists of a tab name none."""
+    listed = F.array_sort(F.transform("files", lambda f: f.getField("filename")))
+    price = ["study", "characteristics", "price"]
+    return _commented(spark, sf_dir).select(
+        "sample_name",
+        documents.value_at(price).alias("price"),
+        documents.value_at([*price, "unit"]).alias("unit"),
+        documents.value_at(["investigation", "study", "comment", "Mission tag"]).alias("mission"),
+        documents.value_at(["investigation", "investigation", "comment", "Contact"]).alias("contact"),
+        documents.value_at([*price, "comment", "Bill"]).alias("bill"),
+        F.array_join(listed, ",").alias("files"),
+    )
+
+
+@query(
+    "h4_nested_documents",
+    """SELECT o_orderkey AS row_id, p AS path, v AS value FROM (
+           SELECT o_orderkey, unnest([
+               struct_pack(p := 'characteristics/price/', v := CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)),
+               struct_pack(p := 'characteristics/price/unit', v := CASE WHEN o_orderkey % 4 <> 0 THEN 'usd' END),
+               struct_pack(p := 'parameter value/status/', v := o_orderstatus),
+               struct_pack(p := 'parameter value/status/protocol ref',
+                           v := CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END)], recursive := true) FROM orders)
+       WHERE v IS NOT NULL""",
+)
+def h4_nested(spark, sf_dir):
+    """Documents of tab rows, exploded to their texts; fields without a subfield are lists."""
+    headers, lines = fx.cells(spark, sf_dir)
+    rows = isa.with_row_documents(isa.tab_rows(lines), isa.layouts(headers))
+    found = documents.leaves(rows.select((F.col("line_no") - 1).alias("row_id"), "document"), ["row_id"])
+    return found.select("row_id", F.array_join("path", "/").alias("path"), "value")
+
+
 @query(
     "h5_leaf_elements",
     r"""SELECT DISTINCT c_custkey, e AS element FROM (

@@ -30,6 +30,7 @@ from assaylens.functions.text import (
     is_empty,
     with_unit,
 )
+from assaylens.operators.documents import record_document, row_document
 from assaylens.operators.ranking import join_back
 from assaylens.operators.shape import drop_empty
 
@@ -406,6 +407,12 @@ def annotate(
     return joined.withColumn("attrs", drop_empty(attrs)).drop("slots")
 
 
+def with_row_documents(rows: DataFrame, tab_layouts: DataFrame) -> DataFrame:
+    """Rows with ``document``: their fields with all that describes them."""
+    read = read_fields(rows, tab_layouts)
+    return read.withColumn("document", row_document(F.col("fields"))).drop("fields")
+
+
 def with_names(rows: DataFrame, tab_layouts: DataFrame) -> DataFrame:
     """Rows with ``sample_names``: the distinct contents of their sample name columns."""
     joined = join_back(rows, tab_layouts.drop("layout", "slots"), TAB)
@@ -530,6 +537,22 @@ def investigation_records(cells: DataFrame) -> DataFrame:
     )
 
 
+def with_documents(records: DataFrame, cells: DataFrame) -> DataFrame:
+    """Records with ``document``: their keys and their folded comments."""
+    entity = ["accession", "section", "block", "record"]
+    folded = fold_comments(cells, entity).groupBy(*entity)
+    comments = folded.agg(F.sort_array(F.collect_list(F.struct("comment", "values"))).alias("comments"))
+    joined = join_back(records, comments, entity, "left")
+    none = F.array().cast("array<struct<comment: string, values: array<string>>>")
+    document = record_document(F.col("content"), F.coalesce("comments", none))
+    return joined.withColumn("document", document).drop("comments")
+
+
+def _documents(df: DataFrame) -> list[str]:
+    """The column of documents, if there is one."""
+    return ["document"] if "document" in df.columns else []
+
+
 def record_attrs(content: Column, section: str) -> Column:
     """Annotation map of a record: ``investigation.<section>.<key>``, without empty values."""
     prefix = f"investigation.{section.lower()}."
@@ -545,7 +568,7 @@ def entity_records(records: DataFrame, section: str) -> DataFrame:
     return (
         records.filter(F.col("section") == section)
         .withColumn("entity", F.when(file_name.rlike(pattern), F.regexp_extract(file_name, pattern, 1)))
-        .select("accession", "section", "block", "record", "entity", "content")
+        .select("accession", "section", "block", "record", "entity", "content", *_documents(records))
     )
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from assaylens.llm.tables import stored, words
 
 K = 3
+_GRAMS = "array<struct<pos: int, hash: bigint, words: array<string>>>"
 COVERAGE = 0.7  # of a template's k-grams
 GAP = 6  # words between diagonals that are merged, and how far apart these may be
 
@@ -123,23 +124,30 @@ def votes(
         F.col(f"`{id_col}`").cast("bigint").alias("id"),
         words(F.col(f"`{text_col}`")).alias("ws"),
     )
-    # the first entry, at position -1, is the document's own
-    marked = F.concat(F.array(F.lit(0).cast("bigint")), _grams("ws", k))
-    listed = tokens.select("row", "id", "ws", F.posexplode(marked).alias("nth", "hash"))
-    own = spark.range(1).select(
-        F.lit(-1).alias("template"), F.lit(None).cast("string").alias("label"),
-        F.lit(False).alias("phrase"), F.lit(0).alias("grams"), F.lit(0).alias("at"),
-        F.lit(0).cast("bigint").alias("gram_hash"), F.lit(None).cast("array<string>").alias("gram"),
+    known = template_grams(spark, templates, k)
+    hashes = [r.gram_hash for r in known.select("gram_hash").distinct().collect()]  # as many as templates have
+    # only grams that may stand in a template become rows, each with its own words
+    at = F.transform(_grams("ws", k), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
+    found = F.transform(
+        F.filter(at, lambda g: g.getField("hash").isin(hashes)),
+        lambda g: F.struct(
+            g.getField("pos").alias("pos"),
+            g.getField("hash").alias("hash"),
+            F.slice("ws", g.getField("pos") + 1, k).alias("words"),
+        ),
     )
-    known = template_grams(spark, templates, k).unionByName(own)
-    pos = F.col("nth") - 1
-    stands = F.slice("ws", F.greatest(F.col("nth"), F.lit(1)), k) == F.col("gram")
-    same = (F.col("template") == -1) & (pos == -1) | (pos >= 0) & stands
-    joined = listed.join(F.broadcast(known), F.col("hash") == F.col("gram_hash")).where(same)
+    # the first entry is the document's own
+    own = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("bigint").alias("hash"), F.lit(None).alias("words")))
+    listed = tokens.select(
+        "row", "id", F.size("ws").alias("n_words"), F.explode(F.concat(own.cast(_GRAMS), found.cast(_GRAMS))).alias("g")
+    ).select("row", "id", "n_words", "g.*")
+    same = (F.col("hash") == F.col("gram_hash")) & (F.col("words") == F.col("gram"))
+    joined = listed.join(F.broadcast(known), (F.col("pos") >= 0) & same, "left")
+    joined = joined.where((F.col("pos") < 0) | F.col("template").isNotNull())
+    joined = joined.withColumn("template", F.coalesce("template", F.lit(-1)))
     return stored(
         joined.select(
-            "row", "id", F.size("ws").alias("n_words"), pos.alias("pos"),
-            "template", "label", "phrase", "grams", "at",
+            "row", "id", "n_words", "pos", "template", "label", "phrase", "grams", "at",
         ),
         "votes",
     )

@@ -53,3 +53,15 @@ def test_awkward_documents(spark):
     assert sorted(r.n_words for r in rows) == sorted(len(words(t)) for _, t in TEXTS)
     assert all((r.labels, r.score) == ("", 0) for r in rows)
     assert license_scan.scan(df.limit(0)).count() == 0
+
+
+def test_time_is_in_proportion_to_the_length(spark):
+    """A word more costs the same in a long text as in a short one."""
+    import time
+
+    text = "some plain words and the mit license of it " * 36_000  # 324,000 words
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    start = time.perf_counter()
+    found = license_scan.scan(docs).collect()
+    assert time.perf_counter() - start < 30
+    assert found[0].n_words == 324_000

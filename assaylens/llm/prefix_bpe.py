@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECES = 200_000  # pieces whose ids a worker remembers, and as many older ones
+PIECES = 300_000  # pieces whose ids a worker remembers, and as many older ones
 PAIRS = 500_000  # pairs of tokens it remembers
 PART = 1 << 19  # characters of a text that are cut into pieces at a time
 FLUSH = 1 << 20  # ids in a batch that goes back to Spark
@@ -456,7 +456,9 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelling: dict[int, bytes] = model.spelling.value
         for batch in batches:
-            data = [b"".join(map(spelling.__getitem__, ids.as_py() or [])) for ids in batch.column(1)]
+            ids = batch.column(1).fill_null([])
+            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+            data = [b"".join(map(spelling.__getitem__, flat[a:b].tolist())) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["id", "ids", "decoded"]
             )

@@ -22,9 +22,10 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -37,6 +38,7 @@ from assaylens.llm.tables import ascii_lower, stored
 FAN_IN = 32
 PAGES = 3  # different pages that must agree on a text before it is a literal
 NODES = 400  # nodes of a wrapper; structures that would take it further get one of their own
+INSIDE = 6  # the same for a text in an article, as pages of a series may begin alike
 LONGEST = 4 * NODES  # nodes of a folded page that are aligned at once; longer ones are aligned in pieces
 
 # fixed values: elements of HTML by what they do to the text
@@ -70,11 +72,25 @@ BOILERPLATE = frozenset("nav aside form footer menu dialog head".split())
 MAIN = frozenset("article main".split())
 # fixed values: words in class, id and role that mark what is not the article
 ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav|navbar|navigation|"
-    r"breadcrumbs?|header|masthead|footer|cookies?|consent|notice|notices|alert|popup|modal|newsletter|"
-    r"subscribe|subscription|share|sharing|social|related|recommended|comment|comments|commentlist|disqus|"
-    r"replies|respond|widget|login|search|toolbar|pagination|complementary|contentinfo)(?:$|[\s_-])"
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|menu|nav|navbar|navigation|breadcrumbs?|masthead|footer|"
+    r"cookies?|consent|popup|modal|newsletter|subscribe|subscription|share|sharing|social|related|recommended|"
+    r"comments?|commentlist|disqus|replies|respond|widget|toolbar|pagination|complementary|contentinfo"
 )
+# fixed values: words that do so alone or beside words of place only, as in site-header, not in article-header
+ALONE_WORDS = frozenset("side header alert search notice notices login".split())
+PLACES = frozenset(
+    "site top page global main left right bar box form area wrap wrapper container block panel inner column col "
+    "message 0".split()
+)
+# fixed values: names that tell a state or a subject of what is around them, as has-sidebar or comments-open do
+QUALIFIERS = frozenset("has with no without is not category tag topic".split())
+STATES = frozenset("open closed enabled disabled fixed on off".split())
+# fixed values: what is no main text even if article elements are in it
+OTHER_TEXTS = re.compile(r"comments?|commentlist|disqus|reply|replies|respond|related|recommended|ads?|advert\w*")
+# elements that end where these open, if the page never ends them
+UNENDED = frozenset("article main h1".split())
+UNENDED_MENU = UNENDED | frozenset("h2 p section".split())
+LANDMARKS = frozenset("article main h1 header nav footer".split())  # a form with one is around a page
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>"
@@ -180,7 +196,7 @@ class Node:
     kind: str
     key: str = ""
     body: list[Node] = field(default_factory=list)
-    # hashes of the texts that all pages have here, each with up to PAGES different pages
+    # hashes of the texts that all pages have here, each with up to INSIDE different pages
     texts: dict[int, tuple[int, ...]] = field(default_factory=dict)
     at: list[tuple[int, int]] = field(default_factory=list)  # tokens of a page and their hashes, while one is read
 
@@ -217,7 +233,7 @@ def _join(a: Node, b: Node, within: bool = False) -> Node:
     """Two nodes of equal sign as one; within a page all texts stay, of two pages those of both."""
     if a.kind == "#":
         kept = a.texts.keys() | b.texts.keys() if within else a.texts.keys() & b.texts.keys()
-        texts = {h: tuple(sorted({*a.texts.get(h, ()), *b.texts.get(h, ())})[:PAGES]) for h in kept}
+        texts = {h: tuple(sorted({*a.texts.get(h, ()), *b.texts.get(h, ())})[:INSIDE]) for h in kept}
         return Node("#", "#", [], texts, a.at + b.at)
     if a.kind == "t":
         return Node("t", a.key)
@@ -257,13 +273,13 @@ def fold(nodes: list[Node], passes: int = 3) -> list[Node]:
     return nodes
 
 
-def own_wrapper(page: list[Token]) -> list[Node]:
-    """The wrapper of one page.
+def own_wrapper(page: list[Token], kept: list[tuple[int, bool]] | None = None) -> list[Node]:
+    """The wrapper of one page; ``kept`` is its outline, if that is known.
 
     Pages with the same text, template and all, are one page however often they come.
     """
     nodes = []
-    number = xxhash.xxh64_intdigest(main_text(page, set())) >> 1
+    number = xxhash.xxh64_intdigest(main_text(page, set(), kept)) >> 1
     for k, token in enumerate(page):
         if token.name:
             # ends that may be left out tell nothing
@@ -361,17 +377,22 @@ def pieces(own: list[Node]) -> list[list[Node]]:
     return [own[k : k + LONGEST] for k in range(0, len(own), LONGEST)]
 
 
-def nearest(known: list[tuple[list[Node], set[str]]], own: list[Node]) -> set[int]:
-    """Tokens of a page that are literals of those of its host's wrappers that are nearest to its pieces."""
+def nearest(
+    known: list[tuple[list[Node], set[str]]], own: list[Node], inside: Set[int] = frozenset()
+) -> set[int]:
+    """Tokens of a page that are literals of those of its host's wrappers that are nearest to its pieces.
+
+    ``inside`` are those in an article, which more pages must agree on.
+    """
     found: set[int] = set()
     for piece in pieces(own) if known else ():
         signs = {n.sign() for n in piece} if len(known) > 1 else set()
         wrapper, _ = max(known, key=lambda w: _alike(signs, w[1]))
-        found |= roles(wrapper, piece)
+        found |= roles(wrapper, piece, inside)
     return found
 
 
-def roles(wrapper: list[Node], own: list[Node]) -> set[int]:
+def roles(wrapper: list[Node], own: list[Node], inside: Set[int] = frozenset()) -> set[int]:
     """Tokens of a page that are literals of its host's wrapper."""
     a, b, steps = pairs(wrapper, own)
     found: set[int] = set()
@@ -381,7 +402,7 @@ def roles(wrapper: list[Node], own: list[Node]) -> set[int]:
             left = x.body if x.kind == "?" else [x]
             right = y.body if y.kind == "?" else [y]
         elif y.kind == "#":
-            found.update(k for k, h in y.at if len(x.texts.get(h, ())) >= PAGES)
+            found.update(k for k, h in y.at if len(x.texts.get(h, ())) >= (INSIDE if k in inside else PAGES))
             return
         else:
             left, right = x.body, y.body
@@ -398,64 +419,127 @@ def roles(wrapper: list[Node], own: list[Node]) -> set[int]:
 # ---------------------------------------------------------------- the article
 
 
-def main_text(page: list[Token], literals: set[int]) -> str:
+def main_text(page: list[Token], literals: Set[int], kept: list[tuple[int, bool]] | None = None) -> str:
     """The texts of the article in page order, joined by one space.
 
-    The text is that of the slots, so literals of the template are left out, as are
-    boilerplate elements and those marked as such. If there are slots in an article or
-    main element, only those count. Else it is what stands in the smallest container of
-    all slots, so all of them.
+    The text is that of the slots, so literals of the template are left out, as is what
+    the outline leaves out. If there are slots in an article or main element, only those
+    count, else all, whatever their length.
     """
-    stack: list[tuple[str, bool, bool, int]] = []  # name, inside boilerplate, inside main, number
-    marked: list[str] = []
-    texts: list[tuple[str, tuple[int, ...]]] = []
-    for k, token in enumerate(page):
-        skip, inside = stack[-1][1:3] if stack else (False, False)
-        if not token.name:
-            if skip or k in literals:
-                continue
-            if inside:
-                marked.append(token.text)
-            else:
-                texts.append((token.text, tuple(s[3] for s in stack[:2])))
-            continue
-        if token.closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == token.name:
-                    del stack[depth:]
-                    break
-                if token.name in IMPLIED and _holds(stack[depth][0], token.name):
-                    break
-            continue
-        _implied(stack, token.name)
-        if token.name in VOID:
-            continue
-        skip, inside = stack[-1][1:3] if stack else (False, False)
-        own = bool(token.marks and ASIDE_WORDS.search(token.marks))
-        main = False
-        if token.name not in IMPLIED:
-            if token.name == "header":
-                own = not inside
-            else:
-                own = own or token.name in BOILERPLATE
-            main = token.name in MAIN or "main" in token.marks.split() and token.name not in ("body", "html")
-            if token.name in ("body", "html", "main"):
-                own = False
-        stack.append((token.name, skip or own, inside or main, k))
-    return " ".join(marked or _contained(page, texts))
+    slots = [(k, inside) for k, inside in (outline(page) if kept is None else kept) if k not in literals]
+    marked = [k for k, inside in slots if inside]
+    return " ".join(page[k].text for k in marked or [k for k, _ in slots])
 
 
-def _contained(page: list[Token], texts: list[tuple[str, tuple[int, ...]]]) -> list[str]:
-    """Texts, each with its two outermost elements, without the scraps around a piece of a page.
+def outline(page: list[Token]) -> list[tuple[int, bool]]:
+    """The texts outside boilerplate, each with whether it stands in an article or main element.
 
-    A whole page has one element around all. In a piece without one, a scrap is a division
-    that is text alone and shorter than every text of the divisions that have elements.
+    Boilerplate are elements by their kind or by words of their class, id or role. Those
+    that the page never ends do not reach past the start of an article. A form around a
+    page is none, and if the only articles of a page stand in elements marked by their
+    class, those marks do not count, but for comments, related articles and adverts.
     """
-    rich = {path[0] for _, path in texts if len(path) > 1}
-    least = min((len(t) for t, path in texts if path and path[0] in rich), default=0)
-    return [
-        t for t, path in texts if not path or path[0] in rich or page[path[0]].name != "div" or len(t) >= least
-    ]
+    walk = _Walk(page)
+    plain, unended = walk.forms, walk.unended
+    if plain or unended:
+        walk = _Walk(page, plain, unended)
+    if walk.around and not any(inside for _, inside in walk.kept):
+        around = {k for k in walk.around if page[k].name not in BOILERPLATE and not _other(page[k].marks)}
+        walk = _Walk(page, plain | around, unended)
+    return walk.kept
+
+
+class _Walk:
+    """One way through a page.
+
+    ``plain`` are openings of elements that are no boilerplate whatever they look like,
+    ``unended`` those of boilerplate that the page never ends.
+    """
+
+    def __init__(self, page: list[Token], plain: Set[int] = frozenset(), unended: Set[int] = frozenset()) -> None:
+        self.kept: list[tuple[int, bool]] = []
+        self.around: set[int] = set()  # openings of elements around an article or main element
+        self.forms: set[int] = set()  # openings of forms around a page
+        self.unended: set[int] = set()
+        stack: list[tuple[str, bool, bool, int]] = []  # name, inside boilerplate, inside main, number
+        for k, token in enumerate(page):
+            if not token.name:
+                if stack and stack[-1][0] == "head":
+                    stack.pop()
+                skip, inside = stack[-1][1:3] if stack else (False, False)
+                if not skip:
+                    self.kept.append((k, inside))
+                continue
+            if token.closing:
+                self._end(stack, token.name)
+                continue
+            _implied(stack, token.name)
+            if unended:
+                for depth, (name, _, _, at) in enumerate(stack):
+                    if at in unended and token.name in (UNENDED_MENU if name in ("nav", "menu", "header") else UNENDED):
+                        del stack[depth:]
+                        break
+            if token.name in VOID:
+                continue
+            skip, inside = stack[-1][1:3] if stack else (False, False)
+            own, main = _kind(token, inside)
+            if k in plain:
+                own = False
+            if main and not own:
+                for _, _, _, at in reversed(stack):
+                    if at in self.around:
+                        break
+                    self.around.add(at)
+            if token.name in LANDMARKS:
+                self.forms.update(at for name, _, _, at in stack[-8:] if name == "form")
+            if own and token.name not in IMPLIED:
+                self.unended.add(k)
+            stack.append((token.name, skip or own, inside or main, k))
+
+    def _end(self, stack: list[tuple[str, bool, bool, int]], name: str) -> None:
+        for depth in range(len(stack) - 1, -1, -1):
+            if stack[depth][0] == name:
+                self.unended.discard(stack[depth][3])
+                del stack[depth:]
+                return
+            if name in IMPLIED and _holds(stack[depth][0], name):
+                return
+
+
+def _kind(token: Token, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate, and whether it is an article or main element."""
+    name = token.name
+    if name in IMPLIED:
+        return _aside(token.marks, inside), False
+    if name == "article":
+        other = any(OTHER_TEXTS.fullmatch(re.sub(r"-(?:body|item|0)$", "", m)) for m in token.marks.split())
+        return other, True
+    main = name == "main" or "main" in token.marks.split() and name not in ("body", "html")
+    if name in ("body", "html", "main"):
+        return False, main
+    if name == "header":
+        return not inside, main
+    return name in BOILERPLATE or _aside(token.marks, inside), main
+
+
+@lru_cache(100_000)
+def _aside(marks: str, inside: bool) -> bool:
+    """Whether words of class, id and role mark boilerplate; headers in an article are its own."""
+    for mark in marks.split():
+        parts = [p for p in re.split(r"[-_]+", mark) if p]
+        if not parts or len(parts) > 1 and (parts[0] in QUALIFIERS or parts[-1] in STATES):
+            continue
+        if any(ASIDE_WORDS.fullmatch(p) for p in parts):
+            return True
+        alone = [p for p in parts if p in ALONE_WORDS]
+        if alone and not (inside and alone == ["header"]) and all(p in ALONE_WORDS or p in PLACES for p in parts):
+            return True
+    return False
+
+
+def _other(marks: str) -> bool:
+    """Whether words of class, id and role mark what is no main text, articles in it included."""
+    return any(OTHER_TEXTS.fullmatch(p) for p in re.split(r"[-_\s]+", marks))
 
 
 def _holds(outer: str, name: str) -> bool:
@@ -465,6 +549,8 @@ def _holds(outer: str, name: str) -> bool:
 
 def _implied(stack: list[tuple[str, bool, bool, int]], name: str) -> None:
     """Elements whose end may be left out end where one opens that they cannot hold."""
+    if stack and stack[-1][0] == "head" and name not in VOID:
+        stack.pop()
     found = len(stack)
     for depth in range(len(stack) - 1, -1, -1):
         outer = stack[depth][0]
@@ -584,8 +670,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known.clear()
                 loaded = [[load(d) for d in w] for w in json.loads(wrapper)]
                 known[wrapper] = [(w, {n.sign() for n in w}) for w in loaded]
-            literals = nearest(known[wrapper], own_wrapper(read)) if wrapper and known[wrapper] else set()
-            texts.append(main_text(read, literals))
+            kept = outline(read)
+            literals: set[int] = set()
+            if wrapper and known[wrapper]:
+                inside = {k for k, article in kept if article}
+                literals = nearest(known[wrapper], own_wrapper(read, kept), inside)
+            texts.append(main_text(read, literals, kept))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"]
         )

@@ -35,7 +35,7 @@ def text(page, literals=()):
         ("<article><header><h1>T</h1></header><p>x<script>var a='</p>'</script>y</p><aside>no</aside></article>", "T xy"),
         ("<article>a<!-- x > y -->b<div class='share-bar ad'>no</div><p>c &amp; d&nbsp;&eacute;</article>z", "ab c & d é"),
         ("<article>text<section id=comments><p>nice!</p></section></article>", "text"),
-        ("<div class=sidebar>s</div><div><p>long text here</p><p>more</p></div><div>x</div>", "long text here more"),
+        ("<div class=sidebar>s</div><div><p>long text here</p><p>more</p></div><div>x</div>", "long text here more x"),
         ("<article>1 < 2 <p title=\"a > b\">q</p><form><input><p>no</form></article>", "1 < 2 q"),
         ("<ARTICLE>Up<BR>down</ARTICLE>", "Up down"),
         ("no markup at all", "no markup at all"),
@@ -86,6 +86,51 @@ def test_articles_over_several_containers(page, expected):
     assert text(page) == expected
 
 
+ARTICLE = "<article><h1>Title</h1><p>The whole story.</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ('<article class="post comments-open category-alert"><p>all</p></article>', "all"),
+        (f'<div class="content has-sidebar">{ARTICLE}</div>', "Title The whole story."),
+        (f'<div class="page-header-fixed">{ARTICLE}</div>', "Title The whole story."),
+        (f'<div class="banner-layout menu-page">{ARTICLE}</div><div class=x>other</div>', "Title The whole story."),
+        (f"<form id=f><nav>n</nav>{ARTICLE}<input></form>", "Title The whole story."),
+        ("<form><header>h</header><div><p>no article element</p></div></form>", "no article element"),
+        (f"<head><title>x</title><meta name=a><body>{ARTICLE}", "Title The whole story."),
+        ("<head><title>x</title><div>text</div>", "text"),
+        (f"<body><nav><ul><li>one<li>two</ul>{ARTICLE}</body>", "Title The whole story."),
+        ("<body><nav><ul><li>one</ul><div><p>a</p><p>b</p></div></body>", "a b"),
+        ("<article><div class='article-header'><h1>Title</h1></div><p>x</p></article>", "Title x"),
+        ("<div class='article-header'><h1>Title</h1></div><div class=site-header>s</div><p>x</p>", "Title x"),
+        (
+            "<div>Intro line one here of the story.</div><div><p>long long long long long long long</p></div><div>An end.</div>",
+            "Intro line one here of the story. long long long long long long long An end.",
+        ),
+        ("<div class='side-by-side'>a</div><div class='left-side'>b</div><div class='search-results'>c</div>", "a c"),
+        ("<div>text</div><div class=related-posts><article>teaser</article></div>", "text"),
+        ("<p>text</p><ol class=comment-list><li><article class=comment-body>nice</article></ol>", "text"),
+        (f"{ARTICLE}<article class='comment' id=comment-5>nice</article>", "Title The whole story."),
+        ("<article>text<section id=comments><p>nice, and the page ends here", "text"),
+        ("<p>text<form><p>Name</p><input></form>", "text"),
+    ],
+)
+def test_marks_around_articles(page, expected):
+    assert text(page) == expected
+
+
+@pytest.mark.parametrize(("pages", "kept"), [(5, True), (6, False)])
+def test_texts_of_articles_are_literals_on_more_pages(pages, kept):
+    page = "<body><div>Site</div><article><p>A series of ours.</p><p>part {}</p></article></body>"
+    known = wrapper([page.format(i) for i in range(pages)])
+    read = html_main.tokens(page.format(1))
+    inside = {k for k, article in html_main.outline(read) if article}
+    found = html_main.nearest([(known, set())], html_main.own_wrapper(read), inside)
+    assert html_main.main_text(read, found) == ("A series of ours. part 1" if kept else "part 1")
+    assert "Site" in {read[k].text for k in found}
+
+
 def wrapper(pages):
     return html_main.merge([html_main.own_wrapper(html_main.tokens(p)) for p in pages])
 

@@ -3,26 +3,35 @@
 A rule names a host and the beginning of a path; it fits the host, all its subdomains and
 all paths that begin so. Of several that fit the longest decides. URLs that no rule fits
 are judged by boosted trees over features of the text alone: lengths, depth, share of
-digits, entropy, counts of parameters, hyphens and dots, and how the suffixes of the host
-(its last one, two and three labels) fared among the labelled URLs.
+digits, entropy, counts of parameters, hyphens and dots, how the suffixes of the host
+(its last one, two and three labels) fared among the labelled URLs, and those of the
+words and word pieces of the host that tell the labels apart best.
+
+What the trees learn from says nothing of a row's own label: the shares of its suffixes
+are counted over other hosts only, so a suffix of one host has the prior and no weight,
+as one that was never seen has when a new URL is judged.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import HashingTF, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylens.llm.tables import ascii_lower, fresh, stored
 
 TRAIN = 20_000  # labelled URLs that the trees are grown from at most
 PRIOR = 20.0  # labelled URLs that a suffix's own statistics must outweigh
+FOLDS = 10  # groups of hosts; the shares that a URL is learned with come from the other groups
+BUCKETS = 1 << 14  # hashed words and word pieces of hosts
+CHOSEN = 64  # those of them, by their chi-squared statistics, that the trees look at
+PIECE = 4  # letters of a word piece
 
 
 @dataclass(frozen=True)
@@ -119,47 +128,79 @@ def suffix(host_col: Column, n: int) -> Column:
     return F.substring_index(host_col, ".", -n)
 
 
+def spellings(host_col: Column) -> Column:
+    """The words of a host that have three letters or more, and their pieces of four letters."""
+    found = F.filter(F.split(host_col, "[^a-z]+"), lambda w: F.length(w) >= 3)
+    long = F.filter(found, lambda w: F.length(w) > PIECE)
+    cut = F.transform(
+        long, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - PIECE + 1), lambda k: F.substr(w, k, F.lit(PIECE)))
+    )
+    # a piece is told from a word by its mark
+    return F.array_distinct(F.concat(found, F.transform(F.flatten(cut), lambda c: F.concat(F.lit("~"), c))))
+
+
 @dataclass
 class Model:
-    """Trees, and the share of blocked URLs per suffix as a stored table."""
+    """Trees, the chosen spellings, and the share of blocked URLs per suffix as a stored table."""
 
     trees: object
+    selector: object
     suffixes: DataFrame
     prior: float
-    columns: list[str] = field(default_factory=list)
 
 
-def _with_features(urls: DataFrame, suffixes: DataFrame, prior: float, url_col: str, names: dict[str, str]) -> DataFrame:
-    """Add the features under the given names."""
+def _with_features(urls: DataFrame, shares: DataFrame, prior: float, url_col: str, names: dict[str, str]) -> DataFrame:
+    """Add the features under the given names; shares per fold go to the URLs of that fold."""
     out = urls
     u = F.col(f"`{url_col}`")
+    by_fold = "fold" in shares.columns
     for name, column in lexical(u).items():
         out = out.withColumn(names[name], column.cast("double"))
+    if by_fold:
+        out = out.withColumn(names["fold"], _fold(host(u)))
     for n in SUFFIXES:
-        shares = suffixes.where(F.col("labels") == n).select(
+        own = shares.where(F.col("labels") == n).select(
             F.col("suffix").alias(names[f"key{n}"]),
+            *([F.col("fold").alias(names["fold"])] if by_fold else []),
             F.col("share").alias(names[f"share{n}"]),
             F.col("weight").alias(names[f"weight{n}"]),
         )
-        out = out.withColumn(names[f"key{n}"], suffix(host(u), n)).join(shares, names[f"key{n}"], "left")
+        keys = [names[f"key{n}"], *([names["fold"]] if by_fold else [])]
+        out = out.withColumn(names[f"key{n}"], suffix(host(u), n)).join(own, keys, "left")
         out = out.fillna({names[f"share{n}"]: prior, names[f"weight{n}"]: 0.0})
-    return out
+    out = out.withColumn(names["spellings"], spellings(host(u)))
+    hashing = HashingTF(numFeatures=BUCKETS, binary=True, inputCol=names["spellings"], outputCol=names["hashed"])
+    return hashing.transform(out)
 
 
 def _names(df: DataFrame) -> dict[str, str]:
     wanted = [*lexical(F.lit("")), *[f"{k}{n}" for n in SUFFIXES for k in ("key", "share", "weight")]]
-    return {w: fresh(df, f"_{w}") for w in wanted}
+    return {w: fresh(df, f"_{w}") for w in [*wanted, "fold", "spellings", "hashed", "chosen"]}
 
 
 def _inputs(names: dict[str, str]) -> list[str]:
-    return [v for k, v in names.items() if not k.startswith("key")]
+    numbers = [*lexical(F.lit("")), *[f"{k}{n}" for n in SUFFIXES for k in ("share", "weight")]]
+    return [names[w] for w in [*numbers, "chosen"]]
+
+
+def _fold(host_col: Column) -> Column:
+    return F.pmod(F.xxhash64(host_col), F.lit(FOLDS))
+
+
+def _share(n: Column, bad: Column, prior: float) -> list[Column]:
+    """The smoothed share of blocked URLs among some, and how much there is behind it."""
+    return [
+        ((bad + PRIOR * prior) / (n + PRIOR)).alias("share"),
+        F.log1p(n.cast("double")).alias("weight"),
+    ]
 
 
 def fit(labelled: DataFrame, train: int = TRAIN, rounds: int = 20, depth: int = 4) -> Model | None:
     """Grow trees from (url, blocked); None if there is but one kind of label.
 
     Suffix statistics come from all labelled URLs. The trees are grown from at most
-    ``train`` of them, those with the smallest hash of the URL. NULL labels are not used.
+    ``train`` of them, those with the smallest hash of the URL, each with the statistics of
+    the other folds of hosts. NULL labels are not used.
     """
     labelled = labelled.where(F.col("blocked").isNotNull()).select("url", F.col("blocked").cast("double").alias("blocked"))
     h = host(F.col("url"))
@@ -168,26 +209,34 @@ def fit(labelled: DataFrame, train: int = TRAIN, rounds: int = 20, depth: int =
     if not totals["n"] or totals["bad"] in (0.0, float(totals["n"])):
         return None
     prior = totals["bad"] / totals["n"]
-    suffixes = (
-        counted.select("blocked", F.explode("parts").alias("part"))
-        .groupBy("part.labels", "part.suffix")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("bad"))
-        .select(
-            "labels",
-            "suffix",
-            ((F.col("bad") + PRIOR * prior) / (F.col("n") + PRIOR)).alias("share"),
-            F.log1p(F.col("n").cast("double")).alias("weight"),
-        )
+    counts = stored(
+        counted.select("blocked", _fold(h).alias("fold"), F.explode("parts").alias("part"))
+        .groupBy("part.labels", "part.suffix", "fold")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("bad")),
+        "suffix-counts",
+    )
+    whole = counts.groupBy("labels", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    suffixes = stored(whole.select("labels", "suffix", *_share(F.col("n"), F.col("bad"), prior)), "suffixes")
+    # at most a row per fold in each window
+    every = Window.partitionBy("labels", "suffix")
+    others = counts.select(
+        "labels", "suffix", "fold",
+        *_share(F.sum("n").over(every) - F.col("n"), F.sum("bad").over(every) - F.col("bad"), prior),
     )
-    suffixes = stored(suffixes, "suffixes")
     sample = stored(labelled.orderBy(F.xxhash64("url"), "url", "blocked").limit(train), "urls")
     names = _names(sample)
-    prepared = _with_features(sample, suffixes, prior, "url", names)
+    prepared = _with_features(sample, others, prior, "url", names)
+    kept = stored(prepared.select("blocked", *[F.col(c) for c in _inputs(names)[:-1]], names["hashed"]), "features")
+    selector = UnivariateFeatureSelector(
+        featuresCol=names["hashed"], outputCol=names["chosen"], labelCol="blocked", selectionMode="numTopFeatures"
+    )
+    selector = selector.setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(CHOSEN).fit(kept)
     vector = VectorAssembler(inputCols=_inputs(names), outputCol="_features")
+    ready = vector.transform(selector.transform(kept)).select("blocked", "_features")
     grown = GBTClassifier(
         featuresCol="_features", labelCol="blocked", maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=7
-    ).fit(vector.transform(stored(prepared, "features")))
-    return Model(grown, suffixes, prior)
+    ).fit(ready)
+    return Model(grown, selector, suffixes, prior)
 
 
 def judge(
@@ -212,7 +261,9 @@ def judge(
         names = _names(judged)
         vector, scored = fresh(judged, "_features"), fresh(judged, "_scored")
         prepared = _with_features(judged, model.suffixes, model.prior, url_col, names)
-        prepared = VectorAssembler(inputCols=_inputs(names), outputCol=vector).transform(prepared)
+        selector = model.selector.copy()
+        selector.setFeaturesCol(names["hashed"]).setOutputCol(names["chosen"])
+        prepared = VectorAssembler(inputCols=_inputs(names), outputCol=vector).transform(selector.transform(prepared))
         trees = model.trees.copy()
         trees.setFeaturesCol(vector).setProbabilityCol(scored)
         trees.setRawPredictionCol(fresh(judged, "_raw")).setPredictionCol(fresh(judged, "_prediction"))
@@ -233,14 +284,13 @@ def judge(
 
 
 def labels(pages: DataFrame, rules: Sequence[Rule] = RULES, url_col: str = "url") -> DataFrame:
-    """(url, blocked): URLs labelled by the rules and by unwanted words in the host.
+    """(url, blocked): URLs labelled by unwanted words in the host.
 
-    A URL is blocked if its rule or such a word says so; those in use that neither speaks
-    against count as allowed. URLs without a host are not labelled.
+    Those in use that have no such word count as allowed. URLs without a host are not
+    labelled, nor are those that a rule fits: the trees never judge them.
     """
     u = F.col(f"`{url_col}`")
     h = host(u)
     unwanted = h.rlike("|".join(re.escape(w) for w in UNWANTED))
-    verdict = decide(h, path(u), rules)["verdict"]
-    blocked = F.when(verdict.isNotNull(), verdict == "block").otherwise(unwanted)
-    return pages.where(h != "").select(u.alias("url"), blocked.cast("int").alias("blocked"))
+    free = (h != "") & decide(h, path(u), rules).isNull()
+    return pages.where(free).select(u.alias("url"), unwanted.cast("int").alias("blocked"))

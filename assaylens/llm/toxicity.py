@@ -10,8 +10,12 @@ curve.
 The lexicon is learned from labelled documents. To be a candidate, a word or a beginning
 must stand in many different contexts of toxic documents, so the words of a text that was
 copied many times are none; it is kept if toxic documents have it far more often than
-others. The fit reads at most ``sample`` labelled documents (those with the smallest
-hash of their id); scoring reads everything.
+others, or have it so often (one word in a hundred) as others seldom do. The second way
+finds the stems of languages whose harmless words begin alike now and then. Either must
+hold in both halves of the documents, where equal texts fall into the same half. The fit
+reads at most ``sample`` labelled documents (those with the smallest hash of their id), of
+which it looks at the ``CANDIDATES`` terms of most contexts and keeps ``TERMS``; scoring
+reads everything.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ SAMPLE = 12_000  # labelled documents that a fit reads at most
 CANDIDATES = 20_000  # candidate terms at most
 TERMS = 2_000  # terms of a lexicon at most
 MIN_CONTEXTS = 5
+RATE = 0.01  # of its words a document must have of a term to have it often
 MIN_STEM, MAX_STEM, MIN_WORD = 4, 10, 3
 
 # fixed values: common insults, for corpora without labels
@@ -157,10 +162,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ws = fold(text.as_py()).split()
             for before, word, after in zip(["", *ws[:-1]], ws, [*ws[1:], ""], strict=True):
                 context = hash_context(before, after)
-                for n in range(MIN_STEM, min(MAX_STEM, len(word)) + 1):
-                    seen[f" {word[:n]}"].add(context)
-                if len(word) >= MIN_WORD:
-                    seen[f" {word} "].add(context)
+                for form in _forms(word):
+                    seen[form].add(context)
         terms = [t for t, c in seen.items() for _ in c]
         contexts = [c for cs in seen.values() for c in cs]
         yield pa.RecordBatch.from_arrays(
@@ -173,43 +176,75 @@ def hash_context(before: str, after: str) -> int:
     return xxhash.xxh64_intdigest(f"{before} {after}") >> 1
 
 
+def _forms(word: str) -> Iterator[str]:
+    """The terms that a word has: itself and its beginnings."""
+    if len(word) >= MIN_WORD:
+        yield f" {word} "
+    for n in range(MIN_STEM, min(MAX_STEM, len(word)) + 1):
+        yield f" {word[:n]}"
+
+
 def _document_terms(candidates: set[str]):
+    """How many documents have each candidate, and have it often, by label and half."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter[tuple[str, int]] = Counter()
+            has: Counter[tuple[str, int, int]] = Counter()
+            often: Counter[tuple[str, int, int]] = Counter()
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                ws = set(fold(text.as_py()).split())
-                own = {f" {w} " for w in ws}
-                own |= {f" {w[:n]}" for w in ws for n in range(MIN_STEM, min(MAX_STEM, len(w)) + 1)}
-                counts.update((t, toxic) for t in own & candidates)
+                ws = Counter(fold(text.as_py()).split())
+                half = xxhash.xxh64_intdigest(text.as_py() or "") % 2
+                own: Counter[str] = Counter()
+                for w, n in ws.items():
+                    for form in _forms(w):
+                        if form in candidates:
+                            own[form] += n
+                least = RATE * ws.total()
+                has.update((t, toxic, half) for t in own)
+                often.update((t, toxic, half) for t, n in own.items() if n >= least)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([t for t, _ in counts], pa.string()),
-                    pa.array([y for _, y in counts], pa.int32()),
-                    pa.array(list(counts.values()), pa.int64()),
+                    pa.array([t for t, _, _ in has], pa.string()),
+                    pa.array([y for _, y, _ in has], pa.int32()),
+                    pa.array([h for _, _, h in has], pa.int32()),
+                    pa.array(list(has.values()), pa.int64()),
+                    pa.array([often[k] for k in has], pa.int64()),
                 ],
-                names=["term", "toxic", "n"],
+                names=["term", "toxic", "half", "n", "often"],
             )
 
     return run
 
 
-def choose_terms(stats: dict[str, tuple[int, int]], contexts: dict[str, int], toxic: int, other: int) -> dict[str, float]:
-    """Terms with weights from document counts (in toxic, in other) and context counts."""
+def _odds(t: float, o: float, toxic: int, other: int) -> float:
+    return math.log((t + 0.5) / (toxic + 1)) - math.log((o + 0.5) / (other + 1))
+
+
+def choose_terms(stats: dict[str, np.ndarray], contexts: dict[str, int], toxic: int, other: int) -> dict[str, float]:
+    """Terms with weights from context counts and document counts.
+
+    The counts of a term are indexed by whether documents have it (0) or have it often
+    (1), by half, and by label (0 toxic, 1 other).
+    """
     kept: dict[str, float] = {}
     prior = toxic / max(1, toxic + other)
     # beyond what the luckiest of so many unrelated terms would show
     least = 2 * (math.log(max(1, len(stats))) + 3)
-    for term, (t, o) in stats.items():
-        support = min(t, contexts.get(term, 0))
-        if support < MIN_CONTEXTS or not 0 < prior < 1:
-            continue
-        odds = math.log((t + 0.5) / (toxic + 1)) - math.log((o + 0.5) / (other + 1))
-        # surprise of that many toxic documents, were the term unrelated to the label
-        share = t / (t + o)
-        surprise = 2 * support * math.log(share / prior) if share > prior else 0.0
-        if odds > 2.0 and share >= 0.8 and surprise > least:
-            kept[term] = odds
+    for term, counts in stats.items():
+        for halves, pure in zip(counts, (0.8, 0.6), strict=True):
+            t, o = halves.sum(axis=0)
+            support = min(t, contexts.get(term, 0))
+            if support < MIN_CONTEXTS or not 0 < prior < 1:
+                continue
+            odds = _odds(t, o, toxic, other)
+            # surprise of that many toxic documents, were the term unrelated to the label
+            share = t / (t + o)
+            surprise = 2 * support * math.log(share / prior) if share > prior else 0.0
+            both = all(a and a / (a + b) >= 0.5 for a, b in halves)
+            if odds > 2.0 and share >= pure and surprise > least and both:
+                kept[term] = odds
+                break
+    number = {t: int(c[0, :, 0].sum()) for t, c in stats.items()}
     chosen: dict[str, float] = {}
     for term in sorted(kept, key=lambda x: (len(x.strip()), x)):
         stem = term.rstrip()
@@ -219,12 +254,12 @@ def choose_terms(stats: dict[str, tuple[int, int]], contexts: dict[str, int], to
         form = term
         while not form.endswith(" "):
             longer = [x for x in kept if len(x) == len(form) + 1 and x.startswith(form)]
-            best = max(longer, key=lambda x: stats[x][0], default=None)
-            if best is None or stats[best][0] < 0.9 * stats[form][0]:
+            best = max(longer, key=lambda x: number[x], default=None)
+            if best is None or number[best] < 0.9 * number[form]:
                 break
             form = best
         chosen[form] = kept[form]
-    top = sorted(chosen, key=lambda x: (-chosen[x] * stats[x][0], x))[:TERMS]
+    top = sorted(chosen, key=lambda x: (-chosen[x] * number[x], x))[:TERMS]
     largest = max((chosen[x] for x in top), default=1.0)
     return {x: chosen[x] / largest for x in top}
 
@@ -288,15 +323,15 @@ def fit(
     )
     contexts = {r["term"]: r["n"] for r in spread.collect()}
     found = (
-        texts.mapInArrow(_document_terms(set(contexts)), "term string, toxic int, n bigint")
-        .groupBy("term", "toxic")
-        .agg(F.sum("n").alias("n"))
+        texts.mapInArrow(_document_terms(set(contexts)), "term string, toxic int, half int, n bigint, often bigint")
+        .groupBy("term", "toxic", "half")
+        .agg(F.sum("n").alias("n"), F.sum("often").alias("often"))
         .collect()
     )
-    stats = {t: [0, 0] for t in contexts}
+    stats = {t: np.zeros((2, 2, 2)) for t in contexts}
     for r in found:
-        stats[r["term"]][0 if r["toxic"] == 1 else 1] += r["n"]
-    terms = choose_terms({t: tuple(v) for t, v in stats.items()}, contexts, toxic, other)
+        stats[r["term"]][:, r["half"], 0 if r["toxic"] == 1 else 1] += (r["n"], r["often"])
+    terms = choose_terms(stats, contexts, toxic, other)
     if not terms:
         return default_model()
     model = Model(terms, tuple(exceptions))

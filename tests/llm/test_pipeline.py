@@ -18,7 +18,7 @@ def test_stages_and_registration():
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash", "decontamination", "packing"]
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    assert [n.split("_")[0] for n in entry.queries() if n.startswith("op")] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in entry.queries() if n.startswith("op")] == [f"op{k}" for k in range(1, 14)]
     assert "pipeline" not in entry.oracle_sql()
 
 

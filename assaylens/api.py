@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -18,6 +19,7 @@ from assaylens.sinks.formats import write_result
 from assaylens.sources.catalogue import KEY, ROW, TableStore
 
 SAMPLE = ["accession", "assay_name", "sample_name"]
+FEW = 8  # tables that are joined one by one
 SAMPLE_SUBSET = "sample name"  # the flag of files whose columns, or whose index, are samples
 
 
@@ -175,21 +177,25 @@ class Repository:
         if not first:
             raise DataError("the selected files are not stored; store them before asking for their data")
         index = index or next(iter(sorted(first.values())))
+        of_file = defaultdict(list)
+        for r in wanted:
+            of_file[tuple(r[k] for k in KEY)].append(r)
         parts, owner = [], {}
         for key in sorted(first):
             columns = [F.col(f"`{first[key]}`").alias(index)]
-            for r in wanted:
-                if tuple(r[k] for k in KEY) == key:
-                    full = "/".join((*key[:2], r["harmonised"]))
-                    if full in owner:
-                        raise DataError(f"{owner[full]} and {key[2]} both have the column {full}; select one file")
-                    owner[full] = key[2]
-                    columns.append(F.col(f"`{r['name']}`").alias(full))
+            for r in of_file[key]:
+                full = "/".join((*key[:2], r["harmonised"]))
+                if full in owner:
+                    raise DataError(f"{owner[full]} and {key[2]} both have the column {full}; select one file")
+                owner[full] = key[2]
+                columns.append(F.col(f"`{r['name']}`").alias(full))
             part = self.tables.read(*key).select(*columns, ROW)
             parts.append(self._matched_index(part, index, known, key) if key in by_index else part)
         if len(parts) == 1:
             return parts[0], index
-        return tables.outer_join([part.drop(ROW) for part in parts], index), index
+        # a plan of a few joins reads single columns; one of hundreds takes longer to make than to run
+        join = tables.outer_join if len(parts) <= FEW else tables.outer_join_many
+        return join([part.drop(ROW) for part in parts], index), index
 
     @staticmethod
     def _matched_index(part: DataFrame, index: str, known: DataFrame, key: tuple[str, ...]) -> DataFrame:

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from assaylens.errors import DataError, QueryError
 from assaylens.operators.order import natural_order
@@ -138,20 +139,98 @@ def outer_join(tables: Sequence[DataFrame], index: str, unique: bool = False) ->
     which saves the removal of duplicates.
     """
     check_same_index(tables, index)
-    cleaned = list(tables) if unique else [t.distinct() for t in tables]
+    return _chain(list(tables) if unique else [t.distinct() for t in tables], index)
+
+
+def _chain(tables: Sequence[DataFrame], index: str) -> DataFrame:
+    """The full outer join of tables without duplicate rows, one after another."""
     if len(tables) == 1:
-        return cleaned[0]
+        return tables[0]
     presence = index_presence(tables, index)
     completed = [
         _with_home(table, index, i).unionByName(
             presence.filter(~F.array_contains("present", i)).drop("present"),
             allowMissingColumns=True,
         )
-        for i, table in enumerate(cleaned)
+        for i, table in enumerate(tables)
     ]
     return reduce(lambda a, b: join_back(a, b, [index, "_home"]), completed).drop("_home")
 
 
+def repeating_tables(tables: Sequence[DataFrame], index: str) -> list[int]:
+    """Numbers of the tables in which an index value stands in more than one row.
+
+    One job that reads the indices alone and counts them before the shuffle; at most
+    one number per table reaches the driver.
+    """
+    keys = _union([t.select(F.col(f"`{index}`"), F.lit(i).alias("_table")) for i, t in enumerate(tables)])
+    counted = keys.groupBy(f"`{index}`", "_table").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r["_table"] for r in counted.filter("n > 1").select("_table").distinct().collect())
+
+
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    """The rows of frames of one schema; halves are joined, as each step analyses what is below it."""
+    if len(frames) == 1:
+        return frames[0]
+    middle = len(frames) // 2
+    return _union(frames[:middle]).union(_union(frames[middle:]))
+
+
+def _side_by_side(tables: Sequence[DataFrame], index: str) -> DataFrame:
+    """Full outer join of tables that have each index value once, in one shuffle.
+
+    Rows of all tables become one kind of row: the index, the number of the table and
+    an array of its cells for each type of cell. A group holds at most one row per table,
+    which is one row of the result, so no group is larger than that. A value that a table
+    repeats after all is an error of the job.
+    """
+    kinds = list(dict.fromkeys(f.dataType for t in tables for f in t.schema if f.name != index))
+    tagged, places = [], []
+    for i, table in enumerate(tables):
+        own: list[list[str]] = [[] for _ in kinds]
+        for f in table.schema:
+            if f.name != index:
+                at = kinds.index(f.dataType)
+                places.append((f.name, i, at, len(own[at])))
+                own[at].append(f.name)
+        cells = [
+            F.array(*[F.col(f"`{c}`") for c in names]).cast(ArrayType(kind)).alias(f"_cells{k}")
+            for k, (kind, names) in enumerate(zip(kinds, own))
+        ]
+        keyed = _with_home(table, index, i)
+        tagged.append(keyed.select(F.col(f"`{index}`"), "_home", F.lit(i).alias("_table"), F.struct(*cells).alias("_row")))
+    rows = F.map_from_entries(F.collect_list(F.struct("_table", "_row")))
+    grouped = _union(tagged).groupBy(f"`{index}`", "_home").agg(rows.alias("_by"))
+    # a table's row is looked up once, then its cells are read by place; read twice, the
+    # map is not built again for every table
+    numbers = F.sequence(F.lit(0), F.lit(len(tables) - 1))
+    looked_up = F.when(F.col("_by").isNotNull(), F.transform(numbers, lambda i: F.col("_by")[i]))
+    placed = grouped.select(F.col(f"`{index}`"), looked_up.alias("_rows"))
+    return placed.select(
+        F.col(f"`{index}`"),
+        *[F.get(F.get("_rows", F.lit(i))[f"_cells{at}"], F.lit(k)).alias(name) for name, i, at, k in places],
+    )
+
+
+def outer_join_many(tables: Sequence[DataFrame], index: str, unique: bool = False) -> DataFrame:
+    """The rows and columns of ``outer_join``, for many tables.
+
+    Tables that have each index value once are put side by side in one shuffle, however
+    many there are. Only those that repeat a value, which multiplies rows, are joined one by
+    one, so that a hot value can be split; which ones these are takes one job over the
+    indices. ``unique`` says that no table repeats a value and saves that job. Select
+    the columns before: all columns of the tables take part in the shuffle.
+    """
+    check_same_index(tables, index)
+    repeating = [] if unique else repeating_tables(tables, index)
+    single = [t for i, t in enumerate(tables) if i not in set(repeating)]
+    parts = [tables[i].distinct() for i in repeating]
+    if single:
+        parts.insert(0, _side_by_side(single, index) if len(single) > 1 else single[0])
+    order = [index, *[c for t in tables for c in t.columns if c != index]]
+    return _chain(parts, index).select(*[F.col(f"`{c}`") for c in order])
+
+
 def natural_join(parts: Sequence[DataFrame], index: str) -> DataFrame:
     """Inner join of the vertical parts of one table on their index."""
     check_same_index(parts, index)

@@ -92,6 +92,36 @@ def j1(spark, sf_dir):
     return _joined(spark, sf_dir)
 
 
+_LINES = range(1, 8)
+_LINE_TABLES = ", ".join(
+    f"t{k} AS (SELECT DISTINCT l_orderkey, l_quantity AS quantity{k}, l_returnflag AS flag{k} "
+    f"FROM lineitem WHERE l_linenumber = {k})"
+    for k in _LINES
+)
+_LINE_COLUMNS = ", ".join(f"quantity{k}, flag{k}" for k in _LINES)
+_LINE_JOINS = " ".join(f"LEFT JOIN t{k} ON t{k}.l_orderkey = o.l_orderkey" for k in _LINES)
+
+
+@query(
+    "j1_many_tables",
+    f"""WITH o AS (SELECT DISTINCT l_orderkey FROM lineitem), {_LINE_TABLES},
+            r AS (SELECT DISTINCT l_orderkey, l_partkey AS returned FROM lineitem WHERE l_returnflag = 'R')
+        SELECT o.l_orderkey, {_LINE_COLUMNS}, returned
+        FROM o {_LINE_JOINS} LEFT JOIN r ON r.l_orderkey = o.l_orderkey""",
+)
+def j1_many(spark, sf_dir):
+    """A table for each line of an order and one of all returned parts, which repeats orders."""
+    lines = fx.table(spark, sf_dir, "lineitem")
+    parts = [
+        lines.filter(F.col("l_linenumber") == k).select(
+            "l_orderkey", F.col("l_quantity").alias(f"quantity{k}"), F.col("l_returnflag").alias(f"flag{k}")
+        )
+        for k in _LINES
+    ]
+    returned = lines.filter("l_returnflag = 'R'").select("l_orderkey", F.col("l_partkey").alias("returned"))
+    return tables.outer_join_many([*parts, returned], "l_orderkey")
+
+
 POOLED = [
     (f"GLDS-{a}", b, f"NATION_{n}") for a in (1, 2, 3) for b in ("f", "o") for n in range(25)
 ]

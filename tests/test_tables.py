@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assaylens.errors import DataError, QueryError
 from assaylens.operators import profile, tables
 from assaylens.operators.predicates import compare
+from assaylens.session import scratch_path
 
 
 def frame(spark, index, columns, rows):
@@ -54,6 +55,50 @@ def test_outer_join_matches_brute_force(spark):
     assert set(got) == brute_force_outer_join(made, (1, 2, 1))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_many_tables_match_brute_force(spark, seed):
+    """Some tables repeat index values, some do not; cells are numbers and texts."""
+    rng = random.Random(seed)
+    keys = ["a", "b", "c", "d", "e"]
+    made, frames = [], []
+    for i in range(7):
+        chosen = [rng.choice(keys) for _ in range(8)] if i in (1, 4) else rng.sample(keys, rng.randint(0, 5))
+        chosen += [None] if i % 3 == 0 else []
+        rows = [(k, rng.choice([1.0, 2.0]), rng.choice(["x", None])) for k in chosen]
+        made.append(rows)
+        frames.append(spark.createDataFrame(rows, f"k string, n{i} double, `s.{i}` string"))
+    assert tables.repeating_tables(frames, "k") == [i for i, rows in enumerate(made) if len({r[0] for r in rows}) < len(rows)]
+    joined = tables.outer_join_many(frames, "k")
+    assert joined.columns == ["k", *[c for i in range(7) for c in (f"n{i}", f"s.{i}")]]
+    got = [tuple(r) for r in joined.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == brute_force_outer_join(made, (2,) * 7)
+
+
+def test_two_hundred_tables_in_one_shuffle(spark):
+    rng = random.Random(4)
+    made = [{f"g{g}": float(g * i) for g in rng.sample(range(30), 10)} for i in range(200)]
+    rows = spark.createDataFrame([(i, k, v) for i, t in enumerate(made) for k, v in t.items()], "t int, k string, v double")
+    path = scratch_path(spark, "many")
+    rows.write.partitionBy("t").parquet(path)
+    frames = [spark.read.schema("k string, v double").parquet(f"{path}/t={i}").toDF("k", f"v{i}") for i in range(200)]
+    joined = tables.outer_join_many(frames, "k", unique=True)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = {r["k"]: tuple(r)[1:] for r in joined.collect()}
+    assert got == {f"g{g}": tuple(t.get(f"g{g}") for t in made) for g in range(30) if any(f"g{g}" in t for t in made)}
+
+
+def test_many_tables_never_lose_a_repeated_value(spark):
+    a = frame(spark, "k", ["x"], [("g", 1.0), ("g", 2.0)])
+    b = frame(spark, "k", ["y"], [("g", 5.0)])
+    with pytest.raises(PySparkException):
+        tables.outer_join_many([a, b], "k", unique=True).collect()
+    with pytest.raises(QueryError):
+        tables.outer_join_many([a, a], "k")
+    assert rows_of(tables.outer_join_many([a], "k")) == [("g", 1.0), ("g", 2.0)]
+
+
 def test_outer_join_multiplies_a_repeated_index_once_per_distinct_row(spark):
     a = frame(spark, "k", ["x"], [("g", 1.0), ("g", 1.0), ("g", 2.0), ("h", 3.0)])
     b = frame(spark, "k", ["y"], [("g", 5.0), ("g", 6.0), ("i", 7.0)])

@@ -31,6 +31,23 @@ def natural_key(text: Column) -> Column:
     return F.transform(runs, run_key)
 
 
+def collated_key(text: Column) -> Column:
+    """Sort key of a reader's order: digit runs compare as numbers, all else by Unicode collation.
+
+    Punctuation comes before digits and digits before letters; accents decide only between
+    texts that are the same without them, case only between those the same with them. A digit run
+    becomes its length and its digits, as in ``natural_key``, inside one text that is
+    compared as a whole.
+    """
+    runs = F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def run_key(run: Column) -> Column:
+        digits = F.ltrim(run, F.lit("0"))
+        return F.when(run.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 8, "0"), digits)).otherwise(run)
+
+    return F.collate(F.array_join(F.transform(runs, run_key), ""), "UNICODE")
+
+
 def dotted(name: Column) -> Column:
     """Replace ``.``, ``_`` and ``-`` by a dot, as R does with column names."""
     return F.regexp_replace(name, NAME_SEPARATORS, ".")

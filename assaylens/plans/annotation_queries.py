@@ -331,6 +331,22 @@ def o1(spark, sf_dir):
     return with_position(fx.samples(spark, sf_dir).select(*IDS), natural_order(IDS))
 
 
+_COLLATED = r"""icu_sort_key(coalesce(array_to_string(list_transform(regexp_extract_all(token, '[0-9]+|[^0-9]+'),
+    lambda r: CASE WHEN r[1] BETWEEN '0' AND '9'
+              THEN concat(lpad(CAST(length(ltrim(r, '0')) AS VARCHAR), 8, '0'), ltrim(r, '0')) ELSE r END), ''), ''), 'en_US')"""
+
+
+@query(
+    "o1_collated_order",
+    f"""SELECT token, CAST(row_number() OVER (ORDER BY {_COLLATED}, token) - 1 AS BIGINT) AS pos
+        FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \n]+')) AS token FROM documents)""",
+)
+def o1_collated(spark, sf_dir):
+    """All different words of the documents, accents and punctuation included, in a reader's order."""
+    tokens = fx.table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("token"))
+    return with_position(tokens.distinct(), natural_order(["token"], collated=True))
+
+
 @query(
     "o2_multi_column_order",
     f"""SELECT sample_name, tier, balance, CAST(row_number() OVER (ORDER BY

@@ -96,3 +96,13 @@ def test_fingerprint_ignores_order_but_not_repeats(spark):
     assert fingerprint(rows) == fingerprint(rows[::-1])
     assert fingerprint(rows) != fingerprint(rows + [("x", 1)])
     assert fingerprint(rows) != fingerprint([("x", 1), ("y", 0), ("z", 3)])
+
+
+def test_collated_order_is_a_readers_order(spark):
+    """Punctuation, digits by value, letters; accents after letters, case after accents."""
+    ordered = [
+        "", "_", "-a", "2", "10", "a", "A", "a b2", "a-b", "a1", "a02", "a10", "ab", "cote", "coté", "côte",
+        "e1", "é1", "E2", "é10", "z",
+    ]
+    df = spark.createDataFrame([(v,) for v in reversed(ordered)], "v string")
+    assert [r["v"] for r in df.orderBy(text.collated_key(F.col("v")), "v").collect()] == ordered

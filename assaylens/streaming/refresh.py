@@ -6,7 +6,7 @@ row that names it. The stream reads markers, so it never sees half a snapshot. A
 micro-batch compares the newest snapshot with the manifest, rebuilds the datasets
 that are new or changed, and writes
 
-* ``data/batch_id=N``: the rows of the rebuilt datasets, by accession,
+* ``data/batch_id=N``: the rows of the rebuilt datasets, sorted by accession,
 * ``report/batch_id=N``: the class of every dataset as the listings tell it,
 * ``status/batch_id=N``: what became of every dataset, and why some failed,
 * ``manifest/batch_id=N``: accession, fingerprint and the batch that holds its rows, and
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from assaylens.operators.refresh import classify, manifest
-from assaylens.sources.store import read_datasets, write_datasets
+from assaylens.sources.store import read_datasets, write_sorted
 
 MANIFEST_SCHEMA = "accession string, fingerprint string, data_batch bigint"
 MARKER_SCHEMA = "snapshot bigint, path string, unreachable string"
@@ -76,7 +76,7 @@ def read_manifest(spark: SparkSession, root: str, before: int | None = None) ->
 
 
 def read_store(spark: SparkSession, root: str) -> DataFrame:
-    """The current rows of all datasets; only folders of live accessions are read."""
+    """The current rows of all datasets; only batches that live datasets are in are read."""
     current = read_manifest(spark, root).select("accession", F.col("data_batch").alias("batch_id"))
     rows = read_datasets(spark, f"{root}/data")
     rows = rows.select("accession", *[c for c in rows.columns if c != "accession"])
@@ -144,10 +144,7 @@ def refresh_store(
     _statuses(classes, failures).write.mode("overwrite").parquet(status)
     broken = spark.read.parquet(status).filter(F.col("status") == "failed").select("accession")
     # a batch done again finds what it wrote before: the same rows, replaced as a whole
-    spread = rows.join(broken, "accession", "left_anti").hint("rebalance", "accession")
-    spread.sortWithinPartitions("accession").write.mode("overwrite").option(
-        "partitionOverwriteMode", "static"
-    ).partitionBy("accession").parquet(f"{root}/data/batch_id={batch_id}")
+    write_sorted(rows.join(broken, "accession", "left_anti"), f"{root}/data/batch_id={batch_id}")
     current = (
         classes.filter(F.col("class") != "dropped")
         .join(broken, "accession", "left_anti")
@@ -184,7 +181,7 @@ def compact(spark: SparkSession, root: str, batch_id: int) -> None:
     """
     earlier = _latest_batch(spark, root, before=batch_id)
     live = read_manifest(spark, root, before=batch_id)
-    write_datasets(read_store(spark, root), f"{root}/data/batch_id={batch_id}")
+    write_sorted(read_store(spark, root), f"{root}/data/batch_id={batch_id}")
     moved = live.withColumn("data_batch", F.lit(batch_id).cast("bigint"))
     moved.write.mode("overwrite").parquet(f"{root}/manifest/batch_id={batch_id}")
     pointer = spark.createDataFrame([(batch_id, earlier)], "batch bigint, previous bigint")

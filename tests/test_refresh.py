@@ -148,3 +148,12 @@ def test_a_batch_can_run_twice(spark, tmp_path):
         streaming.refresh_store(frames[1], 1, root, lambda rows: rows)
         assert sorted(map(tuple, streaming.read_store(spark, root).collect())) == sorted(SECOND)
         assert as_dict(streaming.read_report(spark, root, 1))["a"] == "fresh"
+
+
+def test_files_do_not_grow_with_the_number_of_datasets(spark, tmp_path):
+    root = tmp_path / "store"
+    listing = spark.range(3000).selectExpr("CAST(id AS STRING) AS accession", "'f' AS filename", "id AS ts")
+    streaming.refresh_store(listing, 0, str(root), lambda rows: rows)
+    assert len(list(root.glob("data/**/*.parquet"))) < 50
+    stored = streaming.read_store(spark, str(root))
+    assert dict(stored.dtypes)["accession"] == "string" and stored.count() == 3000

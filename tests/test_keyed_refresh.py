@@ -164,3 +164,11 @@ def test_a_batch_can_run_twice(spark, tmp_path):
     store.announce(a=1, b=1)
     store.build = good
     assert store.run() == set()
+
+
+def test_files_do_not_grow_with_the_number_of_datasets(spark, tmp_path):
+    store = Store(spark, tmp_path)
+    store.announce(**{f"d{n}": n for n in range(1000)})
+    assert len(store.run()) == 1000
+    assert len(list((tmp_path / "store" / "data").glob("**/*.parquet"))) < 50
+    assert store.current() == {f"d{n}": n for n in range(1000)}

@@ -263,8 +263,10 @@ def pivot_long(
 ) -> DataFrame:
     """Wide table from long rows, one column per listed name.
 
-    With a unique index there is one row per feature, combined before the shuffle; a
-    second value in a cell is an error of the job, never lost. With ``repeated`` a
+    With a unique index there is one row per feature. Long rows meet by feature before they
+    become wide ones: a task then holds the wide rows of its own features only, where
+    combining before the shuffle would hold nearly all features in every task. A second
+    value in a cell is an error of the job, never lost. With ``repeated`` a
     feature has as many rows as its fullest column has values: the first values of all
     columns stand in its first row, and so on, in ascending order.
     """
@@ -277,6 +279,7 @@ def pivot_long(
     again = F.raise_error(F.lit("an index value is repeated in a column; pivot with repeated=True"))
     if not repeated:
         cell = F.when(F.count(F.col(f"`{value}`")) > 1, again.cast(df.schema[value].dataType)).otherwise(cell)
+        df = df.repartition(*keys)
     wide = (
         df.groupBy(*keys)
         .pivot(f"`{name}`" if not name.isidentifier() else name, list(columns))

@@ -237,3 +237,11 @@ def test_shape(spark):
     assert tuple(profile.shape(df, ["k"]).first()) == (1, 2)
 
 
+
+
+def test_long_rows_meet_by_feature_before_they_are_wide(spark):
+    long = spark.createDataFrame([("x", "a", 1.0), ("x", "b", 2.0), ("y", "a", 3.0)], "f string, n string, v double")
+    wide = tables.pivot_long(long, "f", "n", "v", ["a", "b"])
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(f" in plan
+    assert sorted(map(tuple, wide.collect())) == [("x", 1.0, 2.0), ("y", 3.0, None)]

@@ -736,7 +736,10 @@ def _archive(key: int) -> bytes:
 
 def _archives_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"accession": batch["accession"], "content": [_archive(k) for k in batch["key"]]})
+        # some archives are large: a few are held at a time
+        for at in range(0, len(batch), 50):
+            some = batch.iloc[at : at + 50]
+            yield pd.DataFrame({"accession": some["accession"], "content": [_archive(k) for k in some["key"]]})
 
 
 def ingest_datasets(keys):

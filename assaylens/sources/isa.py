@@ -71,6 +71,7 @@ SAMPLE_NAME = "Sample Name"
 LINE_SCHEMA = "accession string, kind string, tab string, line_no bigint, cells array<string>"
 TAB = ("accession", "kind", "tab")
 _BATCH_LINES = 10_000
+_BATCH_CHARACTERS = 4 << 20  # of cells; the lines of a batch may be long
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -143,13 +144,15 @@ def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     try:
         for batch in batches:
             rows: list[tuple] = []
+            size = 0
             for accession, content in zip(batch["accession"], batch["content"]):
                 try:
                     for row in _archive_rows(accession, content):
                         rows.append(row)
-                        if len(rows) == _BATCH_LINES:
+                        size += sum(map(len, row[4]))
+                        if len(rows) == _BATCH_LINES or size > _BATCH_CHARACTERS:
                             yield pd.DataFrame(rows, columns=names)
-                            rows = []
+                            rows, size = [], 0
                 except csv.Error:
                     rows.append((accession, BROKEN, "quotes of a tab do not add up", 0, None))
                 except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, TypeError):

@@ -2,12 +2,13 @@ import io
 import random
 import zipfile
 
+import pandas as pd
 import pytest
 from compare import compare, connect
 from pyspark.sql import functions as F
 
 from assaylens.ingest import ingest, ingest_folder
-from assaylens.plans.ingest_queries import _INVESTIGATION
+from assaylens.plans.ingest_queries import _INVESTIGATION, _archives_of
 from assaylens.plans.registry import QUERIES, SQL
 from assaylens.sources import archives, isa
 
@@ -135,3 +136,16 @@ def test_member_of_zip_contents_is_unpacked_as_it_is_read(tmp_path):
 
     found = list(archives.records(Lines("a\tb\n" * 1000), 0, 40))
     assert [n for n, _ in found] == list(range(10)) and len(read) <= 12
+
+
+def test_batches_of_long_cells_are_bounded():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("s_x.txt", "Sample Name\n" + "m" * 400_000 + "\n")
+    frame = pd.DataFrame({"accession": [str(n) for n in range(40)], "content": [out.getvalue()] * 40})
+    found = list(isa._unzip(iter([frame])))
+    assert sum(map(len, found)) == 80
+    assert max(sum(len(c) for cells in f["cells"] for c in cells) for f in found) < 5 << 20
+    keys = pd.DataFrame({"accession": ["x"] * 600, "key": range(600)})
+    made = list(_archives_of(iter([keys])))
+    assert sum(map(len, made)) == 600 and max(map(len, made)) <= 50

@@ -1,6 +1,7 @@
 import io
 import random
 import zipfile
+import zlib
 
 import pandas as pd
 import pytest
@@ -149,3 +150,44 @@ def test_batches_of_long_cells_are_bounded():
     keys = pd.DataFrame({"accession": ["x"] * 600, "key": range(600)})
     made = list(_archives_of(iter([keys])))
     assert sum(map(len, made)) == 600 and max(map(len, made)) <= 50
+
+
+def test_a_large_member_is_unpacked_once(spark, tmp_path):
+    """A member of many ranges is one partition, whose blocks are dealt by range; the old ranges
+    each unpacked it from its start."""
+    text = "Sample Name\tValue\n" + "".join(f'"s\n{n}"\tv{n}\n' for n in range(3_000))
+    write(tmp_path, "big.zip", {"s_all.txt": text, "a_all.txt": "Sample Name\nx\n"})
+    reader = archives.ArchiveReader({"path": str(tmp_path), "rangeBytes": "1000", "members": "large"})
+    (partition,) = reader.partitions()
+    found = [r for batch in reader.read(partition) for r in batch.to_pylist()]
+    assert "".join(r["lines"] for r in found) == text
+    assert found[0]["slot"] == 0 and len({r["slot"] for r in found}) > 20
+    lines = archives.scan_archives(spark, str(tmp_path), 1_000).where("kind = 's'")
+    assert [r.line_no for r in lines.orderBy("line_no").collect()] == list(range(3_001))
+
+
+def test_one_archive_is_written_by_many_tasks(spark, tmp_path):
+    made = spark.range(20_000).select(
+        F.lit("A").alias("accession"), F.lit("s").alias("kind"), F.lit("t").alias("tab"), F.col("id").alias("line_no"),
+        F.array(F.concat(F.lit("row\n"), "id"), F.col("id").cast("string")).alias("cells"),
+    )
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        archives.write_archives(made, f"{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    with zipfile.ZipFile(tmp_path / "out" / "A.zip") as archive:
+        assert archive.testzip() is None
+        # each part was packed on its own
+        assert archive.read("s_t.txt").decode() == "".join(f'"row\n{n}"\t{n}\n' for n in range(20_000))
+        packed = (tmp_path / "out" / "A.zip").read_bytes()
+    assert packed.count(b"\x00\x00\xff\xff") >= 4
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["A.zip"]
+
+
+def test_checksum_of_parts():
+    texts = [b"", b"one", b"x" * 3_000_000, b"two"]
+    crc = 0
+    for text in texts:
+        crc = archives._joined_crc(crc, zlib.crc32(text), len(text))
+    assert crc == zlib.crc32(b"".join(texts))

@@ -15,7 +15,7 @@ are spelled. What is empty is left out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,20 +59,38 @@ def field_object(field: Column) -> Column:
     return _object(own)
 
 
-def row_document(fields: Column) -> Column:
-    """The document of a tab row: field -> subfield -> object, or field -> list of objects."""
-    key = lambda f: harmonised_key(f.getField("field"))
-    names = F.array_distinct(F.transform(fields, key))
+def branches(layout: Column) -> Column:
+    """(name, below, alone) for each key of the documents of a tab: the entries of its ``layout``
+    with a subfield, each as (key, entry), and those without one. It is worked out once per tab."""
+
+    def key(entry: Column) -> Column:
+        return harmonised_key(entry.getField("field"))
 
     def branch(name: Column) -> Column:
-        own = F.filter(fields, lambda f: key(f) == name)
-        below = F.filter(own, lambda f: f.getField("subfield").isNotNull())
-        named = _object(F.transform(below, lambda f: _entry(harmonised_key(f.getField("subfield")), field_object(f))))
-        return _entry(
-            name, F.when(F.size(below) > 0, named).otherwise(F.to_variant_object(F.transform(own, field_object)))
-        )
+        own = F.filter(layout, lambda e: key(e) == name)
+        below = F.filter(own, lambda e: e.getField("subfield").isNotNull())
+        named = F.transform(below, lambda e: F.struct(harmonised_key(e.getField("subfield")).alias("key"), e.alias("entry")))
+        return F.struct(name.alias("name"), named.alias("below"), own.alias("alone"))
+
+    return F.transform(F.array_distinct(F.transform(layout, key)), branch)
+
+
+def row_document(tab_branches: Column, read: Callable[[Column], Column]) -> Column:
+    """The document of a tab row: field -> subfield -> object, or field -> list of objects.
+
+    ``read`` gives what a row holds for an entry, with the fields of ``isa.read_fields``.
+    """
+
+    def described(entry: Column) -> Column:
+        return field_object(read(entry))
+
+    def branch(b: Column) -> Column:
+        below = b.getField("below")
+        named = _object(F.transform(below, lambda e: _entry(e.getField("key"), described(e.getField("entry")))))
+        listed = F.to_variant_object(F.transform(b.getField("alone"), described))
+        return _entry(b.getField("name"), F.when(F.size(below) > 0, named).otherwise(listed))
 
-    return _object(F.transform(names, branch))
+    return _object(F.transform(tab_branches, branch))
 
 
 def record_document(content: Column, comments: Column) -> Column:
@@ -126,20 +144,20 @@ def leaves(df: DataFrame, keep: Sequence[str], document: str = "document") -> Da
     Objects are exploded level by level, without a shuffle; lists are not looked into, as
     their items are not part of the annotation proper.
     """
-    spark = df.sparkSession
     start = F.array().cast("array<string>").alias("_path")
     level = df.where(F.col(document).isNotNull()).select(*keep, start, F.col(document).alias("_value"))
-    names = ", ".join(f"`{c}`" for c in keep)
+    inner = F.col("_key").isNotNull()
     for _ in range(DEPTH):
-        level = spark.sql(
-            f"""SELECT {names},
-                       CASE WHEN t.key IS NULL THEN _path ELSE array_append(_path, t.key) END AS _path,
-                       CASE WHEN t.key IS NULL THEN _value ELSE t.value END AS _value
-                FROM {{level}}, LATERAL variant_explode_outer(
-                    CASE WHEN schema_of_variant(_value) LIKE 'OBJECT%' THEN _value END) AS t(pos, key, value)""",
-            level=level,
+        # of lists and texts this is NULL; what an object is like below is not looked at
+        entries = F.try_variant_get("_value", "$", "map<string, variant>")
+        level = level.select(*keep, "_path", "_value", F.explode_outer(entries).alias("_key", "_below")).select(
+            *keep,
+            F.when(inner, F.array_append("_path", F.col("_key"))).otherwise(F.col("_path")).alias("_path"),
+            F.when(inner, F.col("_below")).otherwise(F.col("_value")).alias("_value"),
         )
-    texts = level.where(F.schema_of_variant("_value") == "STRING")
+    # the items of a list need no look to tell that it is no text
+    listed = F.try_variant_get("_value", "$", "array<variant>").isNotNull()
+    texts = level.where(F.when(listed, False).otherwise(F.schema_of_variant("_value") == "STRING"))
     return texts.select(*keep, F.col("_path").alias("path"), F.try_variant_get("_value", "$", "string").alias("value"))
 
 

@@ -30,7 +30,7 @@ from assaylens.functions.text import (
     is_empty,
     with_unit,
 )
-from assaylens.operators.documents import record_document, row_document
+from assaylens.operators.documents import branches, record_document, row_document
 from assaylens.operators.ranking import join_back
 from assaylens.operators.shape import drop_empty
 
@@ -273,10 +273,11 @@ def extra_on_qualifiers(parsed: DataFrame) -> DataFrame:
 
 
 def layouts(headers: DataFrame) -> DataFrame:
-    """(tab..., name_places, layout, slots): where in a row what is to be found.
+    """(tab..., name_places, layout, slots, branches): where in a row what is to be found.
 
     ``name_places`` lists the sample name columns; ``layout`` holds, for each main
-    field, the positions of all that belongs to it; ``slots`` the same by path.
+    field, the positions of all that belongs to it; ``slots`` the same by path, and
+    ``branches`` by the keys of documents.
 
     A qualifier without a main field before it, or a repeated ``field[subfield]``,
     is an error.
@@ -337,7 +338,7 @@ def layouts(headers: DataFrame) -> DataFrame:
         F.sort_array(F.flatten(F.collect_list("es"))).alias("layout"),
         F.collect_list(F.struct(path.alias("path"), places.alias("places"))).alias("slots"),
     )
-    return per_tab
+    return per_tab.withColumn("branches", branches(F.col("layout")))
 
 
 def _path(field: str, subfield: str) -> Column:
@@ -364,29 +365,31 @@ def _cell(position: Column) -> Column:
     return F.get("cells", position)
 
 
-def read_fields(rows: DataFrame, tab_layouts: DataFrame) -> DataFrame:
-    """Rows with ``fields``: value, unit, protocol and comments of each main field."""
+def _read(m: Column) -> Column:
+    """What a row holds for an entry of its layout."""
 
     def named(items: Column) -> Column:
         places = items.getField("places")
         return F.map_from_arrays(items.getField("names"), F.transform(places, _cell))
 
-    def field(m: Column) -> Column:
-        return F.struct(
-            m.getField("field").alias("field"),
-            m.getField("subfield").alias("subfield"),
-            m.getField("extra").alias("extra"),
-            m.getField("ord").alias("ord"),
-            _cell(m.getField("pos")).alias("value"),
-            _cell(m.getField("ref_pos")).alias("protocol_ref"),
-            _cell(m.getField("unit_pos")).alias("unit"),
-            _cell(m.getField("term_pos")).alias("term"),
-            named(m.getField("comments")).alias("comment"),
-            named(m.getField("references")).alias("references"),
-        )
+    return F.struct(
+        m.getField("field").alias("field"),
+        m.getField("subfield").alias("subfield"),
+        m.getField("extra").alias("extra"),
+        m.getField("ord").alias("ord"),
+        _cell(m.getField("pos")).alias("value"),
+        _cell(m.getField("ref_pos")).alias("protocol_ref"),
+        _cell(m.getField("unit_pos")).alias("unit"),
+        _cell(m.getField("term_pos")).alias("term"),
+        named(m.getField("comments")).alias("comment"),
+        named(m.getField("references")).alias("references"),
+    )
 
-    joined = join_back(rows, tab_layouts.drop("slots", "name_places"), TAB)
-    return joined.withColumn("fields", F.transform("layout", field)).drop("layout")
+
+def read_fields(rows: DataFrame, tab_layouts: DataFrame) -> DataFrame:
+    """Rows with ``fields``: value, unit, protocol and comments of each main field."""
+    joined = join_back(rows, tab_layouts.select(*TAB, "layout"), TAB)
+    return joined.withColumn("fields", F.transform("layout", _read)).drop("layout")
 
 
 def annotate(
@@ -402,7 +405,7 @@ def annotate(
         value, unit = _cell(place.getField("pos")), _cell(place.getField("unit_pos"))
         return F.when(~is_empty(value), with_unit(value, unit, formatter))
 
-    joined = join_back(rows, tab_layouts.drop("layout", "name_places"), TAB)
+    joined = join_back(rows, tab_layouts.select(*TAB, "slots"), TAB)
     texts = F.transform(
         "slots", lambda s: F.array_join(F.transform(s.getField("places"), shown), ", ")
     )
@@ -412,13 +415,13 @@ def annotate(
 
 def with_row_documents(rows: DataFrame, tab_layouts: DataFrame) -> DataFrame:
     """Rows with ``document``: their fields with all that describes them."""
-    read = read_fields(rows, tab_layouts)
-    return read.withColumn("document", row_document(F.col("fields"))).drop("fields")
+    joined = join_back(rows, tab_layouts.select(*TAB, "branches"), TAB)
+    return joined.withColumn("document", row_document(F.col("branches"), _read)).drop("branches")
 
 
 def with_names(rows: DataFrame, tab_layouts: DataFrame) -> DataFrame:
     """Rows with ``sample_names``: the distinct contents of their sample name columns."""
-    joined = join_back(rows, tab_layouts.drop("layout", "slots"), TAB)
+    joined = join_back(rows, tab_layouts.select(*TAB, "name_places"), TAB)
     names = F.array_distinct(F.transform("name_places", _cell))
     missing = guarded(names, F.size("name_places") == 0, "a tab has no Sample Name column", *map(F.col, TAB))
     return joined.withColumn("sample_names", missing).drop("name_places")

@@ -101,3 +101,20 @@ def test_empty_documents(spark, rows):
     assert documents.leaves(none, ["line_no"]).count() == 0
     blank = rows.select("line_no", F.lit(None).cast("variant").alias("document"))
     assert documents.leaves(blank, ["line_no"]).count() == 0
+
+
+def test_keys_are_worked_out_once_per_tab(spark):
+    lines = [("A", "s", "t", n, cells) for n, cells in enumerate([HEADER, *ROWS])]
+    frame = spark.createDataFrame(lines, isa.LINE_SCHEMA)
+    made = isa.layouts(isa.tab_headers(frame))
+    stored = spark.createDataFrame(made.collect(), made.schema)
+    read = isa.with_row_documents(isa.tab_rows(frame), stored)
+    assert "regexp_replace" not in read._jdf.queryExecution().toString()
+    found = documents.leaves(read, ["line_no"])
+    assert "variant_explode" not in found._jdf.queryExecution().toString()
+    assert found.where("value = 'week'").count() == 2
+
+
+def test_leaves_of_lists_numbers_and_empty_objects(spark):
+    frame = spark.sql("""SELECT parse_json('{"a": {}, "b": [{"c": "x"}, "y"], "d": 1, "e": {"f": "z", "g": ["s"]}, "h": null}') AS document""")
+    assert [(r.path, r.value) for r in documents.leaves(frame, []).collect()] == [(["e", "f"], "z")]

@@ -19,7 +19,7 @@ from assaylens.operators import analytics, documents, shape
 from assaylens.operators.predicates import matches
 from assaylens.plans import fixtures as fx
 from assaylens.plans.registry import query
-from assaylens.session import scratch_path
+from assaylens.session import scratch_path, shared_folder
 from assaylens.sources import archives, isa, listing, tables
 
 _WIDE_SCHEMA = T.StructType(
@@ -406,7 +406,9 @@ def s16(spark, sf_dir):
 )
 def ingest_samples(spark, sf_dir):
     """Archives and listings to sample rows; a file named like the status belongs to the sample."""
-    archives = _archives(spark, sf_dir)
+    shared_folder(spark)
+    # the listing and several checks read the archives, which are made only once
+    archives = _archives(spark, sf_dir).checkpoint()
     names = F.explode(F.array(F.lit("F"), F.lit("ISA.zip"), F.lit("other.txt")))
     files = archives.select("accession", names.alias("filename")).select(
         "accession",

@@ -120,3 +120,13 @@ def test_a_bad_dataset_leaves_the_others_alone(spark):
     }
     with pytest.raises(DataError, match="missing tab"):
         build_samples(*inputs(spark, bad=bad["no_study"]))
+
+
+def test_archives_of_the_query_are_made_once(spark, monkeypatch):
+    from assaylens.plans import ingest_queries
+
+    given = []
+    monkeypatch.setattr(ingest_queries, "build_samples", lambda archives, files: given.extend([archives, files]) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ingest_queries.ingest_samples(spark, "/root/testdata/sf0.001")
+    assert not any("MapInPandas" in f._jdf.queryExecution().toString() for f in given)

@@ -163,5 +163,10 @@ def leaves(df: DataFrame, keep: Sequence[str], document: str = "document") -> Da
 
 def leaf_items(df: DataFrame, keep: Sequence[str], document: str = "document") -> DataFrame:
     """(keep..., item): the distinct items of all texts, which may be lists."""
+    return listed_items(df, keep, document).distinct()
+
+
+def listed_items(df: DataFrame, keep: Sequence[str], document: str = "document") -> DataFrame:
+    """``leaf_items`` as they stand, repeats included."""
     found = leaves(df, keep, document)
-    return found.select(*keep, F.explode(F.split("value", LIST_SEPARATOR)).alias("item")).distinct()
+    return found.select(*keep, F.explode(F.split("value", LIST_SEPARATOR)).alias("item"))

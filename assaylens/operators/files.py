@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylens.operators.documents import leaf_items
+from assaylens.operators.documents import listed_items
 from assaylens.operators.lists import listed_values
-from assaylens.operators.ranking import join_back
+from assaylens.operators.ranking import few, join_back
+
+MOST_RULES = 50_000  # files of short names that every task may get
 
 TECHNOLOGY = "investigation.study assays.study assay technology type"
 
@@ -41,19 +43,26 @@ def attach_files(samples: DataFrame, files: DataFrame) -> DataFrame:
     A file belongs to a sample when its name is among the sample's annotation
     values (column ``elements``, or else the texts of its ``document``), or when it is
     internal to the dataset; the technology condition of the file must hold in either
-    case. Both cases are equality joins, so a dataset with most of the samples can be split.
+    case. Both cases are equality joins. The files are worked out once; unless they are very
+    many, no sample is shuffled before it has met them, so that neither a dataset with most of the
+    samples nor a text that most of them have lands in one task. The repeats of those that name a
+    file are then removed by sample.
     """
     ids = ["accession", "assay_name", "sample_name"]
     source = "elements" if "elements" in samples.columns else "document"
     with_tech = samples.select(*ids, technology().alias("_tech"), source)
     if source == "elements":
-        items = with_tech.select(*ids, "_tech", F.explode("elements").alias("filename")).distinct()
+        items = with_tech.select(*ids, "_tech", F.explode("elements").alias("filename"))
     else:
-        items = leaf_items(with_tech, [*ids, "_tech"]).withColumnRenamed("item", "filename")
-    rules = files.select(
-        "accession", "filename", "condition", F.coalesce("internal", F.lit(False)).alias("internal")
+        items = listed_items(with_tech, [*ids, "_tech"]).withColumnRenamed("item", "filename")
+    rules = few(
+        files.select("accession", "filename", "condition", F.coalesce("internal", F.lit(False)).alias("internal")),
+        MOST_RULES,
     )
-    named = items.join(rules.filter(~F.col("internal")), ["accession", "filename"], "inner")
+    listed = rules.filter(~F.col("internal"))
+    naming = items.join(listed, ["accession", "filename"], "left_semi")
+    # by sample first: a task then holds the names of its own samples only
+    named = naming.repartition(*ids).distinct().join(listed, ["accession", "filename"], "inner")
     internal = with_tech.drop(source).join(
         rules.filter(F.col("internal")), "accession", "inner"
     )

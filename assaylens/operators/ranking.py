@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assaylens.session import shared_folder
 
+FEW = 1_000  # rows that every task may get by hint, such as records or headers
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the lower 33 bits
 
 
@@ -30,6 +31,18 @@ def join_back(
     return left.join(renamed, condition, how).drop(*[f"_key_{k}" for k in keys])
 
 
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """The frame, worked out and counted once; one of at most ``most`` rows goes to every task.
+
+    Adaptive execution does not broadcast a frame of few keys, as most partitions of its shuffle
+    are empty: a join then puts all rows of a key into one task. Frames of more rows are left
+    to it.
+    """
+    shared_folder(df.sparkSession)
+    kept = df.checkpoint()
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def with_position(
     df: DataFrame, order: Sequence[Column], group: Sequence[str] = (), name: str = "pos"
 ) -> DataFrame:

@@ -225,3 +225,22 @@ def test_material_type(spark):
 def test_bad_names(spark):
     df = spark.createDataFrame([("D", "a/b"), ("D$", "a"), ("D", "a"), (None, None)], "accession string, assay_name string")
     assert bad_names(df).count() == 2
+
+
+@pytest.mark.parametrize("most", [file_ops.MOST_RULES, 0])
+def test_files_meet_samples_that_stay_where_they_are(spark, monkeypatch, most):
+    """A text most samples have is no key of a shuffle; repeated samples and files count as before."""
+    monkeypatch.setattr(file_ops, "MOST_RULES", most)
+    tech = {file_ops.TECHNOLOGY: "DNA Microarray"}
+    rows = [("D", "x", f"s{n // 2}", tech, ["none", "none", f"r{n // 2}"]) for n in range(8)]
+    rows += [("D", "y", None, None, ["r1"]), (None, "x", "s0", tech, ["r1"]), ("D", "x", "s9", tech, None)]
+    schema = "accession string, assay_name string, sample_name string, attrs map<string,string>, elements array<string>"
+    listed = [("D", "r1", None, None), ("D", "r1", False, None), ("D", "r2", None, "rna-seq"), ("D", "zip", True, None)]
+    table = spark.createDataFrame(listed, "accession string, filename string, internal boolean, condition string")
+    got = file_ops.attach_files(spark.createDataFrame(rows, schema), table)
+    found = sorted((tuple(r) for r in got.collect()), key=str)
+    named = [("D", "x", "s1", "r1"), ("D", "y", None, "r1")] * 2
+    internal = [("D", "x", f"s{n // 2}", "zip") for n in range(8)] + [("D", "y", None, "zip"), ("D", "x", "s9", "zip")]
+    assert found == sorted(named + internal, key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan) == (most == 0)

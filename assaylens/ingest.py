@@ -14,7 +14,7 @@ from assaylens.operators import documents
 from assaylens.operators import files as file_ops
 from assaylens.operators import shape
 from assaylens.operators.names import ambiguous, best_match
-from assaylens.operators.ranking import join_back
+from assaylens.operators.ranking import few, join_back
 from assaylens.session import shared_folder
 from assaylens.sources import archives as archives_source
 from assaylens.sources import isa
@@ -101,7 +101,7 @@ def ingest(
     Samples are (ids, study_name, attrs, document, files): the flat annotation, all of it
     nested, and the files it names. A dataset that breaks a rule fails
     as a whole and leaves the others alone. What several steps read (unpacked
-    lines, annotated rows, assembled samples) is checkpointed, so that archives are
+    lines, named rows, assembled samples) is checkpointed, so that archives are
     unpacked and rows are matched only once.
     """
     return _ingest(archives, isa.archive_lines(archives), files, formatter)
@@ -125,23 +125,25 @@ def _ingest(
     """``ingest`` of unpacked lines; without ``archives`` they tell which there are."""
     shared_folder(lines.sparkSession)
     lines = lines.checkpoint()
+    # the first lines of all tabs and the records: every tab and every broken archive is among them
+    outline = lines.filter((F.col("line_no") == 0) | ~F.col("kind").isin("s", "a")).checkpoint()
     if archives is None:
-        archives = lines.select("accession").distinct()
-    unreadable = header_failures(archives, lines, files).checkpoint()
-    lines = lines.join(unreadable, "accession", "left_anti")
-
-    layouts = isa.layouts(isa.tab_headers(lines))
-    rows = isa.with_names(isa.tab_rows(lines), layouts)
-    rows = isa.annotate(isa.with_row_documents(rows, layouts), layouts, formatter).checkpoint()
-    unclear = row_failures(rows).checkpoint()
+        archives = outline.select("accession").distinct()
+    unreadable = few(header_failures(archives, outline, files))
+    lines, outline = (df.join(unreadable, "accession", "left_anti") for df in (lines, outline))
+
+    layouts = isa.layouts(isa.tab_headers(outline))
+    rows = isa.with_names(isa.tab_rows(lines), layouts).checkpoint()
+    unclear = few(row_failures(rows))
     # an error raised in the plan could be evaluated before the failed datasets are left
     # out, so the names of the sound ones are read without a check
     rows = isa.first_names(rows.join(unclear, "accession", "left_anti"))
+    rows = isa.annotate(isa.with_row_documents(rows, layouts), layouts, formatter)
     assays = rows.filter(F.col("kind") == "a").withColumnRenamed("tab", "assay_name")
     studies = rows.filter(F.col("kind") == "s").withColumnRenamed("tab", "study_name")
 
-    cells = isa.investigation_cells(lines)
-    records = isa.with_documents(isa.investigation_records(cells), cells)
+    cells = isa.investigation_cells(outline)
+    records = isa.with_documents(isa.investigation_records(cells), cells).checkpoint()
     assembled = shape.assemble(
         assays.select(*IDS, "attrs", "document"),
         studies.select("accession", "study_name", "sample_name", "attrs", "document"),
@@ -154,7 +156,7 @@ def _ingest(
         isa.record_attrs(F.col("content"), isa.SINGLE_RECORD).alias("_inv"),
         F.col("document").alias("_inv_document"),
     )
-    described = join_back(assembled, whole, ["accession"], "left")
+    described = join_back(assembled, few(whole), ["accession"], "left")
     attrs = F.when(F.col("_inv").isNull(), F.col("attrs")).otherwise(F.map_concat("attrs", "_inv"))
     document = documents.sample_document(
         F.col("documents.assay"),
@@ -195,9 +197,8 @@ def with_files(samples: DataFrame, files: DataFrame) -> DataFrame:
     links = file_ops.attach_files(samples, files).distinct()
     samples = samples.drop("elements")
     shown = [c for c in files.columns if c not in ("accession", "condition", "ts", "version")]
-    described = join_back(
-        links, files.select("accession", *shown), ["accession", "filename"]
-    )
+    told = few(files.select("accession", *shown), file_ops.MOST_RULES)
+    described = join_back(links, told, ["accession", "filename"])
     lists = described.groupBy(*IDS).agg(
         F.sort_array(F.collect_list(F.struct("filename", *[c for c in shown if c != "filename"]))).alias(
             "files"

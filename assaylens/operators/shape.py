@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assaylens.errors import guarded, raise_if_any
 from assaylens.functions.text import LIST_SEPARATOR, harmonised_key, is_empty
 from assaylens.operators.names import best_match
-from assaylens.operators.ranking import join_back
+from assaylens.operators.ranking import few, join_back
 
 LEGACY = "study.material type"
 MATERIAL = "study.characteristics.material type"
@@ -125,16 +125,20 @@ def assemble(
     )
     found = join_back(
         found,
-        study_assays.select(
-            "accession", "assay_name", F.col("attrs").alias("_assay_record"), *also("_assay_record_document")
+        few(
+            study_assays.select(
+                "accession", "assay_name", F.col("attrs").alias("_assay_record"), *also("_assay_record_document")
+            )
         ),
         ["accession", "assay_name"],
         "left",
     )
     found = join_back(
         found,
-        study_records.select(
-            "accession", "study_name", F.col("attrs").alias("_study_record"), *also("_study_record_document")
+        few(
+            study_records.select(
+                "accession", "study_name", F.col("attrs").alias("_study_record"), *also("_study_record_document")
+            )
         ),
         ["accession", "study_name"],
         "left",

@@ -31,7 +31,7 @@ from assaylens.functions.text import (
     with_unit,
 )
 from assaylens.operators.documents import branches, record_document, row_document
-from assaylens.operators.ranking import join_back
+from assaylens.operators.ranking import few, join_back
 from assaylens.operators.shape import drop_empty
 
 # Names of archive members, and of the entities records describe.
@@ -277,7 +277,8 @@ def layouts(headers: DataFrame) -> DataFrame:
 
     ``name_places`` lists the sample name columns; ``layout`` holds, for each main
     field, the positions of all that belongs to it; ``slots`` the same by path, and
-    ``branches`` by the keys of documents.
+    ``branches`` by the keys of documents. They are worked out once, and those of few tabs
+    go to the rows, so that the rows of a tab stay where they are.
 
     A qualifier without a main field before it, or a repeated ``field[subfield]``,
     is an error.
@@ -338,7 +339,7 @@ def layouts(headers: DataFrame) -> DataFrame:
         F.sort_array(F.flatten(F.collect_list("es"))).alias("layout"),
         F.collect_list(F.struct(path.alias("path"), places.alias("places"))).alias("slots"),
     )
-    return per_tab.withColumn("branches", branches(F.col("layout")))
+    return few(per_tab.withColumn("branches", branches(F.col("layout"))))
 
 
 def _path(field: str, subfield: str) -> Column:

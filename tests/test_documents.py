@@ -118,3 +118,14 @@ def test_keys_are_worked_out_once_per_tab(spark):
 def test_leaves_of_lists_numbers_and_empty_objects(spark):
     frame = spark.sql("""SELECT parse_json('{"a": {}, "b": [{"c": "x"}, "y"], "d": 1, "e": {"f": "z", "g": ["s"]}, "h": null}') AS document""")
     assert [(r.path, r.value) for r in documents.leaves(frame, []).collect()] == [(["e", "f"], "z")]
+
+
+def test_rows_of_a_tab_stay_where_they_are(spark):
+    """What columns mean goes to the rows; rows do not meet by tab, where two tabs would be two tasks."""
+    lines = [("A", "s", "t", n, cells) for n, cells in enumerate([HEADER, *ROWS])]
+    frame = spark.createDataFrame(lines, isa.LINE_SCHEMA)
+    layouts = isa.layouts(isa.tab_headers(frame))
+    read = isa.with_names(isa.tab_rows(frame), layouts)
+    read = isa.annotate(isa.with_row_documents(read, layouts), layouts)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan

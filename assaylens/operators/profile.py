@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaylens.functions.text import number_text
-from assaylens.operators.tables import check_same_index, index_presence
+from assaylens.operators.tables import check_same_index, index_presence, is_present
 
 # How value types are called in a profile.
 TYPE_NAMES = {
@@ -104,7 +104,7 @@ def profile_outer_join(tables: Sequence[DataFrame], index: str) -> DataFrame:
     """
     check_same_index(tables, index)
     presence = index_presence(tables, index)
-    in_table = [F.count_if(F.array_contains("present", i)) for i in range(len(tables))]
+    in_table = [F.count_if(is_present(i)) for i in range(len(tables))]
     # one row per table: does it lack index values another one holds?
     partial = (
         presence.agg(F.count(F.lit(1)).alias("n_keys"), F.array(*in_table).alias("held"))

@@ -9,7 +9,7 @@ from collections import Counter
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -18,6 +18,8 @@ from assaylens.operators.order import natural_order
 from assaylens.operators.predicates import Comparison, comparison_column
 from assaylens.operators.ranking import join_back, with_position
 
+_WORD = 62  # tables whose bits share a number
+
 
 def qualify(df: DataFrame, index: str, accession: str, assay: str) -> DataFrame:
     """Name the data columns ``accession/assay/column``."""
@@ -112,20 +114,25 @@ def _with_home(table: DataFrame, index: str, number: int) -> DataFrame:
 
 
 def index_presence(tables: Sequence[DataFrame], index: str) -> DataFrame:
-    """Which tables hold each index value: (index, _home, present ARRAY<INT>).
+    """Which tables hold each index value: (index, _home, present ARRAY<BIGINT>).
 
-    The index is read alone and combined before the shuffle, so a value repeated
-    in most rows costs one row per map task.
+    ``present`` has a bit for each table, ``_WORD`` of them to a number. The index is read alone
+    and combined before the shuffle, so a value repeated in most rows costs one row per map task.
     """
-    keys = [
-        _with_home(t.select(F.col(f"`{index}`")), index, i).withColumn("_table", F.lit(i))
-        for i, t in enumerate(tables)
-    ]
-    return (
-        reduce(DataFrame.unionByName, keys)
-        .groupBy(f"`{index}`", "_home")
-        .agg(F.collect_set("_table").alias("present"))
-    )
+    n_words = (len(tables) - 1) // _WORD + 1
+    keys = []
+    for i, t in enumerate(tables):
+        words = [F.lit(1 << i % _WORD if w == i // _WORD else 0).cast("bigint").alias(f"_word{w}") for w in range(n_words)]
+        keys.append(_with_home(t.select(F.col(f"`{index}`")), index, i).select(F.col(f"`{index}`"), "_home", *words))
+    grouped = _union(keys).groupBy(f"`{index}`", "_home")
+    # numbers are combined in place, where sets of tables are objects that are sorted before they meet
+    met = grouped.agg(*[F.bit_or(f"_word{w}").alias(f"_word{w}") for w in range(n_words)])
+    return met.select(F.col(f"`{index}`"), "_home", F.array(*[f"_word{w}" for w in range(n_words)]).alias("present"))
+
+
+def is_present(number: int) -> Column:
+    """Whether a table is among those of ``present``."""
+    return F.get("present", F.lit(number // _WORD)).bitwiseAND(F.lit(1 << number % _WORD).cast("bigint")) != 0
 
 
 def outer_join(tables: Sequence[DataFrame], index: str, unique: bool = False) -> DataFrame:
@@ -149,7 +156,7 @@ def _chain(tables: Sequence[DataFrame], index: str) -> DataFrame:
     presence = index_presence(tables, index)
     completed = [
         _with_home(table, index, i).unionByName(
-            presence.filter(~F.array_contains("present", i)).drop("present"),
+            presence.filter(~is_present(i)).drop("present"),
             allowMissingColumns=True,
         )
         for i, table in enumerate(tables)

@@ -89,6 +89,18 @@ def test_two_hundred_tables_in_one_shuffle(spark):
     assert got == {f"g{g}": tuple(t.get(f"g{g}") for t in made) for g in range(30) if any(f"g{g}" in t for t in made)}
 
 
+def test_presence_of_more_tables_than_a_number_has_bits(spark):
+    made = [{f"g{i}", f"g{i % 7}"} for i in range(130)]
+    frames = [frame(spark, "k", [f"x{i}"], [(k, 1.0) for k in [*sorted(keys), None]]) for i, keys in enumerate(made)]
+    presence = tables.index_presence(frames, "k")
+    assert "collect_set" not in presence._jdf.queryExecution().toString()
+    held = [tables.is_present(i).alias(f"t{i}") for i in range(130)]
+    got = {(r["k"], r["_home"]): list(r)[2:] for r in presence.select("k", "_home", *held).collect()}
+    assert got.keys() == {(k, -1) for keys in made for k in keys} | {(None, i) for i in range(130)}
+    for (k, home), found in got.items():
+        assert found == [home == i if k is None else k in keys for i, keys in enumerate(made)]
+
+
 def test_many_tables_never_lose_a_repeated_value(spark):
     a = frame(spark, "k", ["x"], [("g", 1.0), ("g", 2.0)])
     b = frame(spark, "k", ["y"], [("g", 5.0)])

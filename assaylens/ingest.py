@@ -35,7 +35,11 @@ def _entities(records: DataFrame, section: str, name: str) -> DataFrame:
         F.col("entity"), F.col("entity").isNull(), f"records of {section} without a name", F.col("accession")
     )
     return found.select(
-        "accession", entity.alias(name), isa.record_attrs(F.col("content"), section).alias("attrs"), "document"
+        "accession",
+        entity.alias(name),
+        isa.record_attrs(F.col("content"), section).alias("attrs"),
+        "document",
+        "elements",
     )
 
 
@@ -71,19 +75,24 @@ def header_failures(archives: DataFrame, lines: DataFrame, files: DataFrame) ->
     return found.join(broken, "accession", "left_anti").unionByName(broken).distinct()
 
 
-def row_failures(rows: DataFrame) -> DataFrame:
-    """(accession, reason): datasets whose samples are ambiguous.
-
-    ``rows`` hold ``sample_names``, as ``isa.with_names`` adds them.
-    """
+def study_matches(rows: DataFrame) -> DataFrame:
+    """The study rows that the names of assay rows fit best (see ``names.best_match``)."""
     first = isa.first_names(rows)
     names = first.filter("kind = 'a'").select("accession", F.col("sample_name").alias("name"))
     targets = first.filter("kind = 's'").select("accession", F.col("sample_name").alias("candidate"))
-    matched = best_match(names, targets, ["accession"])
+    return best_match(names, targets, ["accession"])
+
+
+def row_failures(rows: DataFrame, matched: DataFrame) -> DataFrame:
+    """(accession, reason): datasets whose samples are ambiguous.
+
+    ``rows`` hold ``sample_names``, as ``isa.with_names`` adds them; ``matched`` are their
+    ``study_matches``.
+    """
     return _reasons(
         [
             (isa.conflicting_names(rows), "a row names several samples"),
-            (isa.duplicate_samples(first), "a study lists a sample twice"),
+            (isa.duplicate_samples(isa.first_names(rows)), "a study lists a sample twice"),
             (ambiguous(matched), "an assay row fits several study rows"),
         ]
     )
@@ -134,30 +143,38 @@ def _ingest(
 
     layouts = isa.layouts(isa.tab_headers(outline))
     rows = isa.with_names(isa.tab_rows(lines), layouts).checkpoint()
-    unclear = few(row_failures(rows))
+    matched = study_matches(rows).checkpoint()
+    unclear = few(row_failures(rows, matched))
     # an error raised in the plan could be evaluated before the failed datasets are left
     # out, so the names of the sound ones are read without a check
     rows = isa.first_names(rows.join(unclear, "accession", "left_anti"))
-    rows = isa.annotate(isa.with_row_documents(rows, layouts), layouts, formatter)
+    rows = isa.with_row_elements(isa.with_row_documents(rows, layouts), layouts)
+    rows = isa.annotate(rows, layouts, formatter)
     assays = rows.filter(F.col("kind") == "a").withColumnRenamed("tab", "assay_name")
     studies = rows.filter(F.col("kind") == "s").withColumnRenamed("tab", "study_name")
 
     cells = isa.investigation_cells(outline)
     records = isa.with_documents(isa.investigation_records(cells), cells).checkpoint()
+    records = isa.with_elements(records).checkpoint()
     assembled = shape.assemble(
-        assays.select(*IDS, "attrs", "document"),
-        studies.select("accession", "study_name", "sample_name", "attrs", "document"),
+        assays.select(*IDS, "attrs", "document", "elements"),
+        studies.select("accession", "study_name", "sample_name", "attrs", "document", "elements"),
         _entities(records, "Study Assays", "assay_name"),
         _entities(records, "Study", "study_name"),
+        matched.join(unclear, "accession", "left_anti"),
     )
     whole = records.filter(F.col("section") == isa.SINGLE_RECORD)
     whole = whole.select(
         "accession",
         isa.record_attrs(F.col("content"), isa.SINGLE_RECORD).alias("_inv"),
         F.col("document").alias("_inv_document"),
+        F.col("elements").alias("_inv_elements"),
     )
     described = join_back(assembled, few(whole), ["accession"], "left")
+    # a column of its own, as it is read several times
     attrs = F.when(F.col("_inv").isNull(), F.col("attrs")).otherwise(F.map_concat("attrs", "_inv"))
+    described = described.withColumn("attrs", attrs)
+    none = F.array().cast("array<string>")
     document = documents.sample_document(
         F.col("documents.assay"),
         F.col("documents.study"),
@@ -168,7 +185,11 @@ def _ingest(
         },
     )
     named = described.select(
-        *IDS, "study_name", shape.move_material_type(attrs).alias("attrs"), document.alias("document")
+        *IDS,
+        "study_name",
+        shape.move_material_type(F.col("attrs")).alias("attrs"),
+        document.alias("document"),
+        F.concat("elements", F.coalesce("_inv_elements", none)).alias("elements"),
     )
     return with_files(named.checkpoint(), files), unreadable.unionByName(unclear)
 
@@ -189,12 +210,14 @@ def with_files(samples: DataFrame, files: DataFrame) -> DataFrame:
     the internal ones.
 
     Both are few per sample: an annotation names a handful of files, and a dataset
-    has one archive and a few tables that are internal.
+    has one archive and a few tables that are internal. The items of the texts of documents
+    are read from the column ``elements``, if there is one.
     """
-    if "document" not in samples.columns:
+    if not {"document", "elements"} & set(samples.columns):
         elements = shape.leaf_elements(shape.nested_fields(F.col("attrs")))
         samples = samples.withColumn("elements", elements)
-    links = file_ops.attach_files(samples, files).distinct()
+    # by sample first: the lists of files need no further shuffle
+    links = file_ops.attach_files(samples, files).repartition(*IDS).distinct()
     samples = samples.drop("elements")
     shown = [c for c in files.columns if c not in ("accession", "condition", "ts", "version")]
     told = few(files.select("accession", *shown), file_ops.MOST_RULES)

@@ -75,6 +75,19 @@ def branches(layout: Column) -> Column:
     return F.transform(F.array_distinct(F.transform(layout, key)), branch)
 
 
+def text_places(tab_branches: Column) -> Column:
+    """The positions of all cells that ``leaves`` finds in the document of a row, of its ``branches``:
+    those of entries with a subfield, as others are lists."""
+
+    def places(named: Column) -> Column:
+        entry = named.getField("entry")
+        own = F.array(*[entry.getField(c) for c in ("pos", "unit_pos", "term_pos", "ref_pos")])
+        return F.concat(own, entry.getField("comments").getField("places"), entry.getField("references").getField("places"))
+
+    found = F.flatten(F.transform(tab_branches, lambda b: F.flatten(F.transform(b.getField("below"), places))))
+    return F.array_distinct(F.filter(found, lambda p: p.isNotNull()))
+
+
 def row_document(tab_branches: Column, read: Callable[[Column], Column]) -> Column:
     """The document of a tab row: field -> subfield -> object, or field -> list of objects.
 

@@ -82,6 +82,7 @@ def assemble(
     studies: DataFrame,
     study_assays: DataFrame,
     study_records: DataFrame,
+    matched: DataFrame | None = None,
 ) -> DataFrame:
     """Sample rows from assay rows and the records they refer to.
 
@@ -90,16 +91,20 @@ def assemble(
     assay_name / study_name, attrs). Study rows are found by best sample name
     match in the dataset; two equally good ones are an error, none leaves
     ``study_name`` NULL. Maps of the four sources are merged. If they have a
-    ``document`` as well, ``documents`` holds the four, one by one.
+    ``document`` as well, ``documents`` holds the four, one by one; ``elements`` are those of
+    all four. ``matched`` are the best matches, if they are known already.
     """
     nested = "document" in assays.columns
+    listed = "elements" in assays.columns
 
-    def also(name: str) -> list[Column]:
-        return [F.col("document").alias(name)] if nested else []
+    def also(prefix: str) -> list[Column]:
+        kept = [c for c, there in (("document", nested), ("elements", listed)) if there]
+        return [F.col(c).alias(f"{prefix}_{c}") for c in kept]
 
-    names = assays.select("accession", F.col("sample_name").alias("name"))
-    targets = studies.select("accession", F.col("sample_name").alias("candidate"))
-    matched = best_match(names, targets, ["accession"])
+    if matched is None:
+        names = assays.select("accession", F.col("sample_name").alias("name"))
+        targets = studies.select("accession", F.col("sample_name").alias("candidate"))
+        matched = best_match(names, targets, ["accession"])
     candidate = guarded(
         F.col("candidate"),
         F.col("n_matches") > 1,
@@ -118,7 +123,7 @@ def assemble(
             F.col("sample_name").alias("study_sample"),
             "study_name",
             F.col("attrs").alias("_study"),
-            *also("_study_document"),
+            *also("_study"),
         ),
         ["accession", "study_sample"],
         "left",
@@ -127,7 +132,7 @@ def assemble(
         found,
         few(
             study_assays.select(
-                "accession", "assay_name", F.col("attrs").alias("_assay_record"), *also("_assay_record_document")
+                "accession", "assay_name", F.col("attrs").alias("_assay_record"), *also("_assay_record")
             )
         ),
         ["accession", "assay_name"],
@@ -137,7 +142,7 @@ def assemble(
         found,
         few(
             study_records.select(
-                "accession", "study_name", F.col("attrs").alias("_study_record"), *also("_study_record_document")
+                "accession", "study_name", F.col("attrs").alias("_study_record"), *also("_study_record")
             )
         ),
         ["accession", "study_name"],
@@ -157,6 +162,9 @@ def assemble(
         "study_record": "_study_record_document",
     }
     documents = [F.struct(*[F.col(c).alias(n) for n, c in parts.items()]).alias("documents")] if nested else []
+    own = ("elements", "_study_elements", "_assay_record_elements", "_study_record_elements")
+    none = F.array().cast("array<string>")
+    elements = [F.array_distinct(F.concat(*[F.coalesce(F.col(c), none) for c in own])).alias("elements")] if listed else []
     return found.select(
         "accession",
         "assay_name",
@@ -165,6 +173,7 @@ def assemble(
         "study_sample",
         merged.alias("attrs"),
         *documents,
+        *elements,
     )
 
 

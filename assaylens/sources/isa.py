@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from assaylens.errors import guarded
 from assaylens.functions.text import (
+    LIST_SEPARATOR,
     braces,
     capitalised,
     harmonised_key,
@@ -30,7 +31,7 @@ from assaylens.functions.text import (
     is_empty,
     with_unit,
 )
-from assaylens.operators.documents import branches, record_document, row_document
+from assaylens.operators.documents import branches, listed_items, record_document, row_document, text_places
 from assaylens.operators.ranking import few, join_back
 from assaylens.operators.shape import drop_empty
 
@@ -273,11 +274,11 @@ def extra_on_qualifiers(parsed: DataFrame) -> DataFrame:
 
 
 def layouts(headers: DataFrame) -> DataFrame:
-    """(tab..., name_places, layout, slots, branches): where in a row what is to be found.
+    """(tab..., name_places, layout, slots, branches, text_places): where in a row what is to be found.
 
     ``name_places`` lists the sample name columns; ``layout`` holds, for each main
     field, the positions of all that belongs to it; ``slots`` the same by path, and
-    ``branches`` by the keys of documents. They are worked out once, and those of few tabs
+    ``branches`` by the keys of documents; ``text_places`` lists where the texts of documents are. They are worked out once, and those of few tabs
     go to the rows, so that the rows of a tab stay where they are.
 
     A qualifier without a main field before it, or a repeated ``field[subfield]``,
@@ -339,7 +340,8 @@ def layouts(headers: DataFrame) -> DataFrame:
         F.sort_array(F.flatten(F.collect_list("es"))).alias("layout"),
         F.collect_list(F.struct(path.alias("path"), places.alias("places"))).alias("slots"),
     )
-    return few(per_tab.withColumn("branches", branches(F.col("layout"))))
+    described = per_tab.withColumn("branches", branches(F.col("layout")))
+    return few(described.withColumn("text_places", text_places(F.col("branches"))))
 
 
 def _path(field: str, subfield: str) -> Column:
@@ -387,6 +389,19 @@ def _read(m: Column) -> Column:
     )
 
 
+def _read_described(m: Column) -> Column:
+    """``_read`` for documents: without maps for the many entries that nothing describes."""
+    plain = _read(m)
+
+    def named(name: str, items: Column) -> Column:
+        return F.when(F.size(items.getField("names")) > 0, plain.getField(name)).alias(name)
+
+    kept = [plain.getField(c).alias(c) for c in ("value", "protocol_ref", "unit", "term")]
+    return F.struct(
+        *kept, named("comment", m.getField("comments")), named("references", m.getField("references"))
+    )
+
+
 def read_fields(rows: DataFrame, tab_layouts: DataFrame) -> DataFrame:
     """Rows with ``fields``: value, unit, protocol and comments of each main field."""
     joined = join_back(rows, tab_layouts.select(*TAB, "layout"), TAB)
@@ -417,7 +432,15 @@ def annotate(
 def with_row_documents(rows: DataFrame, tab_layouts: DataFrame) -> DataFrame:
     """Rows with ``document``: their fields with all that describes them."""
     joined = join_back(rows, tab_layouts.select(*TAB, "branches"), TAB)
-    return joined.withColumn("document", row_document(F.col("branches"), _read)).drop("branches")
+    return joined.withColumn("document", row_document(F.col("branches"), _read_described)).drop("branches")
+
+
+def with_row_elements(rows: DataFrame, tab_layouts: DataFrame) -> DataFrame:
+    """Rows with ``elements``: the distinct items of the texts of their documents, read from the cells."""
+    joined = join_back(rows, tab_layouts.select(*TAB, "text_places"), TAB)
+    texts = F.filter(F.transform("text_places", _cell), lambda t: ~is_empty(t))
+    items = F.flatten(F.transform(texts, lambda t: F.split(t, LIST_SEPARATOR)))
+    return joined.withColumn("elements", F.array_distinct(items)).drop("text_places")
 
 
 def with_names(rows: DataFrame, tab_layouts: DataFrame) -> DataFrame:
@@ -555,9 +578,17 @@ def with_documents(records: DataFrame, cells: DataFrame) -> DataFrame:
     return joined.withColumn("document", document).drop("comments")
 
 
+def with_elements(records: DataFrame) -> DataFrame:
+    """Records with ``elements``: the distinct items of the texts of their documents."""
+    entity = ["accession", "section", "block", "record"]
+    items = listed_items(records, entity).groupBy(*entity).agg(F.collect_set("item").alias("elements"))
+    joined = join_back(records, items, entity, "left")
+    return joined.withColumn("elements", F.coalesce("elements", F.array().cast("array<string>")))
+
+
 def _documents(df: DataFrame) -> list[str]:
-    """The column of documents, if there is one."""
-    return ["document"] if "document" in df.columns else []
+    """The columns of documents and of their elements, if there are any."""
+    return [c for c in ("document", "elements") if c in df.columns]
 
 
 def record_attrs(content: Column, section: str) -> Column:

@@ -129,3 +129,14 @@ def test_rows_of_a_tab_stay_where_they_are(spark):
     read = isa.annotate(isa.with_row_documents(read, layouts), layouts)
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
+
+
+def test_row_elements_are_the_items_of_the_documents(spark):
+    lines = [("A", "s", "t", n, cells) for n, cells in enumerate([HEADER, *ROWS])]
+    lines += [("A", "s", "plain", 0, ["Sample Name"]), ("A", "s", "plain", 1, ["s3"]), ("A", "s", "plain", 2, [None])]
+    frame = spark.createDataFrame(lines, isa.LINE_SCHEMA)
+    layouts = isa.layouts(isa.tab_headers(frame))
+    rows = isa.with_row_elements(isa.with_row_documents(isa.tab_rows(frame), layouts), layouts)
+    expected = {(r.tab, r.line_no, r.item) for r in documents.leaf_items(rows, ["tab", "line_no"]).collect()}
+    got = [(r.tab, r.line_no, e) for r in rows.collect() for e in r.elements]
+    assert len(got) == len(set(got)) and set(got) == expected and ("t", 1, "y.csv") in expected

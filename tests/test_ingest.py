@@ -130,3 +130,29 @@ def test_archives_of_the_query_are_made_once(spark, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         ingest_queries.ingest_samples(spark, "/root/testdata/sf0.001")
     assert not any("MapInPandas" in f._jdf.queryExecution().toString() for f in given)
+
+
+def test_rows_are_matched_once_and_documents_of_samples_are_not_exploded(spark, monkeypatch):
+    from assaylens import ingest as ingesting
+    from assaylens.operators import files, names, shape
+
+    matches, exploded = [], []
+
+    def counted(*args):
+        matches.append(args)
+        return names.best_match(*args)
+
+    monkeypatch.setattr(ingesting, "best_match", counted)
+    monkeypatch.setattr(shape, "best_match", counted)
+    monkeypatch.setattr(files, "listed_items", lambda *args: exploded.append(args) or 1 / 0)
+    commented = INVESTIGATION.replace("Study Title\tMice", "Study Title\tMice\nComment[Report]\tlisted.txt , other.txt")
+    samples = build_samples(*inputs(spark, D=archive(), E=archive(i=commented)))
+    found = {(r["accession"], r["sample_name"]): [f["filename"] for f in r["files"]] for r in samples.collect()}
+    assert found == {
+        ("D", "s.1"): ["pca.csv", "r1.fq", "x.zip"],
+        ("D", "s.2"): ["pca.csv", "x.zip"],
+        ("E", "s.1"): ["listed.txt", "pca.csv", "r1.fq", "x.zip"],
+        ("E", "s.2"): ["listed.txt", "pca.csv", "x.zip"],
+    }
+    assert len(matches) == 1 and not exploded
+    assert samples.columns == [*ingesting.IDS, "study_name", "attrs", "document", "files"]

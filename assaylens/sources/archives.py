@@ -31,7 +31,9 @@ from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from itertools import accumulate, groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -356,6 +358,23 @@ def _line(cells: Sequence[str | None]) -> str:
     return "\t".join(quoted) + "\n"
 
 
+def _texts(cells: pa.ListArray) -> pa.Array:
+    """``_line`` of every row, all at once but for those that need a closer look."""
+    if cells.null_count:
+        return pa.array([_line(row) for row in cells.to_pylist()], pa.string())
+    counts = pc.list_value_length(cells).to_numpy(zero_copy_only=False)
+    ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+    plain = pc.binary_join(pa.ListArray.from_arrays(ends, pc.fill_null(cells.flatten(), "")), "\t")
+    odd = pc.match_substring_regex(plain, '["\\r\\n]|(^|\\t)#').to_numpy(zero_copy_only=False)
+    odd = odd | (pc.binary_length(plain).to_numpy(zero_copy_only=False) == 0)
+    odd = odd | (pc.count_substring(plain, "\t").to_numpy(zero_copy_only=False) != counts - 1)
+    out = pc.binary_join_element_wise(plain, "", "\n")
+    if odd.any():
+        looked = [_line(cells[k].as_py()) for k in np.flatnonzero(odd).tolist()]
+        out = pc.replace_with_mask(out, pa.array(odd), pa.array(looked, pa.string()))
+    return out
+
+
 _PART_FIELDS = [
     ("accession", pa.string()), ("kind", pa.string()), ("tab", pa.string()), ("task", pa.int64()),
     ("path", pa.string()), ("at", pa.int64()), ("packed", pa.int64()), ("size", pa.int64()),
@@ -393,9 +412,11 @@ def write_archives(lines: DataFrame, folder: str) -> DataFrame:
         with files.open_output_stream(path) as raw:
             parts = _Parts(raw)
             for batch in batches:
-                of_tab = zip(*(batch.column(n).to_pylist() for n in (0, 1, 2, 4)))
-                for tab, own in groupby(of_tab, key=lambda r: r[:3]):
-                    parts.add(tab, [_line(r[3]) for r in own])
+                texts, at = _texts(batch.column(4)), 0
+                for tab, own in groupby(zip(*(batch.column(n).to_pylist() for n in (0, 1, 2)))):
+                    n = sum(1 for _ in own)
+                    parts.add(tab, texts.slice(at, n))
+                    at += n
             parts.close()
         done = [(*tab, context.partitionId(), path, *figures) for tab, *figures in parts.done]
         yield _batch(done, pa.schema(_PART_FIELDS))
@@ -433,13 +454,14 @@ class _Parts:
         self._at = 0
         self.done: list[tuple] = []  # (tab, at, packed, size, crc, n_lines)
 
-    def add(self, tab: tuple, lines: list[str]) -> None:
+    def add(self, tab: tuple, lines: pa.Array) -> None:
         if self._packer is None or tab != self._tab:
             self.close()
             self._tab = tab
             self._packer = zlib.compressobj(wbits=-zlib.MAX_WBITS)
             self._packed = self._size = self._crc = self._n = 0
-        data = "".join(lines).encode()
+        whole = pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines)
+        data = pc.binary_join(whole, "")[0].as_buffer()
         self._put(self._packer.compress(data))
         self._size += len(data)
         self._crc = zlib.crc32(data, self._crc)

@@ -4,6 +4,7 @@ import zipfile
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from compare import compare, connect
 from pyspark.sql import functions as F
@@ -191,3 +192,18 @@ def test_checksum_of_parts():
     for text in texts:
         crc = archives._joined_crc(crc, zlib.crc32(text), len(text))
     assert crc == zlib.crc32(b"".join(texts))
+
+
+def test_texts_of_a_batch_are_those_of_its_lines(monkeypatch):
+    rows = [
+        ["a", "b"], ["a", None, ""], [None], [""], [], ["", ""], ['say "x"', "y"], ["two\nlines"], ["cr\r", "é"],
+        ["#", "a"], ["a", "#b"], ["a#", "b"], ["tab\tin", "c"], ["\t"], ["x" * 5000, "ü"], ["last"],
+    ]
+    cells = pa.array([["cut off"], *rows, ["cut off"]], pa.list_(pa.string())).slice(1, len(rows))
+    assert archives._texts(cells).to_pylist() == [archives._line(r) for r in rows]
+    assert archives._texts(cells.slice(0, 0)).to_pylist() == []
+    # most lines need no step of their own
+    looked = []
+    monkeypatch.setattr(archives, "_line", lambda row: looked.append(row) or "")
+    plain = pa.array([["src", str(k), None] for k in range(1000)], pa.list_(pa.string()))
+    assert archives._texts(plain)[7].as_py() == "src\t7\t\n" and not looked
